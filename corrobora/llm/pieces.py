@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from functools import cache
 
@@ -20,6 +21,7 @@ def tokenizer(path: str):
         import sentencepiece
 
         return sentencepiece.SentencePieceProcessor(model_file=path)
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -43,10 +45,9 @@ def cut(text: str, keep_space: bool) -> list[str]:
     """
     if not keep_space:
         return text.split(" ")
-    if "  " in text or " \n" in text or "\n " in text or _ODD_SPACE.search(text):
+    if "  " in text or " \n" in text or "\n " in text or "\0" in text or _ODD_SPACE.search(text):
         return _CAREFUL.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
+    return text.replace(" ", "\0 ").split("\0")
 
 
 def encode(path: str, texts: list[str]) -> list[list[int]]:
@@ -58,10 +59,14 @@ def encode(path: str, texts: list[str]) -> list[list[int]]:
 
 
 class Pieces:
-    """Looks up what `value(ids)` is for each piece; the table of at most `memo` pieces starts anew when full."""
+    """Looks up what `value(ids)` is for each piece.
 
-    def __init__(self, path: str, value, memo: int = 300_000):
-        self.path, self.value, self.memo, self.known = path, value, memo, {}
+    Two tables hold what came before: when the newer has `memo` pieces it becomes the older one, and what
+    only the former older one had is forgotten. So memory has a bound and frequent pieces stay.
+    """
+
+    def __init__(self, path: str, value, memo: int = 400_000):
+        self.path, self.value, self.memo, self.known, self.older = path, value, memo, {}, {}
         self.whole = path.endswith(".model")  # these see the start of a text, so it stays whole
         self.keep_space = not self.whole and not drops_spaces(path)
 
@@ -70,8 +75,13 @@ class Pieces:
             return [[self.value(x)] for x in encode(self.path, texts)]
         parts = [cut(t, self.keep_space) for t in texts]
         if len(self.known) > self.memo:
-            self.known.clear()
-        new = list({p for ps in parts for p in ps}.difference(self.known))
+            self.known, self.older = {}, self.known
+        new = []
+        for p in set().union(*parts).difference(self.known):
+            if p in self.older:
+                self.known[p] = self.older[p]
+            else:
+                new.append(p)
         for a, b in by_bytes(new):
             self.known.update(zip(new[a:b], map(self.value, encode(self.path, new[a:b])), strict=True))
         get = self.known.__getitem__

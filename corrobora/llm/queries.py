@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, token_counts
+from . import chat_format, decontaminate, exact_dedup, line_dedup, packing, pii, simhash, token_counts, toxicity, url_filter
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
@@ -21,6 +22,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size("segments").alias("n_segments"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn int, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
@@ -35,13 +43,67 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge_urls(pages, url_filter.link_edges(pages)).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = line_dedup.judge_lines(table(spark, sf_dir, "documents"))
+    return judged.select(F.col("id").alias("doc_id"), F.size("removed").alias("n_removed"), "removed", "n_links")
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model, cut = pii.fit(docs)
+    return pii.digest(pii.find_pii(docs, model, cut))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_chat_format": op2_chat_format,
+    "op3_url_filter": op3_url_filter,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_line_dedup": op5_line_dedup,
     "op6_token_counts": op6_token_counts,
+    "op7_simhash": op7_simhash,
+    "op8_packing": op8_packing,
+    "op9_pii": op9_pii,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_url_filter": r"""
+        WITH p AS (
+            SELECT page_id, url, html, translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages
+        ), rules(rule, name, start, verdict) AS (
+            VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+                ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')
+        ), own AS (
+            SELECT page_id, url, coalesce(host, '') AS host, coalesce(path, '') AS path, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict
+            FROM p LEFT JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY ALL
+        ), edges AS (
+            SELECT url AS a, regexp_extract(html, '<link [^>]*rel="canonical"[^>]*href="([^"]+)', 1, 'i') AS b FROM p WHERE contains(html, 'canonical')
+        ), marks AS (
+            SELECT o.url, bool_or(q.verdict = 'allow') AS allowed, bool_or(q.verdict = 'block') AS blocked
+            FROM (SELECT a AS url, b AS other FROM edges WHERE b <> '' UNION ALL SELECT b, a FROM edges WHERE b <> '') o JOIN own q ON q.url = o.other GROUP BY 1
+        )
+        SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN allowed THEN 'allow' WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
+        FROM own LEFT JOIN marks USING (url)
+    """,
     "op2_chat_format": r"""
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

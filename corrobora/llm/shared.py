@@ -11,12 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in `spark.checkpoint.dir`; a temporary one only where the setting is missing."""
+    """The folder in `spark.checkpoint.dir`; a temporary one only where the setting is missing, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="corrobora-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        folder = _own_folders.setdefault(app, "") or tempfile.mkdtemp(prefix="corrobora-")
+        _own_folders[app] = folder
     return folder.rstrip("/")
 
 
