@@ -391,14 +391,14 @@ def d15_mediate(spark, d):
 
 
 @query(f"""
-    WITH {CLAIMS}, g AS (SELECT lag(iri) OVER (PARTITION BY subject ORDER BY line, iri) AS iri FROM cl QUALIFY source % 4 = 0)
+    WITH {CLAIMS}, g AS (SELECT lag(iri) OVER (PARTITION BY subject ORDER BY line, iri, source, quantity) AS iri FROM cl QUALIFY source % 4 = 0)
     SELECT iri, subject, source FROM cl WHERE iri NOT IN (SELECT iri FROM g WHERE iri IS NOT NULL)
 """)
 def d16_active_claims(spark, d):
     from pyspark.sql import Window as W
 
     c = claims(spark, d)
-    c = c.withColumn("supersedes", F.when(F.col("source") % 4 == 0, F.lag("iri").over(W.partitionBy("subject").orderBy("line", "iri"))))
+    c = c.withColumn("supersedes", F.when(F.col("source") % 4 == 0, F.lag("iri").over(W.partitionBy("subject").orderBy("line", "iri", "source", "quantity"))))
     return C.active_claims(c).select("iri", "subject", "source")
 
 
@@ -787,7 +787,7 @@ def g15_convert_unit(spark, d):
 
 
 @query("""
-    SELECT c_custkey, round(cos(c_custkey / 10.0) * 3 - sin(c_custkey / 10.0) * 4 + c_acctbal, 4) AS x, round(sin(c_custkey / 10.0) * 3 + cos(c_custkey / 10.0) * 4 + 1, 4) AS y, 0.0 AS residue FROM customer
+    SELECT c_custkey, round(cos(c_custkey / 10.0) * 3 - sin(c_custkey / 10.0) * 4 + c_acctbal, 4) AS x, round(sin(c_custkey / 10.0) * 3 + cos(c_custkey / 10.0) * 4 + 1, 4) AS y, 0.0::DOUBLE AS residue FROM customer
 """)
 def g16_rigid_transform(spark, d):
     a = F.col("c_custkey") / 10.0
