@@ -111,3 +111,25 @@ def dominant_group(rows: DataFrame, by: list[str], group: str, threshold: int) -
     at = W.partitionBy(*by).orderBy(F.desc("n"), group)
     s = counts.withColumn("_r", F.row_number().over(at)).withColumn("margin", F.col("n") - F.coalesce(F.lead("n").over(at), F.lit(0)))
     return s.where("_r = 1").withColumn("alert", (F.col("n") >= threshold) & (F.col("margin") > 0)).drop("_r")
+
+
+def nearest_points(queries: DataFrame, points: DataFrame, k: int, query_id: str, point_id: str, axes: list[str], radius: float) -> DataFrame:
+    """The `k` nearest points of each query (fewer only if there are fewer points), ties to the smaller id.
+
+    A query is done when `k` points lie within the radius; the others go on with twice the radius, until it
+    covers everything. So work follows the density around a query, and the answer is exact.
+    """
+    both = queries.select(*axes).unionByName(points.select(*axes))
+    ends = both.agg(*[(F.max(a) - F.min(a)).alias(a) for a in axes]).first()
+    reach = sum(float(x or 0.0) ** 2 for x in ends) ** 0.5
+    left, done = queries, None
+    while True:
+        near = top_k(radius_join(left, points, radius, query_id, point_id, axes), ["query_id"], k, F.asc("distance"), F.asc("point_id"))
+        last = radius > reach
+        full = near.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
+        part = near if last else near.join(full, "query_id", "left_semi")
+        done = part if done is None else done.unionByName(part)
+        if last:
+            return done
+        left = left.join(full.withColumnRenamed("query_id", query_id), query_id, "left_anti")
+        radius *= 2

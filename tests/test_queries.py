@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corrobora.functions import scalar as S
 from corrobora.operators import belief_filter as B, claims as C, intervals as I, metrics as M, retrieval as V, sequences as Q
+import corrobora.plans.more  # noqa: F401
 from corrobora.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
