@@ -27,17 +27,18 @@ def ids_as_bytes(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, ranks: tuple[str, str] | None = None) -> DataFrame:
     """Pieces (id, piece, start, length, ids_crc32[, ids]) of each row's tokens with `end_id` behind them.
 
     A document of more than `capacity` tokens is cut into pieces of `capacity`; only the first is shorter.
     Null and empty texts have one piece, the end id alone. `ids` are little-endian unsigned 32-bit numbers.
+    `ranks` (file, pattern) may give the same vocabulary as ranks: the ids are the same, found faster.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bytes_of = pieces(path, ids_as_bytes)
+        bytes_of = pieces(path, ids_as_bytes, ranks)
         end = struct.pack("<I", end_id)
         for batch in batches:
             texts, row, out = texts_of(batch, "text"), 0, ([], [], [], [], [], [])
@@ -156,7 +157,7 @@ def _places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.n
     return out
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, ranks: tuple[str, str] | None = None) -> DataFrame:
     """One row for each piece of `token_pieces`, with sequence_id and offset: its place in a sequence.
 
     Sequences hold at most `capacity` tokens, without gaps from 0 on. Every row and token has a place;
@@ -165,7 +166,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_c
     Ranks within a length: rows are numbered in parts (a hash of the row), so that a length which a third
     of all rows have is spread out, and the parts' sizes are summed up before them.
     """
-    rows = materialize(token_pieces(docs, path, capacity, end_id, id_col, text_col, keep_ids))
+    rows = materialize(token_pieces(docs, path, capacity, end_id, id_col, text_col, keep_ids, ranks))
     total = rows.count()
     parts = max(16, total // 200_000)
     rows = rows.withColumn("part", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(parts)).cast("int"))

@@ -22,6 +22,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_ranks() -> tuple[str, str]:
+    """The ranks and the pattern of byte_bpe_50k."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
@@ -58,7 +65,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), ranks=byte_ranks())
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
