@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def bitemporal(rows: DataFrame, as_of: float | None = None, valid_at: float | None = None, **equal) -> DataFrame:
     """Assertions as known at `as_of` (now: transaction still open) and valid at `valid_at`; null ends are open."""
@@ -103,14 +105,13 @@ def prune_ttl(atoms: DataFrame, entity: str, t: str, oldest: float) -> DataFrame
 def closure(edges: DataFrame, seeds: DataFrame, most: int = 50) -> DataFrame:
     """(seed, node, depth) over directed edges (src, dst), each node at its least depth, cycles included once.
 
-    Each round joins the frontier only; lineage is cut by a reliable checkpoint in the cluster's shared folder.
+    Each round joins the frontier only; each frontier is written in the cluster's shared folder.
     """
     seen = frontier = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth")).distinct()
     for depth in range(1, most + 1):
         step = frontier.join(edges, frontier.node == edges.src).select("seed", F.col("dst").alias("node")).distinct()
         frontier = step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        if edges.sparkSession.sparkContext.getCheckpointDir():
-            frontier = frontier.checkpoint()
+        frontier = written(frontier)
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import dot, log_odds, sigmoid
+from ..sources.scratch import written
 from .retrieval import field_match, radius_join, reciprocal_rank_fusion, tag_overlap, vector_top_k
 from .sequences import crossings, rising_edges, sustained_runs, transitions
 
@@ -72,12 +73,12 @@ def record_discrepancies(records: DataFrame, physical: DataFrame, key: str, reco
     return both.withColumn("kind", kind).where("kind IS NOT NULL").withColumn("delay", F.col(recorded) - F.col(true)).drop("_r", "_p")
 
 
-def couple(priors: DataFrame, edges: DataFrame, damping: float = 0.5, rounds: int = 5, tolerance: float = 1e-3, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def couple(priors: DataFrame, edges: DataFrame, damping: float = 0.5, rounds: int = 5, tolerance: float = 1e-3) -> DataFrame:
     """Damped message passing between wholes and their parts, in log-odds.
 
     `priors` (node, p), `edges` (whole, part). In each round a whole hears whether all its parts hold (the
     product of their beliefs) and each part hears its wholes; messages are added to the prior, damped. Every
-    round is two joins with combining aggregates; `cut` may write the beliefs between rounds.
+    round is two joins with combining aggregates, and its beliefs are written.
     """
     now = priors.select("node", log_odds("p").alias("prior"), log_odds("p").alias("x"))
     for _ in range(rounds):
@@ -87,7 +88,7 @@ def couple(priors: DataFrame, edges: DataFrame, damping: float = 0.5, rounds: in
         heard = up.unionByName(down).groupBy("node").agg(F.sum(log_odds("m")).alias("m"))
         new = now.join(heard, "node", "left").withColumn("y", (1 - damping) * F.col("x") + damping * (F.col("prior") + damping * F.coalesce("m", F.lit(0.0))))
         new = new.withColumn("step", F.abs(F.col("y") - F.col("x")))
-        new = cut(new) if cut else new
+        new = written(new)
         far = new.agg(F.max("step")).first()[0]
         now = new.select("node", "prior", F.col("y").alias("x"))
         if far is None or far < tolerance:

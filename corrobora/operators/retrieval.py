@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import dot, normalised
+from ..sources.scratch import written
 
 
 def top_k(rows: DataFrame, by: list[str], k: int, *order: Column) -> DataFrame:
@@ -124,7 +125,7 @@ def nearest_points(queries: DataFrame, points: DataFrame, k: int, query_id: str,
     reach = sum(float(x or 0.0) ** 2 for x in ends) ** 0.5
     left, done = queries, None
     while True:
-        near = top_k(radius_join(left, points, radius, query_id, point_id, axes), ["query_id"], k, F.asc("distance"), F.asc("point_id"))
+        near = written(top_k(radius_join(left, points, radius, query_id, point_id, axes), ["query_id"], k, F.asc("distance"), F.asc("point_id")))
         last = radius > reach
         full = near.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
         part = near if last else near.join(full, "query_id", "left_semi")

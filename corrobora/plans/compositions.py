@@ -307,7 +307,7 @@ def h12_couple(spark, d):
     part = F.concat_ws("-", "l_orderkey", "l_linenumber")
     lines = li.select(part.alias("node"), (0.5 + F.col("x") * 4).alias("p"))
     edges = li.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("whole"), part.alias("part"))
-    return J.couple(o.unionByName(lines), edges, cut=lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df)
+    return J.couple(o.unionByName(lines), edges)
 
 
 @query("""
