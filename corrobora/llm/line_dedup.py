@@ -41,28 +41,41 @@ def segment_keys(line: str, size: str, edits: int) -> Column:
     return F.array(*out)
 
 
+def _first_difference(a: str, b: str) -> Column:
+    """How many leading characters two columns share."""
+    same = f"zip_with(split({a}, ''), split({b}, ''), (x, y) -> x <=> y)"
+    return F.expr(f"CASE WHEN {a} = {b} THEN length({a}) WHEN {a} = '' OR {b} = '' THEN 0 ELSE int(array_position({same}, false)) - 1 END")
+
+
+def trimmed(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """The pairs with columns _a and _b: `a` and `b` without the start and the end they share, which no edit needs."""
+    out = pairs.withColumn("_n", _first_difference(a, b))
+    out = out.withColumns({"_a": F.expr(f"reverse(substring({a}, _n + 1))"), "_b": F.expr(f"reverse(substring({b}, _n + 1))")})
+    out = out.withColumn("_n", _first_difference("_a", "_b"))
+    return out.withColumns({"_a": F.expr("reverse(substring(_a, _n + 1))"), "_b": F.expr("reverse(substring(_b, _n + 1))")}).drop("_n")
+
+
 def edit_distance(a: str, b: str, edits: int) -> Column:
     """The edit distance of columns `a` and `b`, or a number above `edits` if it is larger.
 
     Bit b of a word stands for row j - edits + b of the matrix in column j, so a word holds the whole band
-    and one step computes a column of it. Null gives null.
+    and one step computes a column of it from the last one. Columns after the one that decides cost nothing.
     """
     k, w = edits, 2 * edits + 1
-    mask, top = (1 << w) - 1, 2 * k
-    first = ((1 << (k + 1)) - 1) << k
-    bits = " | ".join(f"if(get(p, j - {k} + {i} - 1) = c, {1 << i}L, 0L)" for i in range(w))
-    # rows outside of the text match nothing: get() gives null there, and so does a negative place
+    mask, top, first = (1 << w) - 1, 2 * k, ((1 << (k + 1)) - 1) << k
+    # places outside of the text give null and match nothing
+    pm = " | ".join(f"if(get(v.p, x.j - {k} + {i} - 1) = x.c, {1 << i}L, 0L)" for i in range(w))
     d0 = f"(((((pm & s.vp) + s.vp) ^ s.vp) | pm | s.vn) & {mask}L)"
     hp = f"(s.vn | (~(d0 | s.vp) & {mask}L))"
-    low = f"if(j <= m - {k}, if((d0 & {1 << top}L) = 0, 1, 0), int((shiftright({hp}, m - j + {k}) & 1L) - (shiftright(s.vp & d0, m - j + {k}) & 1L)))"
-    step = f"""element_at(transform(array({d0}), d0 -> named_struct(
-        'vp', (s.vp & d0) | (~(shiftright(d0, 1) | {hp}) & {mask}L), 'vn', shiftright(d0, 1) & {hp}, 'd', s.d + {low})), 1)"""
-    step = step.replace("j", "x.j").replace("pm", "x.pm").replace("x.jx", "j")
-    columns = f"transform(split({b}, ''), (c, i) -> named_struct('j', i + 1, 'pm', {bits.replace('j -', 'i + 1 -')}))"
-    fold = f"""aggregate({columns}, named_struct('vp', {first}L, 'vn', 0L, 'd', least({k}, m)),
-        (s, x) -> if(s.d > {2 * k} + abs(m - n), s, {step}), s -> s.d)"""
-    body = fold.replace("m - ", f"length({a}) - ").replace(", m)", f", length({a}))").replace("- n)", f"- length({b}))").replace("get(p,", f"get(split({a}, ''),")
-    return F.expr(f"CASE WHEN {a} = {b} THEN 0 WHEN abs(length({a}) - length({b})) > {k} THEN {k + 1} WHEN length({a}) = 0 OR length({b}) = 0 THEN length({a}) + length({b}) ELSE {body} END")
+    at = f"v.m - x.j + {k}"  # the bit of the last row, once the band has reached it
+    more = f"if(x.j <= v.m - {k}, if((d0 & {1 << top}L) = 0, 1, 0), int((shiftright({hp}, {at}) & 1L) - (shiftright(s.vp & d0, {at}) & 1L)))"
+    new = f"named_struct('vp', (s.vp & d0) | (~(shiftright(d0, 1) | {hp}) & {mask}L), 'vn', shiftright(d0, 1) & {hp}, 'd', s.d + {more})"
+    step = f"element_at(transform(array({pm}), pm -> element_at(transform(array({d0}), d0 -> {new}), 1)), 1)"
+    start = f"named_struct('vp', {first}L, 'vn', 0L, 'd', least({k}, v.m))"
+    columns = f"transform(split({b}, ''), (c, i) -> named_struct('c', c, 'j', i + 1))"
+    fold = f"aggregate({columns}, {start}, (s, x) -> if(s.d > {2 * k} + abs(v.m - length({b})), s, {step}), s -> s.d)"
+    whole = f"element_at(transform(array(named_struct('p', split({a}, ''), 'm', length({a}))), v -> {fold}), 1)"
+    return F.expr(f"CASE WHEN abs(length({a}) - length({b})) > {k} THEN {k + 1} WHEN {a} = '' OR {b} = '' THEN length({a}) + length({b}) ELSE {whole} END")
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -90,7 +103,9 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ends = materialize(pairs.select(F.explode(F.array("x", "y")).alias("h")).distinct())
     texts = materialize(lines.join(_sent(ends), "h").select("h", "line").distinct())
     both = pairs.join(texts.toDF("x", "a"), "x").join(texts.toDF("y", "b"), "y")
-    near = both.where(edit_distance("a", "b", edits) <= edits).select(digest("a").alias("a"), digest("b").alias("b"))
+    # written once: else the optimizer puts the trimming into every place where the distance reads a character
+    cut = materialize(trimmed(both, "a", "b").select(digest("a").alias("a"), digest("b").alias("b"), "_a", "_b"))
+    near = cut.where(edit_distance("_a", "_b", edits) <= edits)
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -108,7 +123,7 @@ def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     `n_links` counts the links that the row's lines have to different lines. A null text has one empty line.
     """
     lines = _lines(docs, id_col, text_col).where(F.trim("line") != "")
-    at = materialize(lines.select("id", "th", "pos", F.unhex(digest("line")).alias("g")).distinct())
+    at = materialize(lines.select("id", "th", "pos", F.unhex(digest("line")).alias("g")))
     links = materialize(similar_lines(docs, id_col, text_col, edits, min_chars))
     ends = links.select(F.explode(F.array("a", "b")).alias("g")).groupBy("g").count()
     parts = connected_components(links)
@@ -118,9 +133,10 @@ def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = rooted.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
     judged = rooted.join(materialize(classes), "root", "left").withColumn("out", F.col("first").isNotNull() & (F.col("first") != order))
     by_row = judged.groupBy("id", "th").agg(
-        F.array_sort(F.collect_set(F.when(F.col("out"), F.col("pos")))).alias("removed"), F.coalesce(F.sum("links"), F.lit(0)).alias("n_links")
+        F.array_sort(F.collect_set(F.when(F.col("out"), F.col("pos")))).alias("removed"), F.collect_set(F.struct("pos", "links")).alias("own")
     )
-    return by_row.select("id", "th", "removed", "n_links")
+    n = F.aggregate("own", F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x["links"], F.lit(0)))
+    return by_row.select("id", "th", "removed", n.alias("n_links"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_chars: int = 20) -> DataFrame:

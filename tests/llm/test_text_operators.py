@@ -216,9 +216,12 @@ def test_banded_distance(spark, edits):
     rng = random.Random(edits)
     pairs = [(a := "".join(rng.choice("abé") for _ in range(rng.randrange(0, 14))), edited(rng, a, rng.randrange(5))) for _ in range(500)]
     df = spark.createDataFrame(pairs, "a string, b string")
-    for r in df.withColumn("d", line_dedup.edit_distance("a", "b", edits)).collect():
+    cut = line_dedup.trimmed(df, "a", "b").withColumn("d", line_dedup.edit_distance("a", "b", edits)).withColumn("e", line_dedup.edit_distance("_a", "_b", edits))
+    for r in cut.collect():
         true = distance(r["a"], r["b"])
-        assert r["d"] == true if true <= edits else r["d"] > edits, r
+        assert distance(r["_a"], r["_b"]) == true and len(r["_a"]) <= len(r["a"])
+        for got in (r["d"], r["e"]):
+            assert got == true if true <= edits else got > edits, r
 
 
 @pytest.mark.parametrize("edits", [1, 2])
@@ -261,6 +264,17 @@ def test_token_counts(spark, name):
     assert len(got) == len(texts)
 
 
+def test_ranks_give_the_same_ids(spark):
+    from corrobora.llm.pieces import encode, encode_ranked
+
+    rng = random.Random(11)
+    path, ranks = queries.vocabulary("byte_bpe_50k.json"), queries.byte_ranks()
+    words = {w for (t,) in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() for w in t.replace(" ", "\0 ").split("\0")}
+    words |= {"".join(rng.choice(" aé'st\nßÑ19.,-<|>日\u0301") for _ in range(rng.randrange(12))) for _ in range(20000)} | {"<|endoftext|>", ""}
+    words = sorted(words)
+    assert encode_ranked(path, ranks, words) == encode(path, words)
+
+
 # 7 simhash
 
 
@@ -330,7 +344,7 @@ def test_plan_uses_everything_once():
 def test_packing(spark):
     path = queries.vocabulary("byte_bpe_50k.json")
     docs = [(r["doc_id"], r["text"]) for r in rows(spark.read.parquet(f"{SF}/documents.parquet"))] + [(900, None), (901, ""), (901, ""), (902, "<|endoftext|> x"), (None, "y  z")]
-    got = rows(packing.pack(clash(spark, docs), path))
+    got = rows(packing.pack(clash(spark, docs), path, ranks=queries.byte_ranks()))
     from corrobora.llm.pieces import tokenizer
 
     want = []
