@@ -41,6 +41,16 @@ def segment_keys(line: str, size: str, edits: int) -> Column:
     return F.array(*out)
 
 
+def gram_parity(line: str) -> Column:
+    """64 bits: in which of so many hash classes an odd number of the line's character pairs lies.
+
+    An edit touches two pairs at most, so it takes out and puts in no more than four, and lines within
+    `edits` differ in at most 4 * edits bits. So lines of one template with other words in it do not meet.
+    """
+    pair = f"zip_with(split({line}, ''), slice(split({line}, ''), 2, length({line})), (x, y) -> shiftleft(1L, pmod(hash(x, y), 64)))"
+    return F.expr(f"aggregate({pair}, 0L, (s, x) -> s ^ x)")
+
+
 def _first_difference(a: str, b: str) -> Column:
     """How many leading characters two columns share."""
     same = f"zip_with(split({a}, ''), split({b}, ''), (x, y) -> x <=> y)"
@@ -97,12 +107,15 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     met = keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max(F.col("kind") == 3).alias("indexed"))
     met = materialize(met.where("lo <> hi AND indexed").select("key"))
     rows = materialize(keyed.join(_sent(met), "key").distinct())
-    index, probe = rows.where("kind = 3").select("key", F.col("h").alias("x")), rows.select("key", F.col("h").alias("y"))
-    pairs = index.join(probe, "key").where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    texts = lines.join(_sent(materialize(rows.select("h").distinct())), "h").select("h", "line").distinct()
+    texts = materialize(texts.withColumn("sig", gram_parity("line")))
+    signed = materialize(rows.join(texts.select("h", "sig"), "h"))
+    index = signed.where("kind = 3").select("key", F.col("h").alias("x"), F.col("sig").alias("sx"))
+    probe = signed.select("key", F.col("h").alias("y"), F.col("sig").alias("sy"))
+    near = (F.col("x") != F.col("y")) & (F.bit_count(F.col("sx").bitwiseXOR(F.col("sy"))) <= 4 * edits)
+    pairs = index.join(probe, (index.key == probe.key) & near).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     pairs = materialize(pairs)
-    ends = materialize(pairs.select(F.explode(F.array("x", "y")).alias("h")).distinct())
-    texts = materialize(lines.join(_sent(ends), "h").select("h", "line").distinct())
-    both = pairs.join(texts.toDF("x", "a"), "x").join(texts.toDF("y", "b"), "y")
+    both = pairs.join(texts.select(F.col("h").alias("x"), F.col("line").alias("a")), "x").join(texts.select(F.col("h").alias("y"), F.col("line").alias("b")), "y")
     # written once: else the optimizer puts the trimming into every place where the distance reads a character
     cut = materialize(trimmed(both, "a", "b").select(digest("a").alias("a"), digest("b").alias("b"), "_a", "_b"))
     near = cut.where(edit_distance("_a", "_b", edits) <= edits)
