@@ -1,14 +1,15 @@
 """Benchmark decontamination: rare n-gram seeds, then local alignment.
 
-Word n-grams of the test items meet the same n-grams in the corpus and point to passages. Seeds that are
-common compared with the rest of their item do not count. Passages with a rare seed are aligned with the
-item (Smith-Waterman over words), which also scores copies with words put in, left out or changed.
+Word n-grams of the test items meet the same n-grams in the corpus and point to passages. Passages with a
+seed that is rare compared with the rest of its item are aligned with the item (Smith-Waterman over words),
+which also scores copies with words put in, left out or changed. Common seeds alone start an alignment only
+where the words that passage and item share could reach the score, so a copy that stands in many rows stays.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -151,19 +152,21 @@ def find_leaks(
         names, items = [r["item_id"] for r in part], [words_of(r["text"]) for r in part]
         found = materialize(_seeded(docs, items, n, id_col, text_col))
         common = _common(found, items, common_times, common_rows)
+        bags = [Counter(x) for x in items]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 rows = []
                 for id_, item, seeds, starts, windows in zip(pdf["id"], pdf["item"], pdf["seeds"], pdf["starts"], pdf["windows"]):
-                    if common.issuperset(seeds):
-                        continue
                     own, best = items[item], (0.0, 0, 0)
+                    only_common = common.issuperset(seeds)
                     alphabet = set(own)
                     for start, text in zip(starts, windows):
                         passage = text.split(" ")
                         if sum(w in alphabet for w in passage) < least_score * len(own):
                             continue  # each matching word adds one match's score at most
+                        if only_common and sum((bags[item] & Counter(passage)).values()) < least_score * len(own):
+                            continue  # the same bound, each word as often as both have it
                         got, a, b = align(own, passage)
                         best = max(best, (got / (2 * len(own)), -(start + a), start + b))
                     if best[0] >= least_score:

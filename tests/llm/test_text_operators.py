@@ -477,3 +477,14 @@ def test_leaks(spark):
         assert set(pairs) == want
     assert decontaminate.find_leaks(clash(spark, docs).limit(0), bench).count() == 0
     assert decontaminate.find_leaks(clash(spark, docs), bench.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("copies", [20, 25])
+def test_leaks_in_many_rows(spark, copies):
+    item = [f"word{i}" for i in range(38)]
+    edited_copy = " ".join("changed" if i % 5 == 2 else w for i, w in enumerate(item))  # fewer than half of its seeds are whole
+    docs = [(i, f"start {i} {edited_copy} end {i}") for i in range(copies)] + [(100 + i, f"own {i} word0 word1 text") for i in range(40)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = rows(decontaminate.find_leaks(clash(spark, docs), bench))
+    assert sorted(r["doc_id"] for r in got) == list(range(copies))
+    assert all(r["score"] == slow_align(item, decontaminate.words_of(docs[r["doc_id"]][1])) / 76 for r in got)
