@@ -128,13 +128,25 @@ def digest(line: str) -> Column:
 
 
 def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_chars: int = 20) -> DataFrame:
-    """One row for each different (id, text): id, th, n_lines, removed (places of lines, from 0), n_links.
+    """One row for each row of `docs`: id, th (hash of its text), n_lines, removed (places of lines, from 0), n_links, classes.
 
     Lines that are alike, directly or through others, are a class; its first line by id (null first), text
-    hash and place stays and the others are removed. Blank lines are never judged; lines of fewer than
-    `min_chars` characters are only like equal ones. Rows with the same id and text are judged as one.
-    `n_links` counts the links that the row's lines have to different lines. A null text has one empty line.
+    hash and place stays and the others are removed. `classes` has (pos, first_id, first_pos) of each judged
+    line in order: its class is named by the id and place of its first line. Blank lines are never judged;
+    lines of fewer than `min_chars` characters are only like equal ones. Rows with the same id and text are
+    judged as one, and each has its row. `n_links` counts the links that the row's lines have to different
+    lines. A null text has one empty line; where nothing is judged, arrays are empty and links 0.
     """
+    judged = materialize(_judged(docs, id_col, text_col, edits, min_chars))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    rows = rows.select("id", F.xxhash64("t").alias("th"), F.size(F.split("t", "\n", -1)).alias("n_lines"))
+    out = rows.join(judged.withColumnsRenamed({"id": "_id", "th": "_th"}), F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
+    empty = {c: F.coalesce(c, F.array().cast(judged.schema[c].dataType)) for c in ("removed", "classes")}
+    return out.select("id", "th", "n_lines", empty["removed"].alias("removed"), F.coalesce("n_links", F.lit(0)).alias("n_links"), empty["classes"].alias("classes"))
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int) -> DataFrame:
+    """(id, th, removed, n_links, classes) as in `judge_lines`, once for each different (id, text) with a line that is not blank."""
     lines = _lines(docs, id_col, text_col).where(F.trim("line") != "")
     at = materialize(lines.select("id", "th", "pos", F.unhex(digest("line")).alias("g")))
     links = materialize(similar_lines(docs, id_col, text_col, edits, min_chars))
@@ -145,11 +157,13 @@ def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     order = F.struct("id", "th", "pos")
     classes = rooted.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
     judged = rooted.join(materialize(classes), "root", "left").withColumn("out", F.col("first").isNotNull() & (F.col("first") != order))
+    judged = judged.withColumn("first", F.coalesce("first", order)).withColumns({"first_id": F.col("first.id"), "first_pos": F.col("first.pos")})
     by_row = judged.groupBy("id", "th").agg(
-        F.array_sort(F.collect_set(F.when(F.col("out"), F.col("pos")))).alias("removed"), F.collect_set(F.struct("pos", "links")).alias("own")
+        F.array_sort(F.collect_set(F.when(F.col("out"), F.col("pos")))).alias("removed"), F.collect_set(F.struct("pos", "links", "first_id", "first_pos")).alias("own")
     )
     n = F.aggregate("own", F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x["links"], F.lit(0)))
-    return by_row.select("id", "th", "removed", n.alias("n_links"))
+    places = F.transform(F.array_sort(F.col("own"), lambda x, y: x["pos"] - y["pos"]), lambda x: F.struct(x["pos"].alias("pos"), x["first_id"].alias("first_id"), x["first_pos"].alias("first_pos")))
+    return by_row.select("id", "th", "removed", n.alias("n_links"), places.alias("classes"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_chars: int = 20) -> DataFrame:
@@ -157,7 +171,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A row of which nothing but blank lines is left, though it had other lines, goes. A null text stays null.
     """
-    judged = judge_lines(docs, id_col, text_col, edits, min_chars).where(F.size("removed") > 0)
+    judged = _judged(docs, id_col, text_col, edits, min_chars).where(F.size("removed") > 0)
     judged = materialize(judged.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("removed").alias("_removed")))
     th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     out = docs.withColumn("_row_th", th)

@@ -57,7 +57,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = line_dedup.judge_lines(table(spark, sf_dir, "documents"))
-    return judged.select(F.col("id").alias("doc_id"), F.size("removed").alias("n_removed"), "removed", "n_links")
+    return judged.select(F.col("id").alias("doc_id"), "n_lines", F.size("removed").alias("n_removed"), "removed", "n_links", "classes")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -246,6 +246,25 @@ def test_line_dedup_keeps_first(spark):
     assert line_dedup.dedup_lines(clash(spark, pairs)).columns == [c.split()[0] for c in CLASH.split(", ")]
 
 
+def test_line_judgement_has_every_row(spark):
+    long = "a line that is long enough to be compared"
+    pairs = [(2, f"{long}\nown\n\nown"), (1, f"{long}!"), (3, long), (3, long), (4, None), (5, ""), (6, " \n "), (None, "own\nother"), (None, None)]
+    got = rows(line_dedup.judge_lines(clash(spark, pairs)))
+    flat = [(r["id"], r["n_lines"], r["removed"], r["n_links"], [tuple(c) for c in r["classes"]]) for r in got]
+    want = [
+        (2, 4, [0, 1, 3], 1, [(0, 1, 0), (1, None, 0), (3, None, 0)]),
+        (1, 1, [], 1, [(0, 1, 0)]),
+        (3, 1, [0], 1, [(0, 1, 0)]),
+        (3, 1, [0], 1, [(0, 1, 0)]),
+        (4, 1, [], 0, []),
+        (5, 1, [], 0, []),
+        (6, 2, [], 0, []),
+        (None, 2, [], 0, [(0, None, 0), (1, None, 1)]),
+        (None, 1, [], 0, []),
+    ]
+    assert sorted(flat, key=str) == sorted(want, key=str)
+
+
 # 6 token counts
 
 
