@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .keyed import stream_keys
+
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     """Pairs (row, column) of least total cost, every row of the shorter side once, by shortest augmenting paths."""
@@ -45,45 +47,66 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
 
 
 def bind(pairs: DataFrame, block: list[str], left: str, right: str, probability: str, least: float = 0.5) -> DataFrame:
-    """Best binding of left to right ids in each block, from the pairs' probabilities; pairs under `least` are dropped.
+    """Best binding of left to right ids in each block, from the pairs' probabilities; bindings under `least` are dropped.
 
-    A block is one site and time slice, whose pairs are few by construction of the blocking key.
+    A block is one site and time slice of one entity or the like: the blocking key must keep its pairs few, as a block's
+    matrix is solved in one task. A pair that stands twice counts with its higher probability.
     """
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    names = [*block, left, right, probability]
+    best = pairs.where(F.col(left).isNotNull() & F.col(right).isNotNull()).groupBy(*block, left, right).agg(F.max(probability).alias("_p"))
+
+    def step(s: list, c: dict[str, list], lo: int, hi: int) -> list[tuple]:
+        s.extend(zip(c[left][lo:hi], c[right][lo:hi], c["_p"][lo:hi]))
+        return []
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = sorted(pdf[left].unique()), sorted(pdf[right].unique())
+    def end(s: list) -> list[tuple]:
+        a, b = ({x: i for i, x in enumerate(sorted({row[k] for row in s}))} for k in (0, 1))
         cost = np.full((len(a), len(b)), 30.0)
-        p = np.clip(pdf[probability].to_numpy(float), 1e-12, 1.0)
-        cost[np.searchsorted(a, pdf[left]), np.searchsorted(b, pdf[right])] = -np.log(p)
-        out = [(*[pdf[k].iloc[0] for k in block], a[i], b[j], float(np.exp(-cost[i, j]))) for i, j in assign(cost) if np.exp(-cost[i, j]) >= least]
-        return pd.DataFrame(out, columns=names)
+        for x, y, p in s:
+            cost[a[x], b[y]] = -np.log(min(max(p, 1e-12), 1.0))
+        names = list(a), list(b)
+        return [(names[0][i], names[1][j], float(np.exp(-cost[i, j]))) for i, j in assign(cost) if np.exp(-cost[i, j]) >= least]
 
-    return pairs.groupBy(*block).applyInPandas(run, ", ".join(f"{n} {kinds[n]}" for n in names))
+    return stream_keys(best, block, [left, right], f"{left} {kinds[left]}, {right} {kinds[right]}, {probability} double", list, step, end)
 
 
 def match_detections(ledger: DataFrame, truth: DataFrame, key: list[str], ledger_id: str, truth_id: str, t: str, tolerance: float) -> DataFrame:
     """Greedy one-to-one matches within `tolerance`, in ledger order: each detection takes the nearest free truth of its key.
 
-    Returns every detection, with null truth for a false alarm, and the latency. Keys (entity, type) are small groups.
+    Returns every detection, with null truth for a false alarm, and the latency. A key's rows are cut where no row
+    follows for longer than `tolerance`: no match reaches over such a gap, so what one task holds are the rows between
+    two gaps. Rows without a key match nothing, as do detections without a time.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in ledger.schema}
-    schema = ", ".join(f"{k} {kinds[k]}" for k in key) + f", {ledger_id} {kinds[ledger_id]}, {truth_id} {truth.schema[truth_id].dataType.simpleString()}, latency double"
-    names = [*key, ledger_id, truth_id, "latency"]
-
-    def run(found: pd.DataFrame, real: pd.DataFrame) -> pd.DataFrame:
-        real = real.sort_values([t, truth_id]).reset_index(drop=True)
-        free, out = np.ones(len(real), bool), []
-        times = real[t].to_numpy(float)
-        for r in found.sort_values(ledger_id).to_dict("records"):
-            gap = np.where(free, np.abs(times - r[t]), np.inf)
-            i = int(gap.argmin()) if len(gap) else -1
-            hit = i >= 0 and gap[i] <= tolerance
-            if hit:
+    a = ledger.select(*key, F.col(ledger_id).alias("_a"), F.lit(None).cast(truth.schema[truth_id].dataType).alias("_b"), F.col(t).cast("double").alias("_t"), F.lit(True).alias("_found"))
+    b = truth.select(*key, F.lit(None).cast(ledger.schema[ledger_id].dataType).alias("_a"), F.col(truth_id).alias("_b"), F.col(t).cast("double").alias("_t"), F.lit(False).alias("_found"))
+    at = W.partitionBy(*key).orderBy("_t")
+    both = a.unionByName(b.where("_t IS NOT NULL"))
+    new = F.coalesce((F.col("_t") - F.lag("_t").over(at) > tolerance).cast("int"), F.lit(1))
+    both = both.withColumn("_new", new).withColumn("_island", F.sum("_new").over(at.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+    keyless = sum((F.col(k).isNull().cast("int") for k in key[1:]), F.col(key[0]).isNull().cast("int")) > 0
+    both = both.withColumn("_keyless", keyless)
+
+    def step(s: tuple[list, list], c: dict[str, list], lo: int, hi: int) -> list[tuple]:
+        for i in range(lo, hi):
+            if c["_found"][i]:
+                s[0].append((c["_a"][i], c["_t"][i], c["_keyless"][i]))
+            else:
+                s[1].append((c["_t"][i], c["_b"][i]))
+        return []
+
+    def end(s: tuple[list, list]) -> list[tuple]:
+        times, free, out = np.array([x for x, _ in s[1]], float), np.ones(len(s[1]), bool), []
+        for id_, when, keyless in sorted(s[0], key=lambda r: (r[0] is not None, r[0])):
+            i = -1
+            if len(times) and when is not None and not keyless:
+                gap = np.where(free, np.abs(times - when), np.inf)
+                i = int(gap.argmin())
+                i = i if gap[i] <= tolerance else -1
+            if i >= 0:
                 free[i] = False
-            out.append((*[r[k] for k in key], r[ledger_id], real[truth_id][i] if hit else None, r[t] - times[i] if hit else None))
-        return pd.DataFrame(out, columns=names)
+            out.append((id_, s[1][i][1] if i >= 0 else None, when - times[i] if i >= 0 else None))
+        return out
 
-    truth = truth.select(*[F.col(c).alias(c) for c in truth.columns])  # both sides may come from one table
-    return ledger.groupBy(*key).cogroup(truth.groupBy(*key)).applyInPandas(run, schema)
+    schema = f"{ledger_id} {ledger.schema[ledger_id].dataType.simpleString()}, {truth_id} {truth.schema[truth_id].dataType.simpleString()}, latency double"
+    found = stream_keys(both, [*key, "_island"], ["_t", "_b"], schema, lambda: ([], []), step, end)
+    return found.drop("_island")

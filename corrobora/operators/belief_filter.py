@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import entropy
+from .keyed import stream_keys
+
 LIMIT = 20.0
 
 
@@ -50,8 +51,11 @@ def advance(state: State, kind: str, t: float, p: float, source: str, s: Setting
     """One event: (what happened, posterior, observed part, record part). Changes `state`.
 
     An observation older than the last is skipped, and so is a claim older than the last of its source; a
-    newer claim takes the place of the older one's log-odds.
+    newer claim takes the place of the older one's log-odds. An event without a kind, time or p is void and
+    changes nothing.
     """
+    if kind is None or t is None or p is None or t != t or p != p:
+        return "void", state.p if state.p is not None else 0.5, 0.0, 0.0
     claims = state.claims = state.claims or {}
     if kind == "observed":
         if t < state.seen:
@@ -87,30 +91,29 @@ def belief_filter(events: DataFrame, by: list[str], order: list[str], settings:
     """Replays events (kind observed or claim, t, p, source) of each key in `order`; one row for each event.
 
     The recurrence needs a key's events in order, so a key is sorted into one partition and streamed
-    through; only its state is held.
+    through; only its state is held. A null key is a key like any other; a null source is a source.
+    """
+    names = list(dict.fromkeys([*by, *order, "t", "kind", "p", "source"]))
+
+    def step(state: State, c: dict[str, list], a: int, b: int) -> list[tuple]:
+        out = []
+        for t, kind, p, source in zip(c["t"][a:b], c["kind"][a:b], c["p"][a:b], c["source"][a:b]):
+            what, now, seen, record = advance(state, kind, t, p, source, settings)
+            out.append((t, kind, what, now, seen, record))
+        return out
+
+    return stream_keys(events.select(*names), by, order, OUT, State, step)
+
+
+def contributions(beliefs: DataFrame, parts: tuple[str, ...] = ("observed", "record")) -> DataFrame:
+    """Share of each kind of evidence in an update, which is largest (the first of equals), and the entropy of the belief in bits.
+
+    An update without evidence has null shares and the dominant part `none`; null parts count as 0.
     """
-    names = events.columns
-    keyed = events.repartition(*by).sortWithinPartitions(*by, *order)
-    keys = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in by)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, State()
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                r = dict(zip(names, r))
-                now = tuple(r[c] for c in by)
-                if now != key:
-                    key, state = now, State()
-                what, p, a, b = advance(state, r["kind"], r["t"], r["p"], r["source"], settings)
-                out.append((*now, r["t"], r["kind"], what, p, a, b))
-            yield pd.DataFrame(out, columns=[*by, "t", "kind", "outcome", "p", "observed", "record"])
-
-    return keyed.mapInPandas(run, f"{keys}, {OUT}")
-
-
-def contributions(beliefs: DataFrame) -> DataFrame:
-    """Shares of observed and record evidence in each update, and which is larger."""
-    total = F.col("observed") + F.col("record")
-    share = F.when(total > 0, F.col("observed") / total)
-    return beliefs.withColumn("observed_share", share).withColumn("dominant", F.when(total == 0, "none").when(share >= 0.5, "observed").otherwise("record"))
+    total = sum((F.coalesce(p, F.lit(0.0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0.0)))
+    out = beliefs.withColumns({f"{p}_share": F.when(total > 0, F.coalesce(p, F.lit(0.0)) / total) for p in parts})
+    most = F.greatest(*[F.col(f"{p}_share") for p in parts])
+    who = F.lit("none")
+    for p in reversed(parts):
+        who = F.when(F.col(f"{p}_share") == most, p).otherwise(who)
+    return out.withColumn("dominant", who).withColumn("entropy", entropy("p"))

@@ -105,13 +105,15 @@ def prune_ttl(atoms: DataFrame, entity: str, t: str, oldest: float) -> DataFrame
 def closure(edges: DataFrame, seeds: DataFrame, most: int = 50) -> DataFrame:
     """(seed, node, depth) over directed edges (src, dst), each node at its least depth, cycles included once.
 
-    Each round joins the frontier only; each frontier is written in the cluster's shared folder.
+    Edges are written once, each pair once, so that no round reads their source again; each round joins the frontier
+    only, and each frontier is written in the cluster's shared folder. The result has a row for each node that a
+    seed reaches: its size is that of the answer. Edges with a null end lead nowhere.
     """
-    seen = frontier = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth")).distinct()
+    edges = written(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
+    seen = frontier = written(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth")).distinct())
     for depth in range(1, most + 1):
         step = frontier.join(edges, frontier.node == edges.src).select("seed", F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        frontier = written(frontier)
+        frontier = written(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalar import dot, log_odds, sigmoid
+from ..functions.scalar import dot, log_odds, normal_quantile, sigmoid
 from ..sources.scratch import written
+from .keyed import stream_keys
 from .retrieval import field_match, radius_join, reciprocal_rank_fusion, tag_overlap, vector_top_k
 from .sequences import crossings, rising_edges, sustained_runs, transitions
 
@@ -99,52 +100,76 @@ def couple(priors: DataFrame, edges: DataFrame, damping: float = 0.5, rounds: in
 def select_observations(candidates: DataFrame, site: str, budget: float, most: int) -> DataFrame:
     """Greedy choice per site by marginal utility: value * entropy left * informativeness - cost.
 
-    Choosing one lowers the entropy left of its fluent. Candidates without positive utility are dropped before
-    they are grouped, and a site keeps its best thousand by first utility, far more than `most` can take.
+    One row for each choice: site, query_id, place from 1, gain. Choosing a query leaves its fluent 1 - informativeness
+    of its entropy; a query that would exceed what is left of the budget waits, as a cheaper one may still fit. Ties go to
+    the smaller query_id, of which a site has one. All candidates compete in every round: a round joins them with the
+    sites' states (at most `most` choices each) and takes a combining arg-max, so no site is gathered. Candidates with a
+    null or without positive utility at the start can never be chosen and go first.
     """
     p = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.col("prior")))
     h = -(p * F.log2(p) + (1 - p) * F.log2(1 - p))
-    c = candidates.withColumn("_h", h).withColumn("_i", 2 * F.col("reliability") - 1).withColumn("utility", F.col("value") * F.col("_h") * F.col("_i") - F.col("cost")).where("utility > 0")
-    c = c.withColumn("_n", F.row_number().over(W.partitionBy(site).orderBy(F.desc("utility"), "query_id"))).where("_n <= 1000").drop("_n")
-    kinds = {f.name: f.dataType.simpleString() for f in c.schema}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("query_id").reset_index(drop=True)
-        left = pdf.groupby("fluent")["_h"].max().to_dict()
-        free, spent, out = np.ones(len(pdf), bool), 0.0, []
-        for order in range(most):
-            u = np.where(free & (pdf["cost"].to_numpy() + spent <= budget), pdf["value"] * pdf["fluent"].map(left) * pdf["_i"] - pdf["cost"], -np.inf)
-            i = int(u.argmax())
-            if not u[i] > 0:
-                break
-            free[i], spent = False, spent + pdf["cost"][i]
-            left[pdf["fluent"][i]] *= 1 - pdf["_i"][i]
-            out.append((pdf[site][i], pdf["query_id"][i], order + 1, float(u[i])))
-        return pd.DataFrame(out, columns=[site, "query_id", "place", "gain"])
-
-    return c.groupBy(site).applyInPandas(run, f"{site} {kinds[site]}, query_id {kinds['query_id']}, place int, gain double")
+    c = candidates.select(F.col(site).alias("_site"), "query_id", "fluent", h.alias("_h"), (2 * F.col("reliability") - 1).alias("_i"), "value", F.col("cost").cast("double").alias("cost"))
+    c = c.where((F.col("value") * F.col("_h") * F.col("_i") > F.col("cost")) & F.col("_site").isNotNull() & F.col("fluent").isNotNull())
+    full = c.groupBy("_site", "fluent").agg(F.max("_h").alias("_h"))
+    c = written(c.drop("_h").join(full, ["_site", "fluent"]))
+    kind = c.schema["fluent"].dataType.simpleString()
+    none = F.create_map().cast(f"map<{kind},double>")
+    state = c.select("_site").distinct().select("_site", F.lit(0.0).alias("spent"), F.array().cast(f"array<{c.schema['query_id'].dataType.simpleString()}>").alias("taken"), none.alias("left"))
+    chosen = None
+    for place in range(1, most + 1):
+        left = F.coalesce(F.element_at("left", F.col("fluent")), F.lit(1.0))
+        gain = F.col("value") * F.col("_h") * left * F.col("_i") - F.col("cost")
+        open_ = c.join(state, "_site").where(~F.array_contains("taken", F.col("query_id")) & (F.col("spent") + F.col("cost") <= budget))
+        best = open_.select("_site", F.struct((-gain).alias("g"), "query_id", "fluent", "_i", "cost").alias("b")).where("b.g < 0").groupBy("_site").agg(F.min("b").alias("b"))
+        best = written(best.select("_site", (-F.col("b.g")).alias("gain"), "b.query_id", "b.fluent", "b._i", "b.cost"))
+        if best.isEmpty():
+            break
+        now = best.select("_site", "query_id", F.lit(place).alias("place"), "gain")
+        chosen = now if chosen is None else chosen.unionByName(now)
+        f = F.col("fluent")
+        was = F.coalesce(F.element_at("left", f), F.lit(1.0)) * (1 - F.col("_i"))
+        after = F.map_concat(F.map_filter("left", lambda k, v: k != f), F.create_map(f, was))
+        # a site without a choice has none in later rounds either: nothing that it is offered changes
+        state = written(best.join(state, "_site").select("_site", (F.col("spent") + F.col("cost")).alias("spent"), F.array_append("taken", F.col("query_id")).alias("taken"), after.alias("left")))
+    if chosen is None:
+        chosen = c.select("_site", "query_id", F.lit(1).alias("place"), F.lit(0.0).alias("gain")).limit(0)
+    return chosen.select(F.col("_site").alias(site), "query_id", "place", "gain")
 
 
 def leader_clusters(vectors: DataFrame, by: str, order: str, vec: str, radius: float, min_size: int) -> DataFrame:
-    """Leader clustering of each key's vectors in order: a vector joins the first leader within `radius`, else it leads."""
-    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema}
+    """Leader clustering of each key's vectors in order: a vector joins the first leader within `radius`, else it leads.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        leaders, sums, sizes = [], [], []
-        for v in pdf.sort_values(order)[vec]:
-            v = np.asarray(v, float)
-            near = [i for i, x in enumerate(leaders) if np.linalg.norm(v - x) <= radius]
-            if near:
-                sums[near[0]] += v
-                sizes[near[0]] += 1
-            else:
-                leaders.append(v)
-                sums.append(v.copy())
-                sizes.append(1)
-        out = [(pdf[by].iloc[0], i, n, (s / n).tolist()) for i, (s, n) in enumerate(zip(sums, sizes)) if n >= min_size]
-        return pd.DataFrame(out, columns=[by, "cluster", "size", "centroid"])
+    One row for each cluster of `min_size` or more: key, cluster (from 0 by its leader), size, centroid, density (members for
+    each unit of the mean distance to the leader). A key's vectors stream through in order; its leaders are what is held.
+    """
+
+    def begin() -> dict:
+        return {"leaders": np.empty((0, 0)), "sums": [], "sizes": [], "far": []}
 
-    return vectors.groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, cluster int, size int, centroid array<double>")
+    def step(s: dict, c: dict[str, list], a: int, b: int) -> list[tuple]:
+        for v in c["_v"][a:b]:
+            v = np.asarray(v, float)
+            if s["sizes"]:
+                d = np.sqrt(((s["leaders"] - v) ** 2).sum(axis=1))
+                near = np.flatnonzero(d <= radius)
+                if len(near):
+                    k = int(near[0])
+                    s["sums"][k] += v
+                    s["sizes"][k] += 1
+                    s["far"][k] += float(d[k])
+                    continue
+            s["leaders"] = np.vstack([s["leaders"], v]) if s["sizes"] else v[None, :]
+            s["sums"].append(v.copy())
+            s["sizes"].append(1)
+            s["far"].append(0.0)
+        return []
+
+    def end(s: dict) -> list[tuple]:
+        rows = zip(s["sums"], s["sizes"], s["far"])
+        return [(i, n, (total / n).tolist(), n / max(far / n, 1e-9)) for i, (total, n, far) in enumerate(rows) if n >= min_size]
+
+    rows = vectors.select(by, F.col(order).alias("_o"), F.col(vec).cast("array<double>").alias("_v")).where("_v IS NOT NULL")
+    return stream_keys(rows, [by], ["_o"], "cluster int, size int, centroid array<double>, density double", begin, step, end)
 
 
 def promote(hypothetical: DataFrame, scenario: str, modality: str, least_support: int, support: str) -> DataFrame:
@@ -171,16 +196,21 @@ def embed(rows: DataFrame, text: str, cache: DataFrame | None, fn: Callable[[lis
     return keyed.join(known, keyed["_h"] == known["content_hash"], "left").drop("_h", "content_hash"), fresh
 
 
-def hash_embedder(dim: int = 16) -> Callable[[list[str]], list[list[float]]]:
-    """A deterministic embedder for tests: equal texts have equal unit vectors."""
-    import hashlib
+def word_embedder(dim: int = 64) -> Callable[[list[str]], list[list[float]]]:
+    """An embedder without a model: words are hashed to signed places (feature hashing), so texts that share words are near.
+
+    Equal texts have equal unit vectors; a text without words has the zero vector.
+    """
+    import zlib
 
     def fn(texts: list[str]) -> list[list[float]]:
-        out = []
-        for t in texts:
-            v = np.random.default_rng(int.from_bytes(hashlib.sha256(t.encode()).digest()[:8], "little")).normal(size=dim)
-            out.append((v / np.linalg.norm(v)).tolist())
-        return out
+        out = np.zeros((len(texts), dim))
+        for i, t in enumerate(texts):
+            for w in t.lower().split():
+                h = zlib.crc32(w.encode())
+                out[i, h % dim] += 1.0 if h >> 16 & 1 else -1.0
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return (out / np.where(norm > 0, norm, 1.0)).tolist()
 
     return fn
 
@@ -213,51 +243,49 @@ def fit_logistic(rows: DataFrame, vec: str, label: str, dim: int, steps: int = 8
     return w[:-1].tolist(), float(w[-1])
 
 
-def rollouts(states: DataFrame, by: str, state: str, slope: float, intercept: float, sigma: float, horizon: int, stride: int, samples: int, seed: int = 0) -> DataFrame:
-    """Seeded linear rollouts of each state: mean and interval at every `stride` steps and the last; the interval holds the mean."""
-    kind = states.schema[by].dataType.simpleString()
-    leads = sorted({*range(stride, horizon + 1, stride), horizon})
+def forecast_distribution(states: DataFrame, state: str, slope: float, intercept: float, sigma: float, horizon: int, stride: int, level: float = 0.9) -> DataFrame:
+    """Mean and central interval of x' = slope x + intercept + noise at every `stride` steps and the last, for each state.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for key, x0 in zip(pdf[by], pdf[state]):
-                rng = np.random.default_rng([seed, int(key)])
-                x = np.full(samples, float(x0))
-                for lead in range(1, horizon + 1):
-                    x = slope * x + intercept + sigma * rng.normal(size=samples)
-                    if lead in leads:
-                        m, lo, hi = x.mean(), *np.quantile(x, [0.05, 0.95])
-                        out.append((key, lead, float(m), float(min(lo, m)), float(max(hi, m))))
-            yield pd.DataFrame(out, columns=[by, "lead", "mean", "lower", "upper"])
-
-    return states.select(by, state).mapInPandas(run, f"{by} {kind}, lead int, mean double, lower double, upper double")
+    The distribution of a linear recurrence with Gaussian noise is Gaussian, so its mean and variance at a lead are
+    numbers that depend on the lead alone; nothing is sampled. All columns of `states` stay; a null state has null figures.
+    """
+    z = normal_quantile((1 + level) / 2)
+    rows = []
+    for lead in sorted({*range(stride, horizon + 1, stride), horizon}):
+        gain = slope**lead
+        shift = intercept * sum(slope**i for i in range(lead))
+        half = z * sigma * sum(slope ** (2 * i) for i in range(lead)) ** 0.5
+        rows.append(F.struct(F.lit(lead).alias("lead"), F.lit(gain).alias("gain"), F.lit(shift).alias("shift"), F.lit(half).alias("half")))
+    out = states.select("*", F.explode(F.array(*rows)).alias("_at"))
+    mean = F.col(state) * F.col("_at.gain") + F.col("_at.shift")
+    return out.select(*states.columns, "_at.lead", mean.alias("mean"), (mean - F.col("_at.half")).alias("lower"), (mean + F.col("_at.half")).alias("upper"))
 
 
 def physics_gate(states: DataFrame, by: list[str], order: str, t: str, x: str, limit: float, speed: float, tolerance: float = 0.02) -> DataFrame:
-    """Accepts or refuses each state against the last accepted one: limit breach, a jump too far for the time, time running back."""
-    names = states.columns
-    keyed = states.repartition(*by).sortWithinPartitions(*by, order)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in states.schema) + ", accepted boolean, violations string"
+    """Accepts or refuses each state against the last accepted one: limit breach, a jump too far for the time, time running back.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, last = None, None
-        for pdf in batches:
-            flags, why = [], []
-            for r in pdf.itertuples(index=False):
-                r = dict(zip(names, r))
-                if (k := tuple(r[c] for c in by)) != key:
-                    key, last = k, None
-                bad = ["limit"] * (abs(r[x]) > limit * (1 + tolerance))
-                if last is not None:
-                    bad += ["order"] * (r[t] < last[0]) + ["teleport"] * (abs(r[x] - last[1]) > 1.5 * speed * max(r[t] - last[0], 0.0))
+    All columns stay, with accepted and violations; a state without a time or place is refused as `missing`.
+    """
+    rest = [f for f in states.schema.fields if f.name not in by]
+    names = [f.name for f in rest]
+
+    def step(s: dict, c: dict[str, list], a: int, b: int) -> list[tuple]:
+        out = []
+        for i in range(a, b):
+            when, place = c[t][i], c[x][i]
+            if when is None or place is None:
+                bad = ["missing"]
+            else:
+                bad = ["limit"] * (abs(place) > limit * (1 + tolerance))
+                if s:
+                    bad += ["order"] * (when < s["t"]) + ["teleport"] * (abs(place - s["x"]) > 1.5 * speed * max(when - s["t"], 0.0))
                 if not bad:
-                    last = (r[t], r[x])
-                flags.append(not bad)
-                why.append(",".join(bad))
-            yield pdf.assign(accepted=flags, violations=why)
+                    s.update(t=when, x=place)
+            out.append((*[c[n][i] for n in names], not bad, ",".join(bad)))
+        return out
 
-    return keyed.mapInPandas(run, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", accepted boolean, violations string"
+    return stream_keys(states, by, [order], schema, dict, step).select(*states.columns, "accepted", "violations")
 
 
 def nearest_neighbour_linkage(vectors: DataFrame, vec_id: str, vec: str, owner: str) -> DataFrame:

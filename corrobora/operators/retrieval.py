@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalar import dot, normalised
 from ..sources.scratch import written
 
 
@@ -15,19 +18,85 @@ def top_k(rows: DataFrame, by: list[str], k: int, *order: Column) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str, vec_id: str, vec: str, blocks: int = 64) -> DataFrame:
-    """The `k` vectors with the highest cosine for each query; ties go to the smaller id.
+def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str, vec_id: str, vec: str, block: int = 20_000) -> DataFrame:
+    """The `k` vectors with the highest cosine for each query (query_id, vec_id, score, rank); ties go to the smaller id.
 
-    Queries are a stated set: they are sent to all tasks in as many rounds as their size asks for, and every
-    task keeps its own best `k` before the shuffle (`blocks` parts by id), so what moves is k rows for each
-    query and part. Zero vectors have cosine 0. Vectors of other lengths than the query's do not count.
+    Queries are a stated set. They are counted and numbered, and go to the tasks in blocks of at most `block`; for each
+    block a task multiplies its vectors with the block and keeps its best `k` for each query, so what moves are k rows
+    for each query and task. Exact: scores that agree in 12 digits are ties. Zero vectors have cosine 0. Vectors of
+    another length than the query's do not count, nor do rows with a null id or vector.
     """
-    q = queries.select(F.col(query_id).alias("query_id"), normalised(vec).alias("_q"))
-    v = vectors.select(F.col(vec_id).alias("vec_id"), normalised(vec).alias("_v"), F.pmod(F.xxhash64(vec_id), F.lit(blocks)).alias("_part"))
-    pairs = v.join(F.broadcast(q), F.size("_q") == F.size("_v")).select("query_id", "vec_id", "_part", dot("_q", "_v").alias("score"))
-    order = (F.desc("score"), F.asc("vec_id"))
-    near = top_k(pairs, ["query_id", "_part"], k, *order).drop("rank", "_part")
-    return top_k(near, ["query_id"], k, *order)
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(vec).cast("array<double>").alias("v")).where("query_id IS NOT NULL AND v IS NOT NULL")
+    v = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vec).cast("array<double>").alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
+    parts = -(-q.count() // block) or 1
+    if parts > 1:  # whole blocks of at most `block`, whatever the hashes do
+        q = written(q.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(2 * parts)))).where("part IS NOT NULL")
+        groups = [q.where(F.col("part") == i).drop("part") for i in range(2 * parts)]
+    else:
+        groups = [q]
+    kinds = q.schema["query_id"].dataType.simpleString(), v.schema["vec_id"].dataType.simpleString()
+    found = None
+    for group in groups:
+        rows = group.toArrow()
+        now = v.mapInArrow(_best_of(rows.column(0).to_pylist(), rows.column(1).to_pylist(), k, *rows.schema.types[:1]), f"query_id {kinds[0]}, vec_id {kinds[1]}, score double")
+        now = now if parts == 1 else written(now)
+        found = now if found is None else found.unionByName(now)
+    return top_k(found, ["query_id"], k, F.desc("score"), F.asc("vec_id"))
+
+
+def _unit(rows: list[list[float]]) -> np.ndarray:
+    m = np.array(rows, float)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norm > 0, norm, 1.0)
+
+
+def _best_of(ids: list, vecs: list[list[float]], k: int, kind: pa.DataType):
+    """A mapInArrow function: for each of the given queries the best `k` of the task's vectors."""
+    sizes: dict[int, list[int]] = {}
+    for i, x in enumerate(vecs):
+        sizes.setdefault(len(x), []).append(i)
+    blocks = {}
+    for n, at in sizes.items():
+        for part in (at[i : i + 1000] for i in range(0, len(at), 1000)):  # bounds the score matrix of a batch
+            blocks[n, part[0]] = part, _unit([vecs[i] for i in part])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        vec_kind = None
+        for batch in batches:
+            vec_kind = batch.schema.types[0]
+            own, given = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            units = {}
+            for n in sizes:
+                at = [i for i, x in enumerate(given) if len(x) == n]
+                if at:
+                    names = np.empty(len(at), object)
+                    names[:] = [own[i] for i in at]
+                    units[n] = names, _unit([given[i] for i in at]).T
+            for n, (_, unit) in blocks.items():
+                if n[0] not in units:
+                    continue
+                names, turned = units[n[0]]
+                score = np.round(unit @ turned, 12)
+                names = np.broadcast_to(names, score.shape)
+                if n in best:
+                    score, names = np.hstack([best[n][0], score]), np.hstack([best[n][1], names])
+                if score.shape[1] > k:
+                    # all that reach the k-th score stay candidates; the smallest ids of them win
+                    kth = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+                    picks = []
+                    for row, ids_, least in zip(score, names, kth):
+                        c = np.flatnonzero(row >= least)
+                        picks.append(sorted(c, key=lambda i: (-row[i], ids_[i]))[:k])
+                    picks = np.array(picks)
+                    score, names = np.take_along_axis(score, picks, 1), np.take_along_axis(names, picks, 1)
+                best[n] = score, names
+        for n, (score, names) in best.items():
+            at = blocks[n][0]
+            query = [ids[i] for i in at for _ in range(score.shape[1])]
+            yield pa.RecordBatch.from_arrays([pa.array(query, kind), pa.array(names.ravel().tolist(), vec_kind), pa.array(score.ravel())], names=["query_id", "vec_id", "score"])
+
+    return run
 
 
 def radius_join(queries: DataFrame, points: DataFrame, radius: float, query_id: str, point_id: str, axes: list[str]) -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .keyed import stream_keys
+
 
 def sustained_runs(series: DataFrame, by: list[str], t: str, true: Column, persistence: float, *aggs: Column) -> DataFrame:
     """Maximal runs of true samples as [start, end) that last `persistence` or longer.
@@ -115,43 +116,66 @@ def rate_limited(rows: DataFrame, by: list[str], t: str, window: float, most: in
 def change_points(series: DataFrame, by: list[str], t: str, state: str, hazard: float = 1 / 120, least_factor: float = 5.0, longest: int = 500) -> DataFrame:
     """Flips of a binary state that a run-length posterior calls changes: time, probability, direction, run length before.
 
-    The posterior over run lengths (a Bernoulli rate with a Beta(1, 1) prior in each run, a constant hazard)
-    is a recursion over one key's samples, so keys are grouped; the arrays have `longest` entries at most.
+    The posterior over run lengths (a Bernoulli rate with a Beta(1, 1) prior in each run, a constant hazard) is a
+    recursion over a key's samples in order of time. Run lengths of `longest` and more share one entry: their
+    weights are added and their rates averaged by weight, so that a long run keeps its evidence. Samples without
+    a time or state are left out.
     """
-    schema = ", ".join([f"{c} {series.schema[c].dataType.simpleString()}" for c in by]) + f", t double, probability double, factor double, direction int, run_before int"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([t, state])
-        out, last, since = [], None, 0
-        w, a, b = np.ones(1), np.ones(1), np.ones(1)
-        for i, (when, x) in enumerate(zip(pdf[t], pdf[state].astype(int))):
-            p = np.where(x, a, b) / (a + b)
-            grown, cut = w * p * (1 - hazard), float(w.sum()) * hazard * 0.5  # a new run knows nothing: one half
-            w = np.concatenate(([cut], grown))[: longest + 1]
-            w /= w.sum()
-            a = np.concatenate(([1.0], a + x))[: longest + 1]
-            b = np.concatenate(([1.0], b + 1 - x))[: longest + 1]
-            if last is not None and x != last and w[0] / hazard >= least_factor:
-                out.append((*[pdf[c].iloc[0] for c in by], float(when), float(w[0]), float(w[0] / hazard), 1 if x else -1, i - since))
-                since = i
-            last = x
-        return pd.DataFrame(out, columns=[*by, "t", "probability", "factor", "direction", "run_before"])
 
-    return series.groupBy(*by).applyInPandas(run, schema)
+    def begin() -> dict:
+        return {"w": np.ones(1), "a": np.ones(1), "b": np.ones(1), "last": None, "since": 0, "i": 0}
+
+    def step(s: dict, c: dict[str, list], lo: int, hi: int) -> list[tuple]:
+        out, (w, a, b) = [], (s["w"], s["a"], s["b"])
+        for when, x in zip(c["_t"][lo:hi], c["_x"][lo:hi]):
+            p = (a if x else b) / (a + b)
+            cut = float(w.sum()) * hazard * 0.5  # a new run knows nothing: one half
+            w = np.concatenate(([cut], w * p * (1 - hazard)))
+            w /= w.sum()
+            a = np.concatenate(([1.0], a + x))
+            b = np.concatenate(([1.0], b + 1 - x))
+            if len(w) > longest + 1:
+                both = w[-2:].sum()
+                share = w[-2:] / both if both > 0 else np.array([0.0, 1.0])
+                a[-2], b[-2], w[-2] = share @ a[-2:], share @ b[-2:], both
+                w, a, b = w[:-1], a[:-1], b[:-1]
+            if s["last"] is not None and x != s["last"] and w[0] / hazard >= least_factor:
+                out.append((when, float(w[0]), float(w[0] / hazard), 1 if x else -1, s["i"] - s["since"]))
+                s["since"] = s["i"]
+            s["last"], s["i"] = x, s["i"] + 1
+        s["w"], s["a"], s["b"] = w, a, b
+        return out
+
+    rows = series.select(*by, F.col(t).cast("double").alias("_t"), F.col(state).cast("int").alias("_x")).where("_t IS NOT NULL AND _x IS NOT NULL")
+    return stream_keys(rows, by, ["_t", "_x"], "t double, probability double, factor double, direction int, run_before int", begin, step)
 
 
 def suppress_within(events: DataFrame, by: list[str], t: str, confidence: str, gap: float) -> DataFrame:
-    """Greedy chain over a key's events: one within `gap` of the kept one is dropped, or replaces it if it is more confident."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        pdf = pdf.sort_values([t, confidence], ascending=[True, False]).reset_index(drop=True)
-        for i, (when, c) in enumerate(zip(pdf[t], pdf[confidence])):
-            if kept and when - pdf[t][kept[-1]] < gap:
-                if c > pdf[confidence][kept[-1]]:
-                    kept[-1] = i
+    """Greedy chain over a key's events: one within `gap` of the kept one is dropped, or replaces it if it is more confident.
+
+    A null confidence is below any other. Events without a time stay as they are. All columns are returned.
+    """
+    rest = [f for f in events.schema.fields if f.name not in by]
+    names = [f.name for f in rest]
+
+    def step(s: dict, c: dict[str, list], lo: int, hi: int) -> list[tuple]:
+        out = []
+        for i in range(lo, hi):
+            when, p = c[t][i], c[confidence][i]
+            row, p = tuple(c[n][i] for n in names), float("-inf") if p is None else p
+            if when is None:
+                out.append(row)
+            elif s.get("row") is not None and when - s["t"] < gap:
+                if p > s["p"]:
+                    s.update(row=row, t=when, p=p)
             else:
-                kept.append(i)
-        return pdf.iloc[kept]
+                if s.get("row") is not None:
+                    out.append(s["row"])
+                s.update(row=row, t=when, p=p)
+        return out
+
+    def end(s: dict) -> list[tuple]:
+        return [s["row"]] if s.get("row") is not None else []
 
-    return events.groupBy(*by).applyInPandas(run, events.schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
+    return stream_keys(events, by, [t, F.desc(confidence)], schema, dict, step, end).select(*events.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import claims as C, intervals as I, jobs as J, metrics as M, reconcile as R, retrieval as V, sequences as Q
+from ..operators import claims as C, graph as G, intervals as I, jobs as J, metrics as M, reconcile as R, retrieval as V, sequences as Q
 from .inputs import ASSERTIONS, ATOMS, CLAIMS, EVENTS, assertions, atoms, claims, events, table
 from .queries import _RUNS, query, r6
 
@@ -28,25 +28,25 @@ def d05_multi_index_search(spark, d):
 
 
 @query(f"""
-    WITH {ATOMS}, t AS (SELECT DISTINCT atom_id, p_brand, unnest(tags) AS tag FROM am), q AS (SELECT atom_id AS query_id, tag, count(*) OVER (PARTITION BY atom_id) AS n FROM t WHERE atom_id % 200 = 0),
+    WITH {ATOMS}, t AS (SELECT DISTINCT atom_id, p_brand, unnest(tags) AS tag FROM am), q AS (SELECT atom_id AS query_id, tag, count(*) OVER (PARTITION BY atom_id) AS n FROM t WHERE atom_id % 20 = 0),
     s AS (SELECT query_id, atom_id, p_brand, count(*) / max(n) AS score FROM q JOIN t USING (tag) GROUP BY 1, 2, 3), f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id, p_brand ORDER BY score DESC, atom_id) <= 20),
     r AS (SELECT query_id, atom_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, atom_id) AS rank FROM f)
     SELECT query_id, atom_id, round(1.0 / (60 + rank), 9) AS score, rank FROM r WHERE rank <= 10
 """)
 def d06_federated_search(spark, d):
     a = atoms(spark, d)
-    q = a.where("atom_id % 200 = 0").select(F.col("atom_id").alias("query_id"), "tags")
+    q = a.where("atom_id % 20 = 0").select(F.col("atom_id").alias("query_id"), "tags")
     out = J.federated_search(q, a, "p_brand", 10)
     return out.select("query_id", "atom_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""
-    WITH {ATOMS}, t AS (SELECT DISTINCT atom_id, p_brand, unnest(tags) AS tag FROM am), q AS (SELECT atom_id AS query_id, p_brand AS home, tag, atom_id % 400 = 0 AS strict FROM t WHERE atom_id % 200 = 0)
+    WITH {ATOMS}, t AS (SELECT DISTINCT atom_id, p_brand, unnest(tags) AS tag FROM am), q AS (SELECT atom_id AS query_id, p_brand AS home, tag, atom_id % 40 = 0 AS strict FROM t WHERE atom_id % 20 = 0)
     SELECT query_id, CASE WHEN strict THEN 'local' ELSE 'federated' END AS route, count(DISTINCT atom_id) AS hits FROM q JOIN t ON q.tag = t.tag AND (NOT strict OR home = p_brand) GROUP BY 1, 2
 """)
 def d07_route_by_quality(spark, d):
     a = atoms(spark, d).select("atom_id", "p_brand", F.explode(F.array_distinct("tags")).alias("tag"))
-    q = a.where("atom_id % 200 = 0").select(F.col("atom_id").alias("query_id"), F.col("p_brand").alias("home"), "tag", (F.col("atom_id") % 400 == 0).alias("strict"))
+    q = a.where("atom_id % 20 = 0").select(F.col("atom_id").alias("query_id"), F.col("p_brand").alias("home"), "tag", (F.col("atom_id") % 40 == 0).alias("strict"))
     local = q.where("strict").join(a, "tag").where("home = p_brand").withColumn("route", F.lit("local"))
     wide = q.where("NOT strict").join(a, "tag").withColumn("route", F.lit("federated"))
     return local.unionByName(wide).groupBy("query_id", "route").agg(F.countDistinct("atom_id").alias("hits"))
@@ -114,7 +114,7 @@ def d33_detection_summary(spark, d):
 
 
 @query("""
-    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey AS source, s_nationkey AS place, round(CASE WHEN s_nationkey IS NULL THEN NULL ELSE 0.9 * 0.95 END, 6) AS confidence
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey AS source, s_nationkey AS place, round(CASE WHEN s_nationkey IS NULL THEN NULL ELSE 0.9::DOUBLE * 0.95::DOUBLE END, 6) AS confidence
     FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_acctbal > 0
 """)
 def c12_anchor_documents(spark, d):
@@ -124,14 +124,16 @@ def c12_anchor_documents(spark, d):
 
 
 @query(f"""
-    WITH {ASSERTIONS}, s AS (SELECT * FROM asr WHERE valid_from <= 1209600 AND (valid_to IS NULL OR valid_to > 1209600)), f AS (SELECT state FROM s WHERE user_id = 1)
-    SELECT user_id, count(*) AS facts FROM asr WHERE user_id IN (SELECT user_id FROM s WHERE state IN (SELECT state FROM f)) GROUP BY 1
+    WITH {ASSERTIONS}, s AS (SELECT * FROM asr WHERE valid_from <= 1209600 AND (valid_to IS NULL OR valid_to > 1209600)), n AS (SELECT user_id, count(*) AS facts FROM asr GROUP BY 1),
+    near AS (SELECT DISTINCT a.user_id AS focus, b.user_id FROM s a JOIN s b ON a.state = b.state AND floor(a.tx_from / 86400) = floor(b.tx_from / 86400) WHERE a.user_id % 20 = 0)
+    SELECT focus, user_id, facts FROM near JOIN n USING (user_id)
 """)
 def c15_khop_subgraph(spark, d):
+    """Focus set: users whose id is divisible by 20; a zone is a state on one day."""
     a = assertions(spark, d)
-    s = a.where("valid_from <= 1209600 AND (valid_to IS NULL OR valid_to > 1209600)")
-    near = s.join(s.where("user_id = 1").select("state").distinct(), "state", "left_semi").select("user_id").distinct()
-    return a.join(near, "user_id", "left_semi").groupBy("user_id").agg(F.count("*").alias("facts"))
+    s = a.where("valid_from <= 1209600 AND (valid_to IS NULL OR valid_to > 1209600)").select("user_id", F.concat_ws("/", "state", F.floor(F.col("tx_from") / 86400)).alias("zone"))
+    near = G.khop(s.select(F.col("user_id").alias("entity"), "zone"), s.where("user_id % 20 = 0").select(F.col("user_id").alias("focus")).distinct(), 1)
+    return near.join(a.groupBy(F.col("user_id").alias("entity")).agg(F.count("*").alias("facts")), "entity").select("focus", F.col("entity").alias("user_id"), "facts")
 
 
 @query("""
@@ -274,7 +276,7 @@ def g22_modality_rank(spark, d):
     return table(spark, d, "events").select("event_id", S.modality_rank(m).alias("rank"))
 
 
-@query("SELECT event_id, (event_id % 24) * 3600 + (event_id % 60) * 60 + 0.5 AS seconds FROM events")
+@query("SELECT event_id, (event_id % 24) * 3600 + (event_id % 60) * 60 + 0.5::DOUBLE AS seconds FROM events")
 def g23_iso_duration(spark, d):
     e = table(spark, d, "events")
     text = F.concat(F.lit("PT"), F.col("event_id") % 24, F.lit("H"), F.col("event_id") % 60, F.lit("M0.5S"))
@@ -402,16 +404,21 @@ def i12_unacknowledged(spark, d):
     return unacknowledged(ask, ack).select("conv_id", "turn")
 
 
-@query()
+@query("""
+    WITH g AS (SELECT o_orderkey, o_custkey, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25) AS delivered FROM orders), a AS (SELECT o_custkey, bool_or(delivered) AS any_ FROM g GROUP BY 1)
+    SELECT o_orderkey, delivered, CASE WHEN NOT delivered THEN CASE WHEN any_ THEN 'drop' ELSE 'partition' END END AS reason FROM g JOIN a USING (o_custkey)
+""")
 def i10_lossy_replay(spark, d):
-    from ..streaming.jobs import lossy_replay
+    """Orders as a log, of which those with a large line item came through."""
+    from ..streaming.jobs import delivery_report
 
-    return lossy_replay(table(spark, d, "events").select("event_id", "event_type"), "event_id", "event_type", 0.1, ["err"])
+    through = table(spark, d, "lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey"))
+    return delivery_report(table(spark, d, "orders").select("o_orderkey", "o_custkey"), through, "o_orderkey", "o_custkey").select("o_orderkey", "delivered", "reason")
 
 
 @query()
 def j01_embed(spark, d):
-    rows, _ = J.embed(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", None, J.hash_embedder())
+    rows, _ = J.embed(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", None, J.word_embedder())
     return rows.select("p_partkey", "vec")
 
 
@@ -429,7 +436,12 @@ def k03_fit_concept(spark, d):
     return J.probe(v, "v", w, b, 1.0).select("vec_id", "y", "score")
 
 
-@query()
+@query(f"""
+    WITH {EVENTS}, x AS (SELECT user_id, arg_max(value, (t, event_id)) AS x FROM ev GROUP BY 1), l AS (SELECT unnest([4, 8, 10]) AS lead),
+    f AS (SELECT user_id, lead, x * pow(0.8, lead) + 10 * (1 - pow(0.8, lead)) / 0.2 AS mean, 1.6448536269514722 * 5 * sqrt((1 - pow(0.64, lead)) / 0.36) AS half FROM x, l)
+    SELECT user_id, lead, round(mean, 6) AS mean, round(mean - half, 5) AS lower, round(mean + half, 5) AS upper FROM f
+""")
 def k07_rollouts(spark, d):
     last = events(spark, d).groupBy("user_id").agg(F.max_by("value", F.struct("t", "event_id")).alias("x"))
-    return J.rollouts(last, "user_id", "x", 0.8, 10.0, 5.0, 10, 4, 200)
+    out = J.forecast_distribution(last, "x", 0.8, 10.0, 5.0, 10, 4)
+    return out.select("user_id", "lead", r6("mean").alias("mean"), F.round("lower", 5).alias("lower"), F.round("upper", 5).alias("upper"))

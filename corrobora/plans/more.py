@@ -33,9 +33,9 @@ def a11_metrics_exposition(spark, d):
     return lines.unionByName(m.limit(1).select(F.lit("# TYPE events_total counter").alias("line")))
 
 
-@query("SELECT conv_id, turn, role FROM conversations WHERE conv_id % 10 = 0 AND text IS NOT NULL")
+@query("SELECT conv_id, turn, role FROM conversations WHERE text IS NOT NULL")
 def a14_read_trace(spark, d):
-    return table(spark, d, "conversations").where("conv_id % 10 = 0 AND text IS NOT NULL").select("conv_id", "turn", "role").orderBy("conv_id", "turn")
+    return table(spark, d, "conversations").where("text IS NOT NULL").select("conv_id", "turn", "role").orderBy("conv_id", "turn")
 
 
 @query("SELECT doc_id, left(text, 200) AS summary, '[' || coalesce(source, 'unknown') || ':' || doc_id || ']' AS citation FROM documents")
@@ -142,10 +142,10 @@ def c08_nearest_points(spark, d):
 
 @query("""
     WITH e AS (SELECT l_suppkey AS a, l_partkey AS b, max(l_quantity) AS w FROM lineitem GROUP BY 1, 2), n AS (SELECT a AS entity, b AS other, w FROM e)
-    SELECT entity, p_partkey AS atom, round(w, 6) AS weight FROM n JOIN part ON p_partkey = other WHERE entity % 10 = 0
+    SELECT entity, p_partkey AS atom, round(w, 6) AS weight FROM n JOIN part ON p_partkey = other
 """)
 def c13_relational_search(spark, d):
-    e = table(spark, d, "lineitem").where("l_suppkey % 10 = 0").groupBy(F.col("l_suppkey").alias("entity"), F.col("l_partkey").alias("atom")).agg(r6(F.max("l_quantity")).alias("weight"))
+    e = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("entity"), F.col("l_partkey").alias("atom")).agg(r6(F.max("l_quantity")).alias("weight"))
     return e.join(table(spark, d, "part").select(F.col("p_partkey").alias("atom")), "atom")
 
 
@@ -178,11 +178,11 @@ def c20_match_capabilities(spark, d):
 
 @query()
 def c22_bind_tracks(spark, d):
-    e = events(spark, d).withColumn("slot", F.floor(F.col("t") / 3600))
-    a = e.where("event_type = 'purchase'").select("slot", F.col("event_id").alias("track"), F.col("p").alias("pa"))
-    b = e.where("event_type = 'view'").select("slot", F.col("event_id").alias("entity"), F.col("p").alias("pb"))
-    pairs = a.join(b, "slot").withColumn("probability", 1 - F.abs(F.col("pa") - F.col("pb")))
-    return A.bind(pairs.select("slot", "track", "entity", "probability"), ["slot"], "track", "entity", "probability")
+    e = events(spark, d).withColumn("slot", F.floor(F.col("t") / 86400))
+    a = e.where("event_type = 'purchase'").select("user_id", "slot", F.col("event_id").alias("track"), F.col("p").alias("pa"))
+    b = e.where("event_type = 'view'").select("user_id", "slot", F.col("event_id").alias("entity"), F.col("p").alias("pb"))
+    pairs = a.join(b, ["user_id", "slot"]).withColumn("probability", 1 - F.abs(F.col("pa") - F.col("pb")))
+    return A.bind(pairs.select("user_id", "slot", "track", "entity", "probability"), ["user_id", "slot"], "track", "entity", "probability")
 
 
 @query()
@@ -205,12 +205,12 @@ def c27_compare_versions(spark, d):
 
 
 @query(f"""
-    WITH {ATOMS}, t AS (SELECT DISTINCT atom_id, p_brand, p_type, unnest(tags) AS tag FROM am), s AS (SELECT a.atom_id AS query_id, b.atom_id FROM t a JOIN t b USING (tag) WHERE a.atom_id % 200 = 0 GROUP BY 1, 2 HAVING count(*) >= 2)
-    SELECT * FROM s UNION SELECT a.atom_id, b.atom_id FROM am a JOIN am b ON a.p_brand = b.p_brand AND a.p_type = b.p_type WHERE a.atom_id % 200 = 0
+    WITH {ATOMS}, t AS (SELECT DISTINCT atom_id, p_brand, p_type, unnest(tags) AS tag FROM am), s AS (SELECT a.atom_id AS query_id, b.atom_id FROM t a JOIN t b USING (tag) WHERE a.atom_id % 20 = 0 GROUP BY 1, 2 HAVING count(*) >= 2)
+    SELECT * FROM s UNION SELECT a.atom_id, b.atom_id FROM am a JOIN am b ON a.p_brand = b.p_brand AND a.p_type = b.p_type WHERE a.atom_id % 20 = 0
 """)
 def c32_relevance_labels(spark, d):
     a = atoms(spark, d)
-    q = a.where("atom_id % 200 = 0")
+    q = a.where("atom_id % 20 = 0")
     tags = q.select(F.col("atom_id").alias("query_id"), F.explode(F.array_distinct("tags")).alias("tag")).join(a.select("atom_id", F.explode(F.array_distinct("tags")).alias("tag")), "tag")
     both = tags.groupBy("query_id", "atom_id").count().where("count >= 2").drop("count")
     same = q.select(F.col("atom_id").alias("query_id"), "p_brand", "p_type").join(a.select("atom_id", "p_brand", "p_type"), ["p_brand", "p_type"]).select("query_id", "atom_id")
@@ -230,11 +230,11 @@ def d03_temporal_score(spark, d):
 
 @query(f"""
     WITH {ATOMS}, t AS (SELECT DISTINCT atom_id, unnest(tags) AS tag FROM am) SELECT q.atom_id AS query_id, t.atom_id, count(*) AS shared FROM t q JOIN t USING (tag) JOIN am ON am.atom_id = t.atom_id
-    WHERE q.atom_id % 200 = 0 AND p_brand <> 'Brand#1' GROUP BY 1, 2
+    WHERE q.atom_id % 20 = 0 AND p_brand <> 'Brand#1' GROUP BY 1, 2
 """)
 def d08_prefetch(spark, d):
     a = atoms(spark, d)
-    q = a.where("atom_id % 200 = 0").select(F.col("atom_id").alias("query_id"), F.explode(F.array_distinct("tags")).alias("tag"))
+    q = a.where("atom_id % 20 = 0").select(F.col("atom_id").alias("query_id"), F.explode(F.array_distinct("tags")).alias("tag"))
     far = a.select("atom_id", F.explode(F.array_distinct("tags")).alias("tag")).join(a.where("p_brand = 'Brand#1'").select("atom_id"), "atom_id", "left_anti")
     return q.join(far, "tag").groupBy("query_id", "atom_id").agg(F.count("*").alias("shared"))
 
@@ -509,7 +509,7 @@ def h13_verify_expectations(spark, d):
 
 
 @query("""
-    WITH dose AS (SELECT unnest([0.001, 0.01, 0.1]) AS dose), s AS (SELECT dose, s_suppkey, s_acctbal, s_acctbal * (1 + dose) / (1 + dose) + dose AS back FROM supplier, dose)
+    WITH dose AS (SELECT unnest([0.001, 0.01, 0.1]::DOUBLE[]) AS dose), s AS (SELECT dose, s_suppkey, s_acctbal, s_acctbal * (1 + dose) / (1 + dose) + dose AS back FROM supplier, dose)
     SELECT dose, count(*) AS n, round(sqrt(avg((back - s_acctbal) ** 2)), 6) AS rmse FROM s GROUP BY 1
 """)
 def h21_dose_response(spark, d):

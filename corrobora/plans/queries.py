@@ -282,34 +282,34 @@ def c26_snapshot_diff(spark, d):
 
 
 @query(f"""
-    WITH {ATOMS}, t AS (SELECT DISTINCT atom_id, unnest(tags) AS tag FROM am), q AS (SELECT atom_id AS query_id, tag, count(*) OVER (PARTITION BY atom_id) AS n FROM t WHERE atom_id % 100 = 0)
+    WITH {ATOMS}, t AS (SELECT DISTINCT atom_id, unnest(tags) AS tag FROM am), q AS (SELECT atom_id AS query_id, tag, count(*) OVER (PARTITION BY atom_id) AS n FROM t WHERE atom_id % 20 = 0)
     SELECT query_id, atom_id, round(count(*) / max(n), 6) AS score FROM q JOIN t USING (tag) GROUP BY 1, 2
 """)
 def d01_tag_overlap(spark, d):
     a = atoms(spark, d)
-    return V.tag_overlap(a.where("atom_id % 100 = 0"), a, "atom_id", "atom_id", "tags").withColumn("score", r6("score"))
+    return V.tag_overlap(a.where("atom_id % 20 = 0"), a, "atom_id", "atom_id", "tags").withColumn("score", r6("score"))
 
 
 @query(f"""
     WITH {ATOMS}, f AS (SELECT atom_id, 'brand' AS k, p_brand AS v FROM am UNION ALL SELECT atom_id, 'type', p_type FROM am)
-    SELECT q.atom_id AS query_id, f.atom_id, round(count(*) / 2, 6) AS score FROM f q JOIN f USING (k, v) WHERE q.atom_id % 200 = 0 GROUP BY 1, 2
+    SELECT q.atom_id AS query_id, f.atom_id, round(count(*) / 2, 6) AS score FROM f q JOIN f USING (k, v) WHERE q.atom_id % 20 = 0 GROUP BY 1, 2
 """)
 def d02_field_match(spark, d):
     a = atoms(spark, d)
-    return V.field_match(a.where("atom_id % 200 = 0"), a, "atom_id", "atom_id", "fields").withColumn("score", r6("score"))
+    return V.field_match(a.where("atom_id % 20 = 0"), a, "atom_id", "atom_id", "fields").withColumn("score", r6("score"))
 
 
 def _lists(spark, d):
     a = atoms(spark, d)
-    q = a.where("atom_id % 200 = 0")
+    q = a.where("atom_id % 20 = 0")
     tags = V.tag_overlap(q, a, "atom_id", "atom_id", "tags").withColumn("list", F.lit("symbolic"))
     fields = V.field_match(q, a, "atom_id", "atom_id", "fields").withColumn("list", F.lit("structured"))
     return tags.unionByName(fields).select("query_id", "list", (-F.round("score", 9)).alias("ord"), "atom_id")
 
 
 _LISTS = f"""{ATOMS}, t AS (SELECT DISTINCT atom_id, unnest(tags) AS tag FROM am), f AS (SELECT atom_id, 'brand' AS k, p_brand AS v FROM am UNION ALL SELECT atom_id, 'type', p_type FROM am),
-    ls AS (SELECT q.atom_id AS query_id, 'symbolic' AS list, t.atom_id, count(*) / any_value((SELECT count(*) FROM t z WHERE z.atom_id = q.atom_id)) AS score FROM t q JOIN t USING (tag) WHERE q.atom_id % 200 = 0 GROUP BY 1, 3
-    UNION ALL SELECT q.atom_id, 'structured', f.atom_id, count(*) / 2 FROM f q JOIN f USING (k, v) WHERE q.atom_id % 200 = 0 GROUP BY 1, 3),
+    ls AS (SELECT q.atom_id AS query_id, 'symbolic' AS list, t.atom_id, count(*) / any_value((SELECT count(*) FROM t z WHERE z.atom_id = q.atom_id)) AS score FROM t q JOIN t USING (tag) WHERE q.atom_id % 20 = 0 GROUP BY 1, 3
+    UNION ALL SELECT q.atom_id, 'structured', f.atom_id, count(*) / 2 FROM f q JOIN f USING (k, v) WHERE q.atom_id % 20 = 0 GROUP BY 1, 3),
     rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, list ORDER BY -round(score, 9), atom_id) AS r FROM ls),
     fu AS (SELECT query_id, atom_id, sum(CASE list WHEN 'symbolic' THEN 0.1 ELSE 0.3 END / (60 + r)) AS score FROM rk GROUP BY 1, 2),
     fr AS (SELECT query_id, atom_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, atom_id) AS rank FROM fu)"""
@@ -322,7 +322,7 @@ def d04_rank_fusion(spark, d):
 
 
 @query(f"""
-    WITH {_LISTS}, rel AS (SELECT a.atom_id AS query_id, b.atom_id FROM am a JOIN am b ON a.p_type = b.p_type AND a.p_size = b.p_size WHERE a.atom_id % 200 = 0),
+    WITH {_LISTS}, rel AS (SELECT a.atom_id AS query_id, b.atom_id FROM am a JOIN am b ON a.p_type = b.p_type AND a.p_size = b.p_size WHERE a.atom_id % 20 = 0),
     h AS (SELECT query_id, count(*) FILTER (rank <= 10) AS h, min(rank) AS first, coalesce(sum(1 / log2(rank + 1)) FILTER (rank <= 10), 0) AS dcg FROM fr JOIN rel USING (query_id, atom_id) GROUP BY 1),
     n AS (SELECT query_id, count(*) AS n FROM rel GROUP BY 1)
     SELECT query_id, round(coalesce(h / n, 0), 6) AS recall, round(coalesce(1 / first, 0), 6) AS reciprocal_rank,
@@ -331,7 +331,7 @@ def d04_rank_fusion(spark, d):
 def d20_retrieval_metrics(spark, d):
     a = atoms(spark, d)
     res = V.reciprocal_rank_fusion(_lists(spark, d), {"symbolic": 0.1, "structured": 0.3})
-    q = a.where("atom_id % 200 = 0").select(F.col("atom_id").alias("query_id"), "p_type", "p_size")
+    q = a.where("atom_id % 20 = 0").select(F.col("atom_id").alias("query_id"), "p_type", "p_size")
     rel = q.join(a.select("atom_id", "p_type", "p_size"), ["p_type", "p_size"]).select("query_id", "atom_id")
     m = V.retrieval_metrics(res, rel, 10)
     return m.select("query_id", *[r6(c).alias(c) for c in ("recall", "reciprocal_rank", "ndcg")])

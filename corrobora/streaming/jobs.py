@@ -77,10 +77,11 @@ def unacknowledged(commands: DataFrame, acks: DataFrame, key: str = "command_id"
     return commands.join(acks.select(key).distinct(), key, "left_anti")
 
 
-def lossy_replay(log: DataFrame, row_id: str, source: str, drop: float, partitioned: list[str], seed: int = 0) -> DataFrame:
-    """The log with what a lossy bus would deliver: sources whose name starts with a partitioned prefix, and a hashed share, are lost."""
-    cut = F.lit(False)
-    for prefix in partitioned:
-        cut = cut | F.col(source).startswith(prefix)
-    lost = F.pmod(F.xxhash64(F.lit(seed), F.col(row_id)), F.lit(1_000_000)) < int(drop * 1_000_000)
-    return log.withColumn("reason", F.when(cut, "partition").when(lost, "drop")).withColumn("delivered", F.col("reason").isNull())
+def delivery_report(log: DataFrame, delivered: DataFrame, row_id: str, source: str) -> DataFrame:
+    """Each row of the log with whether it was delivered and, if not, why: `partition` where none of its source's rows
+    came through, else `drop`. `delivered` has the ids that came through; rows without a source are each their own source."""
+    got = delivered.select(F.col(row_id).alias("_id")).distinct().withColumn("_got", F.lit(True))
+    out = log.join(got, F.col(row_id) == F.col("_id"), "left").withColumn("delivered", F.col("_got").isNotNull()).drop("_id", "_got")
+    any_ = out.groupBy(F.col(source).alias("_source")).agg(F.bool_or("delivered").alias("_any")).where("_source IS NOT NULL")
+    out = out.join(any_, F.col(source) == F.col("_source"), "left")
+    return out.withColumn("reason", F.when(~F.col("delivered"), F.when(F.col("_any"), "drop").otherwise("partition"))).drop("_source", "_any")

@@ -61,10 +61,10 @@ def test_leaders_embedding_and_probe(spark):
     got = J.leader_clusters(v, "k", "i", "v", 0.5, 2).orderBy("cluster").collect()
     assert [(r["size"], round(r["centroid"][0], 6)) for r in got] == [(3, 0.1), (2, 5.05)]
     rows = spark.createDataFrame([(1, "x"), (2, "x"), (3, None)], "id int, t string")
-    out, fresh = J.embed(rows, "t", None, J.hash_embedder())
+    out, fresh = J.embed(rows, "t", None, J.word_embedder())
     vec = {r["id"]: r["vec"] for r in out.collect()}
-    assert fresh.count() == 2 and vec[1] == vec[2] and math.isclose(sum(x * x for x in vec[3]), 1.0)
-    _, again = J.embed(rows, "t", fresh, J.hash_embedder())
+    assert fresh.count() == 2 and vec[1] == vec[2] and math.isclose(sum(x * x for x in vec[1]), 1.0) and not any(vec[3])
+    _, again = J.embed(rows, "t", fresh, J.word_embedder())
     assert again.count() == 0
     with pytest.raises(ValueError):
         J.probe(v, "v", [1.0], 0.0, None)
@@ -78,11 +78,17 @@ def test_logistic_fit_separates(spark):
     assert (((x @ w + b) > 0) == y).mean() > 0.97 and w[0] > 0 > w[1]
 
 
-def test_rollouts_hold_their_mean(spark):
-    s = spark.createDataFrame([(1, 10.0), (2, 0.0)], "k long, x double")
-    got = J.rollouts(s, "k", "x", 0.5, 0.0, 0.0, 5, 2, 10).collect()
+def test_forecasts_follow_the_recurrence(spark):
+    s = spark.createDataFrame([(1, 10.0), (2, None)], "k long, x double")
+    got = J.forecast_distribution(s, "x", 0.5, 0.0, 2.0, 5, 2).collect()
     assert {(r["k"], r["lead"], r["mean"]) for r in got if r["k"] == 1} == {(1, 2, 2.5), (1, 4, 0.625), (1, 5, 0.3125)}
-    assert all(r["lower"] <= r["mean"] <= r["upper"] for r in got)
+    rng = np.random.default_rng(0)
+    x = np.full(200_000, 10.0)
+    for _ in range(4):
+        x = 0.5 * x + 2.0 * rng.normal(size=len(x))
+    four = next(r for r in got if r["k"] == 1 and r["lead"] == 4)
+    assert np.allclose(np.quantile(x, [0.05, 0.95]), [four["lower"], four["upper"]], atol=0.05)
+    assert all(r["mean"] is None for r in got if r["k"] == 2)
 
 
 def test_bindings_and_matches(spark):
