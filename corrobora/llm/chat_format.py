@@ -4,10 +4,11 @@ Grammar of a formatted conversation, turn after turn:
 
     turn := <|im_start|> ROLE \n TEXT <|im_end|> \n
 
-ROLE ends at the first newline, TEXT at the first `<|im_end|>`. Inside ROLE and TEXT the parser takes one
-backslash out of every `<\...\|` (a less-than sign, one or more backslashes, a bar); in ROLE it also reads
-`\n` and `\\`. The formatter writes a turn as it is, parses it, and compares. Where that differs from
-the source it escapes the turn's texts, which puts one backslash into every `<|`, `<\|`, `<\\|`, ... .
+ROLE ends at the first newline, TEXT at the first `<|im_end|>`; neither holds `<|im_start|>`. Inside ROLE and
+TEXT the parser takes one backslash out of every `<\...\|` (a less-than sign, one or more backslashes, a bar); in
+ROLE it also reads `\n` and `\\`. The formatter writes a turn as it is, parses it, and compares. Where the parser
+refuses it or the turn differs from the source, the turn's texts are escaped, which puts one backslash into every
+`<|`, `<\|`, `<\\|`, ... .
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +44,8 @@ def parse(text: str) -> list[tuple[str, str, int, int]]:
         end = text.find(END, line + 1)
         if line < 0 or end < 0 or not text.startswith("\n", end + len(END)):
             raise ValueError(f"the turn at {at} has no end")
+        if text.find(START, at + 1, end) >= 0 or text.find(END, at, line) >= 0:
+            raise ValueError(f"a turn starts or ends inside the turn at {at}")
         role = _ROLE_OUT.sub(lambda m: "\n" if m[1] == "n" else "\\", unescape(text[at + len(START) : line]))
         turns.append((role, unescape(text[line + 1 : end]), line + 1, end))
         at = end + len(END) + 1
@@ -50,9 +53,8 @@ def parse(text: str) -> list[tuple[str, str, int, int]]:
 
 
 def render(role: str, text: str) -> str:
-    """One formatted turn that parses back to exactly this role and text and holds no control string in them."""
-    plain = not (_MARK.search(text) or _MARK.search(role))
-    for out_role, out_text in [(role, text)] * plain + [(escape(role.replace("\\", "\\\\").replace("\n", "\\n")), escape(text))]:
+    """One formatted turn that parses back to exactly this role and text; the grammar lets no control string stand in them."""
+    for out_role, out_text in [(role, text), (escape(role.replace("\\", "\\\\").replace("\n", "\\n")), escape(text))]:
         out = f"{START}{out_role}\n{out_text}{END}\n"
         try:
             if [x[:2] for x in parse(out)] == [(role, text)]:
@@ -62,16 +64,13 @@ def render(role: str, text: str) -> str:
     raise ValueError("a turn could not be escaped")
 
 
-def _runs(batches: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[object, bool, pd.DataFrame]]:
-    """Rows that follow one another with one key: the key, whether it has just begun, the rows."""
-    last = object()
-    for pdf in batches:
-        keys = pdf[key].to_numpy(dtype=object, na_value=None)
-        starts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
-        for a, b in zip(starts, starts[1:]):
-            if a < b:
-                yield keys[a], keys[a] != last, pdf.iloc[a:b]
-                last = keys[a]
+def _runs(batch: pa.RecordBatch, key: list, last: object) -> Iterator[tuple[object, bool, int, int]]:
+    """Rows that follow one another with one key: the key, whether it has just begun, first row, last row plus one."""
+    starts = [0, *[i for i in range(1, len(key)) if key[i] != key[i - 1]], len(key)]
+    for a, b in zip(starts, starts[1:]):
+        if a < b:
+            yield key[a], key[a] != last, a, b
+            last = key[a]
 
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", chunk_chars: int = 1 << 20) -> DataFrame:
@@ -80,8 +79,9 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     A conversation's chunks, one after the other, are its text; a chunk holds whole turns and ends when it
     has `chunk_chars`, so that a huge conversation streams through. Loss spans are code points in the
     chunk, end exclusive, and cover what assistants say. Turns stand in order of turn, then role, then
-    text (nulls first); repeated rows count. Null roles and texts are empty. A null id is a conversation
-    of its own. Other columns are not read. The rows of a partition are in order of conversation, chunk.
+    text (nulls first); repeated rows count. Null roles and texts are empty. Turns with a null id are one conversation
+    of their own; ids of any type stay as they are. Other columns are not read. The rows of a partition are in order
+    of conversation, chunk.
     """
     kind = turns.schema[conv_col].dataType.simpleString()
     rows = turns.select(
@@ -89,8 +89,8 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     )
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, conv, chunk, parts, size, starts, ends = [], None, 0, [], 0, [], []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, id_kind, last, conv, chunk, parts, size, starts, ends = [], None, object(), None, 0, [], 0, [], []
 
         def flush() -> None:
             nonlocal chunk, parts, size, starts, ends
@@ -98,28 +98,35 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
                 out.append((conv, chunk, "".join(parts), starts, ends))
                 chunk, parts, size, starts, ends = chunk + 1, [], 0, [], []
 
-        names = ["conv_id", "chunk", "formatted", "loss_starts", "loss_ends"]
-        for key, new, pdf in _runs(batches, "conv_id"):
-            if new:
-                flush()
-                conv, chunk = key, 0
-            for role, text in zip(pdf["role"], pdf["text"]):
-                turn = render(role, text)
-                if role == "assistant":
-                    starts.append(size + len(START) + len(role) + 1)
-                    ends.append(size + len(turn) - len(END) - 1)
-                parts.append(turn)
-                size += len(turn)
-                if size >= chunk_chars:
+        def made() -> pa.RecordBatch:
+            spans = pa.list_(pa.int32())
+            columns = [pa.array(list(c), k) for c, k in zip(zip(*out), (id_kind, pa.int32(), pa.string(), spans, spans))]
+            return pa.RecordBatch.from_arrays(columns, names=["conv_id", "chunk", "formatted", "loss_starts", "loss_ends"])
+
+        for batch in batches:
+            id_kind = batch.schema.types[0]
+            keys, roles, texts = (batch.column(i).to_pylist() for i in (0, 2, 3))
+            for key, new, a, b in _runs(batch, keys, last):
+                if new:
                     flush()
-            if len(out) >= 2000 or sum(len(x[2]) for x in out[-8:]) > 4 * chunk_chars:
-                yield pd.DataFrame(out, columns=names)
-                out.clear()
+                    conv, chunk, last = key, 0, key
+                for role, text in zip(roles[a:b], texts[a:b]):
+                    turn = render(role, text)
+                    if role == "assistant":
+                        starts.append(size + len(START) + len(role) + 1)
+                        ends.append(size + len(turn) - len(END) - 1)
+                    parts.append(turn)
+                    size += len(turn)
+                    if size >= chunk_chars:
+                        flush()
+                if len(out) >= 2000 or sum(len(x[2]) for x in out[-8:]) > 4 * chunk_chars:
+                    yield made()
+                    out.clear()
         flush()
         if out:
-            yield pd.DataFrame(out, columns=names)
+            yield made()
 
-    return rows.mapInPandas(run, f"conv_id {kind}, chunk int, formatted string, loss_starts array<int>, loss_ends array<int>")
+    return rows.mapInArrow(run, f"conv_id {kind}, chunk int, formatted string, loss_starts array<int>, loss_ends array<int>")
 
 
 def read_back(chunks: DataFrame) -> DataFrame:
@@ -132,37 +139,44 @@ def read_back(chunks: DataFrame) -> DataFrame:
     """
     kind = chunks.schema["conv_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        state, out = None, []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, out, last, id_kind = None, [], object(), None
 
         def flush() -> None:
             if state:
                 conv, n, h, chars, loss, size = state
                 out.append((conv, n, h.hexdigest(), chars, loss.hexdigest(), size))
 
-        for key, new, pdf in _runs(batches, "conv_id"):
-            if new:
-                flush()
-                state = [key, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-            for text, starts, ends in zip(pdf["formatted"], pdf["loss_starts"], pdf["loss_ends"]):
-                spans = dict(zip(starts, ends, strict=True))
-                for role, content, a, b in parse(text):
-                    state[1] += 1
-                    state[2].update(f"{role}\n{content}\n".encode("utf-8", "surrogatepass"))
-                    if a in spans:
-                        if spans.pop(a) != b:
-                            raise ValueError("a loss span is not a turn's content")
-                        state[3] += len(content)
-                        state[4].update(content.encode("utf-8", "surrogatepass"))
-                if spans:
-                    raise ValueError("a loss span is not a turn's content")
-                state[5] += len(text)
-            if len(out) >= 5000:
-                yield pd.DataFrame(out, columns=names)
-                out.clear()
+        def made() -> pa.RecordBatch:
+            kinds = (id_kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            columns = [pa.array(list(c), k) for c, k in zip(zip(*out), kinds)]
+            return pa.RecordBatch.from_arrays(columns, names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+        for batch in batches:
+            id_kind = batch.schema.types[0]
+            keys, texts, starts, ends = (batch.column(i).to_pylist() for i in (0, 2, 3, 4))
+            for key, new, a, b in _runs(batch, keys, last):
+                if new:
+                    flush()
+                    state, last = [key, 0, hashlib.sha256(), 0, hashlib.sha256(), 0], key
+                for i in range(a, b):
+                    spans = dict(zip(starts[i], ends[i], strict=True))
+                    for role, content, x, y in parse(texts[i]):
+                        state[1] += 1
+                        state[2].update(f"{role}\n{content}\n".encode("utf-8", "surrogatepass"))
+                        if x in spans:
+                            if spans.pop(x) != y:
+                                raise ValueError("a loss span is not a turn's content")
+                            state[3] += len(content)
+                            state[4].update(content.encode("utf-8", "surrogatepass"))
+                    if spans:
+                        raise ValueError("a loss span is not a turn's content")
+                    state[5] += len(texts[i])
+                if len(out) >= 5000:
+                    yield made()
+                    out.clear()
         flush()
         if out:
-            yield pd.DataFrame(out, columns=names)
+            yield made()
 
-    return chunks.mapInPandas(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return chunks.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -1,9 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then local alignment.
 
-Word n-grams of the test items meet the same n-grams in the corpus and point to passages. Passages with a
-seed that is rare compared with the rest of its item are aligned with the item (Smith-Waterman over words),
-which also scores copies with words put in, left out or changed. Common seeds alone start an alignment only
-where the words that passage and item share could reach the score, so a copy that stands in many rows stays.
+Word n-grams of the test items are seeds. They are joined with the corpus for their document frequencies; then
+they point to passages. A passage with a seed that is rare is aligned with the item (Smith-Waterman over words), which
+also scores copies with words put in, left out or changed. Passages with common seeds alone are aligned where the
+words that they share with the item could reach the score, so a copy that stands in many rows stays.
 """
 
 from __future__ import annotations
@@ -11,10 +11,12 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,117 +68,121 @@ def _windows(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _seeded(docs: DataFrame, items: list[list[str]], n: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, row, item, seeds, starts, windows): passages around the n-grams that a row shares with an item."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    places: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
-    for k, words in enumerate(items):
-        for i in range(max(1, len(words) - n + 1)):
-            if words:
-                places[tuple(words[i : i + n])].append((k, i))
-    number = {s: i for i, s in enumerate(places)}
-    short = {len(s) for s in places} - {n}  # items of fewer words than a seed are seeds as a whole
-    sizes = [len(x) for x in items]
+def seeds_of(words: list[str], n: int) -> np.ndarray:
+    """64-bit hashes of the word n-grams of a text, one for each place."""
+    if len(words) < n:
+        return np.empty(0, np.uint64)
+    own = [_hash(w) for w in words]
+    h = np.array(own, np.uint64)
+    out = np.zeros(len(h) - n + 1, np.uint64)
+    for i in range(n):
+        out = (out ^ h[i : i + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+@lru_cache(1 << 18)
+def _hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
+class Block:
+    """Some test items: their words, and the places of their seeds, for the tasks."""
+
+    def __init__(self, items: list[tuple[object, list[str]]], n: int):
+        self.n, self.names, self.words = n, [x[0] for x in items], [x[1] for x in items]
+        own = [seeds_of(w, n) for w in self.words]
+        seeds = np.concatenate([np.empty(0, np.uint64), *own])
+        item = np.repeat(np.arange(len(own)), [len(x) for x in own])
+        place = np.concatenate([np.empty(0, np.int64), *[np.arange(len(x)) for x in own]])
+        order = np.argsort(seeds, kind="stable")
+        self.seeds, self.item, self.place = seeds[order], item[order], place[order]
+        self.bags = [Counter(w) for w in self.words]
+        self.rare = np.ones(len(self.seeds), bool)
+
+    def hits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the text, entry of the seed) of every seed in `words`."""
+        found = seeds_of(words, self.n)
+        lo = np.searchsorted(self.seeds, found)
+        at = np.flatnonzero(self.seeds[np.minimum(lo, len(self.seeds) - 1)] == found) if len(self.seeds) else np.empty(0, int)
+        if not len(at):
+            return at, at
+        hi = np.searchsorted(self.seeds, found[at], "right")
+        counts = hi - lo[at]
+        entry = np.repeat(lo[at], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        return np.repeat(at, counts), entry
+
+
+def seed_frequencies(docs: DataFrame, seeds: np.ndarray, n: int, text_col: str) -> DataFrame:
+    """(seed, n): in how many rows of `docs` each of the sorted distinct `seeds` stands. Each task adds up before the shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(seeds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = places.keys()
-        known = set(grams)
+        known = sent.value
+        n_rows = np.zeros(len(known), np.int64)
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for r, text in enumerate(batch.column(1).to_pylist()):
-                words = words_of(text)
-                hit = {m: known.intersection(zip(*[words[i:] for i in range(m)])) for m in (n, *short)}
-                if not any(hit.values()):
-                    continue
-                spans, seeds = defaultdict(list), defaultdict(set)
-                for m, found in hit.items():
-                    if not found:
-                        continue
-                    for d, gram in enumerate(zip(*[words[i:] for i in range(m)])):
-                        if gram in found:
-                            for item, i in places[gram]:
-                                pad = 4 + sizes[item] // 4
-                                spans[item].append((max(0, d - i - pad), min(len(words), d - i + sizes[item] + pad)))
-                                seeds[item].add(number[gram])
-                for item in spans:
-                    w = _windows(spans[item])
-                    for column, value in zip(out, (r, item, sorted(seeds[item]), [a for a, _ in w], [" ".join(words[a:b]) for a, b in w])):
-                        column.append(value)
-            if out[0]:
-                columns = [batch.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32())]
-                columns += [pa.array(out[2], pa.list_(pa.int32())), pa.array(out[3], pa.list_(pa.int32())), pa.array(out[4], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "item", "seeds", "starts", "windows"])
-
-    schema = f"id {kind}, item int, seeds array<int>, starts array<int>, windows array<string>"
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, schema)
-    return rows
-
-
-def _common(found: DataFrame, items: list[list[str]], times: float, least: int) -> set[int]:
-    """Seeds in more than `least` rows of the corpus and more than `times` the median seed of every item they stand in."""
-    df = {r["seed"]: r["n"] for r in found.select(F.explode(F.array_distinct("seeds")).alias("seed"), "item").groupBy("seed", "item").count().groupBy("seed").agg(F.max("count").alias("n")).collect()}
-    by_item = found.select("item", F.explode("seeds").alias("seed")).distinct().collect()
-    own = defaultdict(list)
-    for r in by_item:
-        own[r["item"]].append(r["seed"])
-    common = {s for s, c in df.items() if c > least}
-    for item, seeds in own.items():
-        n = len(items[item])
-        counts = sorted([df[s] for s in seeds] + [0] * max(0, n - 2 - len(seeds)))  # seeds that nowhere occur count as 0
-        middle = counts[len(counts) // 2]
-        common -= {s for s in seeds if df[s] <= times * max(1, middle)}
-    return common
+            for text in batch.column(0).to_pylist():
+                found = seeds_of(words_of(text), n)
+                if len(found) and len(known):
+                    at = np.searchsorted(known, found)
+                    at = np.minimum(at, len(known) - 1)
+                    n_rows[np.unique(at[known[at] == found])] += 1
+        seen = np.flatnonzero(n_rows)
+        yield pa.RecordBatch.from_arrays([pa.array(known[seen].view(np.int64)), pa.array(n_rows[seen])], names=["seed", "n"])
+
+    return docs.select(F.col(text_col).alias("t")).mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
 
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    n: int = 3, least_score: float = 0.5, block: int = 20_000, common_times: float = 8.0, common_rows: int = 20,
+    n: int = 3, least_words: int = 5, least_score: float = 0.5, block: int = 20_000, common_times: float = 8.0,
 ) -> DataFrame:
     """Rows (id, item_id, score, first_word, end_word): where a row of `docs` holds most of a test item.
 
     `score` is the local alignment's over that of the item with itself, 0 to 1, and is `least_score` or
     more; the words of the row from `first_word` up to `end_word` are aligned. A row of `docs` has one row
     for each item, its best passage; repeated rows and ids each have theirs. Empty and null texts and
-    items match nothing. Ids may be null. Other columns are not read.
+    items match nothing, nor do items of fewer than `least_words` words, which name no passage: a row with the word
+    "yes" does not leak the item "Yes.". Ids may be null. Other columns are not read.
 
-    Test items are a query set: they go to all tasks in blocks of at most `block` items, so that what is
-    sent has a bound however many there are, and the corpus is read once for each block. Text is never
-    shuffled. Document frequencies of seeds are counted over all rows.
+    A seed is rare if it is in no more rows than `common_times` the median seed of its item. Common seeds only ask for
+    more before an alignment: no result depends on how common a seed is, or on `block`. Test items are a query set: they
+    go to all tasks in blocks of at most `block` items, so that what is sent has a bound however many there are. Text
+    is never shuffled, and no passage is written before the frequencies are known.
     """
-    items_df = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text"))
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    item_kind = items_df.schema["item_id"].dataType.simpleString()
+    item_kind = items.schema["item_id"].dataType.simpleString()
     out, part = None, []
 
     def block_leaks(part: list) -> DataFrame:
-        names, items = [r["item_id"] for r in part], [words_of(r["text"]) for r in part]
-        found = materialize(_seeded(docs, items, n, id_col, text_col))
-        common = _common(found, items, common_times, common_rows)
-        bags = [Counter(x) for x in items]
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                rows = []
-                for id_, item, seeds, starts, windows in zip(pdf["id"], pdf["item"], pdf["seeds"], pdf["starts"], pdf["windows"]):
-                    own, best = items[item], (0.0, 0, 0)
-                    only_common = common.issuperset(seeds)
-                    alphabet = set(own)
-                    for start, text in zip(starts, windows):
-                        passage = text.split(" ")
-                        if sum(w in alphabet for w in passage) < least_score * len(own):
-                            continue  # each matching word adds one match's score at most
-                        if only_common and sum((bags[item] & Counter(passage)).values()) < least_score * len(own):
-                            continue  # the same bound, each word as often as both have it
-                        got, a, b = align(own, passage)
-                        best = max(best, (got / (2 * len(own)), -(start + a), start + b))
-                    if best[0] >= least_score:
-                        rows.append((id_, names[item], best[0], -best[1], best[2]))
-                yield pd.DataFrame(rows, columns=["id", "item_id", "score", "first_word", "end_word"])
-
-        return found.mapInPandas(run, f"id {kind}, item_id {item_kind}, score double, first_word int, end_word int")
-
-    for r in items_df.toLocalIterator():
-        part.append(r)
+        own = Block(part, n)
+        df = seed_frequencies(docs, np.unique(own.seeds), n, text_col)
+        entries = docs.sparkSession.createDataFrame(pd.DataFrame({"seed": own.seeds.view(np.int64), "item": own.item}).drop_duplicates(), "seed long, item int")
+        joined = entries.join(df, "seed", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        middle = joined.groupBy("item").agg(F.greatest(F.lit(1), F.percentile_approx("n", F.lit(0.5))).alias("middle"))
+        common = joined.join(middle, "item").where(F.col("n") > common_times * F.col("middle")).select("seed", "item").toPandas()  # of one block
+        if len(common):
+            pairs = pd.MultiIndex.from_arrays([own.seeds.view(np.int64), own.item])
+            own.rare = ~pairs.isin(pd.MultiIndex.from_frame(common[["seed", "item"]]))
+        sent = docs.sparkSession.sparkContext.broadcast(own)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = sent.value
+            for batch in batches:
+                rows: list[tuple] = []
+                for r, text in enumerate(batch.column(1).to_pylist()):
+                    rows += [(r, *x) for x in leaks_in(words_of(text), items, least_score)]
+                if rows:
+                    r, item, score, first, end = zip(*rows)
+                    columns = [batch.column(0).take(pa.array(r, pa.int64())), pa.array([items.names[i] for i in item]), pa.array(score, pa.float64()), pa.array(first, pa.int32()), pa.array(end, pa.int32())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "item_id", "score", "first_word", "end_word"])
+
+        return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, item_id {item_kind}, score double, first_word int, end_word int")
+
+    for r in items.toLocalIterator():
+        if len(words := words_of(r["text"])) >= max(n, least_words):
+            part.append((r["item_id"], words))
         if len(part) == block:
             now = materialize(block_leaks(part))
             out, part = (now if out is None else out.unionByName(now)), []
@@ -184,3 +190,31 @@ def find_leaks(
         now = block_leaks(part)
         out = now if out is None else out.unionByName(now)
     return out.withColumnRenamed("id", id_col)
+
+
+def leaks_in(words: list[str], items: Block, least_score: float) -> list[tuple[int, float, int, int]]:
+    """(item, score, first word, end word) of each item of the block that `words` hold."""
+    at, entry = items.hits(words)
+    if not len(at):
+        return []
+    spans, rare = defaultdict(list), set()
+    own = items.item[entry]
+    for d, e, k in zip(at.tolist(), entry.tolist(), own.tolist()):
+        spans[k].append(d - int(items.place[e]))
+        if items.rare[e]:
+            rare.add(k)
+    out = []
+    for k, starts in spans.items():
+        item, best = items.words[k], (0.0, 0, 0)
+        size, bag = len(item), items.bags[k]
+        pad, need = 4 + size // 4, least_score * size
+        for a, b in _windows([(max(0, s - pad), min(len(words), s + size + pad)) for s in set(starts)]):
+            passage = words[a:b]
+            # each matching word adds one match's score at most, as often as both have it
+            if sum(w in bag for w in passage) < need or (k not in rare and sum((bag & Counter(passage)).values()) < need):
+                continue
+            got, first, end = align(item, passage)
+            best = max(best, (got / (2 * size), -(a + first), a + end))
+        if best[0] >= least_score:
+            out.append((k, best[0], -best[1], best[2]))
+    return out

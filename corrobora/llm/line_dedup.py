@@ -9,18 +9,15 @@ verified by a banded bit-parallel edit distance, a fold over the characters of o
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, materialize
-
-#: A table of at most so many numbers is sent to all tasks; a larger one is joined by shuffling.
-SENT_ROWS = 1_000_000
+from .shared import connected_components, materialize, sent
 
-
-def _sent(df: DataFrame) -> DataFrame:
-    """A table of numbers, marked for broadcast if its counted size allows."""
-    return F.broadcast(df) if df.count() <= SENT_ROWS else df
+#: Lines behind one key beyond this many are dealt out again by their parities.
+HOT_LINES = 1_000
 
 
 def segment_keys(line: str, size: str, edits: int) -> Column:
@@ -100,16 +97,19 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Links (a, b) between different lines within `edits`, as digests; each pair once.
 
     Text is not shuffled. Only numbers are: keys with more than one line behind them are found first by a
-    combining aggregate, so that a line which a third of all rows have counts once in each task.
+    combining aggregate, so that a line which a third of all rows have counts once in each task. A key that many different
+    lines share is dealt out again, see `_spread_hot`. In these numbers a 64-bit hash stands for a line; two lines are only
+    taken for one if they collide and are alike as well.
     """
     lines = _lines(docs, id_col, text_col).withColumn("size", F.length("line")).where(F.col("size") >= max(min_chars, 2 * edits + 2))
     keyed = lines.select("h", F.explode(segment_keys("line", "size", edits)).alias("k")).select("h", "k.key", "k.kind")
     met = keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max(F.col("kind") == 3).alias("indexed"))
     met = materialize(met.where("lo <> hi AND indexed").select("key"))
-    rows = materialize(keyed.join(_sent(met), "key").distinct())
-    texts = lines.join(_sent(materialize(rows.select("h").distinct())), "h").select("h", "line").distinct()
+    rows = materialize(keyed.join(sent(met), "key").distinct())
+    texts = lines.join(sent(materialize(rows.select("h").distinct())), "h").select("h", "line").distinct()
     texts = materialize(texts.withColumn("sig", gram_parity("line")))
     signed = materialize(rows.join(texts.select("h", "sig"), "h"))
+    signed = _spread_hot(signed, 4 * edits)
     index = signed.where("kind = 3").select("key", F.col("h").alias("x"), F.col("sig").alias("sx"))
     probe = signed.select("key", F.col("h").alias("y"), F.col("sig").alias("sy"))
     near = (F.col("x") != F.col("y")) & (F.bit_count(F.col("sx").bitwiseXOR(F.col("sy"))) <= 4 * edits)
@@ -122,6 +122,22 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _spread_hot(signed: DataFrame, bits: int) -> DataFrame:
+    """`signed` (key, h, kind, sig) with the rows of hot keys dealt to keys of their own, by pairs of parts of the parity.
+
+    Two parities that differ in `bits` bits or fewer agree in two of `bits` + 2 parts of the 64 bits, so lines that could
+    be alike meet under a pair of parts, and lines of one template, which share a segment and little else, mostly do not.
+    """
+    hot = signed.groupBy("key").count().where(F.col("count") > HOT_LINES).select("key", F.lit(True).alias("hot"))
+    both = signed.join(sent(materialize(hot)), "key", "left")
+    edges = [64 * i // (bits + 2) for i in range(bits + 3)]
+    part = [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(bits + 2)]
+    masks = [(a | b) - ((1 << 64) if (a | b) >> 63 else 0) for a, b in combinations(part, 2)]
+    keys = F.array(*[F.xxhash64("key", F.lit(i), F.col("sig").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
+    spread = both.where("hot").withColumn("key", F.explode(keys))
+    return materialize(both.where("hot IS NULL").unionByName(spread).drop("hot"))
+
+
 def digest(line: str) -> Column:
     """128 bits of the line's SHA-256, which stand for the line."""
     return F.substring(F.sha2(line, 256), 1, 32)

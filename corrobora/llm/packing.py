@@ -1,7 +1,8 @@
 """Best-fit packing with exact-complement hashing.
 
 Only the histogram of piece lengths decides how sequences are filled: at most `capacity` numbers, however
-large the corpus. The plan is a list of patterns (the lengths in a sequence) with how often each is used.
+large the corpus. Sums of one, two and three lengths that are there are looked up by the gap they fill exactly,
+while these lengths last; the rest goes best-fit. The plan is a list of patterns (the lengths in a sequence) with how often each is used.
 Pieces are then ranked within their length, and a rank picks a place.
 """
 
@@ -27,18 +28,18 @@ def ids_as_bytes(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, ranks: tuple[str, str] | None = None) -> DataFrame:
-    """Pieces (id, piece, start, length, ids_crc32[, ids]) of each row's tokens with `end_id` behind them.
+def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """Pieces (id, piece, start, length, ids_crc32, row[, ids]) of each row's tokens with `end_id` behind them.
 
     A document of more than `capacity` tokens is cut into pieces of `capacity`; only the first is shorter.
-    Null and empty texts have one piece, the end id alone. `ids` are little-endian unsigned 32-bit numbers.
-    `ranks` (file, pattern) may give the same vocabulary as ranks: the ids are the same, found faster.
+    Null and empty texts have one piece, the end id alone. `ids` are little-endian unsigned 32-bit numbers. `row` counts
+    the rows of a task, to tell repeated ones apart.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
+    names = ["id", "piece", "start", "length", "ids_crc32", "row"] + ["ids"] * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bytes_of = pieces(path, ids_as_bytes, ranks)
+        bytes_of, before = pieces(path, ids_as_bytes), 0
         end = struct.pack("<I", end_id)
         for batch in batches:
             texts, row, out = texts_of(batch, "text"), 0, ([], [], [], [], [], [])
@@ -54,42 +55,60 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
                             column.append(value)
                     row += 1
             columns = [batch.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), *[pa.array(x, pa.int64()) for x in out[2:5]]]
+            columns.append(pa.array([before + r for r in out[0]], pa.int64()))
+            before += row
             yield pa.RecordBatch.from_arrays(columns + [pa.array(out[5], pa.binary())] * keep_ids, names=names)
 
-    schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
+    schema = f"id {kind}, piece int, start long, length long, ids_crc32 long, row long" + ", ids binary" * keep_ids
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def _complement(count: np.ndarray, length: int, gap: int) -> tuple[int, ...] | None:
-    """One, two or three lengths that are there and fill `gap` exactly beside one piece of `length`."""
-    count[length] -= 1
-    try:
-        if count[gap] > 0:
-            return (gap,)
+class Complements:
+    """Sums of one, two or three lengths, by the gap they fill, under the counts of what is left.
 
-        def pair(total: int, most: int) -> tuple[int, int] | None:
-            """a >= b with a + b = total and a at most `most`; the largest a first."""
-            top = min(most, total - 1)
-            a = np.arange(top, (total - 1) // 2, -1)
-            if not len(a):
-                return None
-            b = total - a
-            fits = (count[a] > 0) & (count[b] > (a == b))
-            k = int(fits.argmax())
-            return (int(a[k]), int(b[k])) if fits[k] else None
-
-        if found := pair(gap, min(length, gap - 1)):
-            return found
-        for a in range(min(length, gap - 2), (gap - 1) // 3, -1):
+    For each sum the index holds the largest length that may still be part of it. Counts only fall, so a length that
+    once could not be part of a sum never can be again, and the entries only move down: all look-ups together move
+    each of them over at most `capacity` places.
+    """
+
+    def __init__(self, count: np.ndarray):
+        self.count, n = count, len(count)
+        self.pairs, self.triples = list(range(-1, n - 1)), list(range(-1, n - 1))  # the largest length below the sum
+
+    def pair(self, total: int) -> tuple[int, int] | None:
+        count, a = self.count, self.pairs[total]
+        while 2 * a >= total and not (count[a] > 0 and count[total - a] > (2 * a == total)):
+            a -= 1
+        self.pairs[total] = a
+        return (a, total - a) if 0 < a < total and 2 * a >= total else None
+
+    def triple(self, total: int) -> tuple[int, int, int] | None:
+        count, a = self.count, self.triples[total]
+        while 3 * a >= total:
             if count[a] > 0:
-                count[a] -= 1
-                found = pair(gap - a, min(a, gap - a - 1))
-                count[a] += 1
+                found = self._pair_beside(total - a, a)
                 if found:
-                    return (a, *found)
+                    break
+            a -= 1
+        self.triples[total] = a
+        return (a, *found) if 3 * a >= total and a > 0 else None
+
+    def _pair_beside(self, total: int, a: int) -> tuple[int, int] | None:
+        """A pair of `total` beside one piece of length `a`; its parts may be longer than `a`."""
+        if (found := self.pair(total)) is None or self.count[a] > found.count(a):
+            return found
+        count = self.count  # the one piece of length a is in use: look further down
+        for b in range(found[0], (total - 1) // 2, -1):
+            c = total - b
+            if b != a and c != a and count[b] > 0 and count[c] > (b == c):
+                return b, c
         return None
-    finally:
-        count[length] += 1
+
+    def of(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three lengths that are there and fill `gap` exactly."""
+        if self.count[gap] > 0:
+            return (gap,)
+        return self.pair(gap) or self.triple(gap)
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -105,10 +124,13 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
             raise ValueError(f"no sequence holds {length} tokens")
         count[length] = n
     exact: list[tuple[tuple[int, ...], int]] = []
+    index = Complements(count)
     for length in range(capacity, 0, -1):
         gap = capacity - length
         while count[length] > 0 and gap <= 3 * length:
-            parts = _complement(count, length, gap) if gap else ()
+            count[length] -= 1  # this one makes the gap
+            parts = index.of(gap) if gap else ()
+            count[length] += 1
             if parts is None:
                 break
             pattern = (length, *parts)
@@ -157,26 +179,27 @@ def _places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.n
     return out
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, ranks: tuple[str, str] | None = None) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """One row for each piece of `token_pieces`, with sequence_id and offset: its place in a sequence.
 
     Sequences hold at most `capacity` tokens, without gaps from 0 on. Every row and token has a place;
     repeated rows and ids have each their own. Other columns are not read. No rows in, no rows out.
 
-    Ranks within a length: rows are numbered in parts (a hash of the row), so that a length which a third
-    of all rows have is spread out, and the parts' sizes are summed up before them.
+    Ranks within a length: rows are numbered in parts (a hash of the row and its number in its task), so that a
+    length which a third of all rows have, or one row that stands very often, is spread out, and the parts' sizes are
+    summed up before them.
     """
-    rows = materialize(token_pieces(docs, path, capacity, end_id, id_col, text_col, keep_ids, ranks))
+    rows = materialize(token_pieces(docs, path, capacity, end_id, id_col, text_col, keep_ids))
     total = rows.count()
     parts = max(16, total // 200_000)
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(parts)).cast("int"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id", "piece", "ids_crc32", "row"), F.lit(parts)).cast("int"))
     sizes = materialize(rows.groupBy("length", "part").agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     places = _places(plan(histogram, capacity))
 
     before = F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     starts = sizes.select("length", "part", F.coalesce(before, F.lit(0)).alias("first"))
-    order = W.partitionBy("length", "part").orderBy("id", "piece", "ids_crc32")
+    order = W.partitionBy("length", "part").orderBy("id", "piece", "ids_crc32", "row")
     ranked = rows.withColumn("rank", F.row_number().over(order)).join(starts, ["length", "part"])
     ranked = ranked.withColumn("rank", F.col("first") + F.col("rank") - 1)
 

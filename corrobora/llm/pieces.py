@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import cache
 
+import numpy as np
+import regex
+
 from .shared import by_bytes
 
 #: White space other than a space or a newline.
 _ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-#: Before a space that stands between two visible characters.
-_CAREFUL = re.compile(r"(?<=\S)(?= \S)")
-
+#: Before a space or newline that stands between two visible characters.
+_CAREFUL = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: How a byte-level vocabulary cuts a text into words (a fixed pattern).
+_BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: A comma or full stop before white space with something other than a letter or digit before it.
+_SIGN_AFTER_SIGN = re.compile(r"[\W_][.,][ \n]")
+#: Between a letter and what no word goes on with; apostrophes are left out, as they bind what follows.
+_INNER = re.compile(r"(?<=[A-Za-z])(?=[0-9.,;:!?()\-/])")
+#: A piece is cut inside from this many characters on.
+LONG = 1 << 14
 
 @cache
 def tokenizer(path: str):
@@ -37,17 +48,40 @@ def drops_spaces(path: str) -> bool:
     return t.encode(" a", add_special_tokens=False).ids == t.encode("a", add_special_tokens=False).ids
 
 
+@cache
+def cuts_by_bytes(path: str) -> bool:
+    """Whether this vocabulary takes a text as it is and cuts it into words by the byte-level pattern."""
+    with open(path, encoding="utf-8") as f:
+        given = json.load(f)
+    cutter = given["pre_tokenizer"] or {}
+    return given["normalizer"] is None and cutter.get("type") == "ByteLevel" and cutter["use_regex"] and not cutter["add_prefix_space"]
+
+
+def odd_space(text: str) -> bool:
+    """Whether `text` has white space other than a space or a newline."""
+    return any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f") if text.isascii() else _ODD_SPACE.search(text) is not None
+
+
 def cut(text: str, keep_space: bool) -> list[str]:
     """The pieces of `text`, in order; their tokens, one piece after the other, are the text's tokens.
 
-    Cuts lie at single spaces. With `keep_space` the space goes to the piece behind it, and near a run
-    of white space there is no cut, as the pattern takes such a run as a whole.
+    Cuts lie at single spaces; some pieces may be empty. With `keep_space` a space goes to the piece behind it, and
+    there are cuts around single newlines and commas and full stops before white space; near a run of white space
+    there is none, as the pattern takes such a run as a whole. A piece of `LONG` characters or more, which has no such
+    space, is cut on between letters and digits or signs, where the patterns of all these vocabularies end a word.
     """
     if not keep_space:
-        return text.split(" ")
-    if "  " in text or " \n" in text or "\n " in text or "\0" in text or _ODD_SPACE.search(text):
-        return _CAREFUL.split(text)
-    return text.replace(" ", "\0 ").split("\0")
+        parts = text.split(" ")
+    elif "  " in text or " \n" in text or "\n " in text or "\n\n" in text or "\0" in text or odd_space(text):
+        parts = _CAREFUL.split(text)
+    else:
+        marked = text.replace(" ", "\0 ").replace("\n", "\0\n\0")
+        if not _SIGN_AFTER_SIGN.search(text):  # so a comma or full stop ends a word or number, and is one itself
+            marked = marked.replace(",\0", "\0,\0").replace(".\0", "\0.\0")
+        parts = marked.split("\0")
+    if len(text) >= LONG and max(map(len, parts)) >= LONG:
+        parts = [x for p in parts for x in (_INNER.split(p) if len(p) >= LONG else (p,))]
+    return parts
 
 
 def encode(path: str, texts: list[str]) -> list[list[int]]:
@@ -58,66 +92,76 @@ def encode(path: str, texts: list[str]) -> list[list[int]]:
     return [x.ids for x in t.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-#: Characters on which the two libraries' tables agree for certain: ASCII and Latin letters and signs.
-_LATIN = re.compile("[ -~\n\xa1-\u024f]+")
-
-
-@cache
-def ranked(ranks: str, pattern: str):
-    """The same vocabulary as ranks, for tiktoken, which merges long rare words faster."""
-    import base64
-
-    import tiktoken
-
-    with open(ranks, "rb") as f:
-        table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-
+def encode_words(path: str, words: list[str]) -> list[list[int]]:
+    """As `encode`, for words of letters with a space before each, by a vocabulary that keeps the space.
 
-def encode_ranked(path: str, ranks: tuple[str, str], texts: list[str]) -> list[list[int]]:
-    """As `encode`: texts of Latin characters without special strings by ranks, all others by the file itself."""
-    plain = [_LATIN.fullmatch(x) is not None and "<|" not in x for x in texts]
-    fast, rest = ranked(*ranks).encode_ordinary, iter(encode(path, [x for x, p in zip(texts, plain) if not p]))
-    return [fast(x) if p else next(rest) for x, p in zip(texts, plain)]
+    Its pattern ends a word before the next one's space, so the words are encoded as one text, faster than one by one.
+    """
+    out: list[list[int]] = []
+    for at in range(0, len(words), 4000):
+        part = words[at : at + 4000]
+        e = tokenizer(path).encode("".join(part), add_special_tokens=False)
+        ids, ends = e.ids, np.cumsum(np.bincount(e.word_ids, minlength=len(part))).tolist()
+        out += [ids[a:b] for a, b in zip([0, *ends], ends)]
+    return out
 
 
 class Pieces:
     """Looks up what `value(ids)` is for each piece.
 
     Two tables hold what came before: when the newer has `memo` pieces it becomes the older one, and what
-    only the former older one had is forgotten. So memory has a bound and frequent pieces stay.
+    only the former older one had is forgotten. So memory has a bound and frequent pieces stay. The values of two
+    pieces, added, must be that of both together (a length, or ids as bytes).
     """
 
-    def __init__(self, path: str, value, memo: int = 400_000, ranks: tuple[str, str] | None = None):
+    def __init__(self, path: str, value, memo: int = 400_000):
         self.path, self.value, self.memo, self.known, self.older = path, value, memo, {}, {}
-        self.encode = (lambda texts: encode_ranked(path, ranks, texts)) if ranks else (lambda texts: encode(path, texts))
         self.whole = path.endswith(".model")  # these see the start of a text, so it stays whole
         self.keep_space = not self.whole and not drops_spaces(path)
+        self.by_words = self.keep_space and cuts_by_bytes(path)
 
     def __call__(self, texts: list[str]) -> list[list]:
         if self.whole:
-            return [[self.value(x)] for x in self.encode(texts)]
+            return [[self.value(x)] for x in encode(self.path, texts)]
         parts = [cut(t, self.keep_space) for t in texts]
         if len(self.known) > self.memo:
             self.known, self.older = {}, self.known
-        new = []
-        for p in set().union(*parts).difference(self.known):
-            if p in self.older:
-                self.known[p] = self.older[p]
+        self.learn(set().union(*parts))
+        get = self.known.__getitem__
+        return [list(map(get, ps)) for ps in parts]
+
+    def learn(self, pieces: set[str]) -> None:
+        known, older = self.known, self.older
+        new, words, several = [], [], []
+        for p in pieces.difference(known):
+            if p in older:
+                known[p] = older[p]
+            elif not self.by_words:
+                new.append(p)
+            elif p[1:].isalpha() and p[0] == " ":
+                words.append(p)
+            elif "<|" not in p and len(found := _BYTE_LEVEL.findall(p)) > 1:  # special strings stay whole
+                several.append((p, found))
             else:
                 new.append(p)
+        if several:  # words of their own, which other pieces have too
+            self.learn({x for _, found in several for x in found})
+            for p, found in several:
+                value = known[found[0]]
+                for x in found[1:]:
+                    value = value + known[x]
+                known[p] = value
+        known.update(zip(words, map(self.value, encode_words(self.path, words)), strict=True))
         for a, b in by_bytes(new):
-            self.known.update(zip(new[a:b], map(self.value, self.encode(new[a:b])), strict=True))
-        get = self.known.__getitem__
-        return [list(map(get, ps)) for ps in parts]
+            known.update(zip(new[a:b], map(self.value, encode(self.path, new[a:b])), strict=True))
 
 
 _pieces: dict = {}
 
 
-def pieces(path: str, value, ranks: tuple[str, str] | None = None) -> Pieces:
-    """The table of this Python worker for a vocabulary and a value; `ranks`: file and pattern of the same vocabulary."""
-    key = (path, value.__name__, ranks)
+def pieces(path: str, value) -> Pieces:
+    """The table of this Python worker for a vocabulary and a value, which adds up over the pieces of a text."""
+    key = (path, value.__name__)
     if key not in _pieces:
-        _pieces[key] = Pieces(path, value, ranks=ranks)
+        _pieces[key] = Pieces(path, value)
     return _pieces[key]

@@ -22,13 +22,6 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def byte_ranks() -> tuple[str, str]:
-    """The ranks and the pattern of byte_bpe_50k."""
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-
-
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
@@ -65,7 +58,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), ranks=byte_ranks())
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,23 +86,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": r"""
-        WITH p AS (
-            SELECT page_id, url, html, translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-                regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages
+        WITH RECURSIVE p AS (
+            SELECT page_id, url, html FROM pages
+        ), edges AS (
+            SELECT DISTINCT url AS a, regexp_extract(html, '<link [^>]*rel="canonical"[^>]*href="([^"]+)', 1, 'i') AS b FROM p WHERE contains(html, 'canonical')
+        ), both_ways AS (
+            SELECT a, b FROM edges WHERE b <> '' UNION SELECT b, a FROM edges WHERE b <> ''
+        ), reach(url, other) AS (
+            SELECT a, a FROM both_ways UNION SELECT r.url, e.b FROM reach r JOIN both_ways e ON e.a = r.other
+        ), urls AS (
+            SELECT url FROM p UNION SELECT other FROM reach
+        ), cut AS (
+            SELECT url, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM urls
         ), rules(rule, name, start, verdict) AS (
             VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
                 ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')
         ), own AS (
-            SELECT page_id, url, coalesce(host, '') AS host, coalesce(path, '') AS path, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict
-            FROM p LEFT JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY ALL
-        ), edges AS (
-            SELECT url AS a, regexp_extract(html, '<link [^>]*rel="canonical"[^>]*href="([^"]+)', 1, 'i') AS b FROM p WHERE contains(html, 'canonical')
+            SELECT url, host, path, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict
+            FROM cut LEFT JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY ALL
         ), marks AS (
-            SELECT o.url, bool_or(q.verdict = 'allow') AS allowed, bool_or(q.verdict = 'block') AS blocked
-            FROM (SELECT a AS url, b AS other FROM edges WHERE b <> '' UNION ALL SELECT b, a FROM edges WHERE b <> '') o JOIN own q ON q.url = o.other GROUP BY 1
+            SELECT r.url, bool_or(o.verdict = 'allow') AS allowed, bool_or(o.verdict = 'block') AS blocked FROM reach r JOIN own o ON o.url = r.other GROUP BY 1
         )
         SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN allowed THEN 'allow' WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
-        FROM own LEFT JOIN marks USING (url)
+        FROM p LEFT JOIN own ON own.url IS NOT DISTINCT FROM p.url LEFT JOIN marks ON marks.url = p.url
     """,
     "op2_chat_format": r"""
         WITH t AS (
@@ -117,7 +117,7 @@ ORACLE_SQL: dict[str, str] = {
             UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
             UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
         ), f AS (
-            SELECT *, length(role) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 24 AS size FROM t
+            SELECT *, length(role) + 24 + length(CASE WHEN regexp_matches(text, '<\\+\||<\|im_start\|>|<\|im_end\|>') THEN regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') ELSE text END) AS size FROM t
         )
         SELECT conv_id, count(*) AS n_turns,
             sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,

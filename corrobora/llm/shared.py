@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +13,15 @@ from pyspark.sql import functions as F
 
 
 _own_folders: dict[str, str] = {}
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in `spark.checkpoint.dir`; a temporary one only where the setting is missing, as in tests."""
+    """The folder in `spark.checkpoint.dir`; a temporary one only where the setting is missing in local mode, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         folder = _own_folders.setdefault(app, "") or tempfile.mkdtemp(prefix="corrobora-")
         _own_folders[app] = folder
@@ -32,15 +36,26 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/corrobora-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
 
 
 def drop_materialized(df: DataFrame) -> None:
     """Deletes the files of a table that `materialize` made and that nothing reads any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    if path := _paths.pop(df, None):
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+
+
+#: A table of at most so many numbers is sent to all tasks; a larger one is joined by shuffling.
+SENT_ROWS = 1_000_000
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """A table of numbers, marked for broadcast if its counted size allows."""
+    return F.broadcast(df) if df.count() <= SENT_ROWS else df
 
 
 def ascii_lower(text):
@@ -50,14 +65,20 @@ def ascii_lower(text):
     )
 
 
+def n_bytes(text: str) -> int:
+    """Length in UTF-8."""
+    return len(text) if text.isascii() else len(text.encode())
+
+
 def by_bytes(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of `texts` of about `most` characters each; a longer text stands alone."""
+    """Ranges of `texts` of about `most` bytes each; a longer text stands alone."""
     start = size = 0
     for i, text in enumerate(texts):
-        if size and size + len(text) > most:
+        n = n_bytes(text)
+        if size and size + n > most:
             yield start, i
             start, size = i, 0
-        size += len(text)
+        size += n
     if start < len(texts):
         yield start, len(texts)
 

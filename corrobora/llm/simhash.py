@@ -1,17 +1,23 @@
 """SimHash near-dedup with pivot distance tables.
 
-Fingerprints are 64 bits from word shingles. Every distinct fingerprint carries a table of its Hamming
-distances to reference fingerprints (pivots). By the triangle inequality two fingerprints within `most`
-bits have tables that differ by at most `most` in each coordinate, so a larger difference discards the
-pair; what survives is verified. Pivot distances of random fingerprints lie within a few bits of 32, so
-tables alone would have to look at a constant share of all pairs. Pairs are therefore dealt out first by
-equal blocks of bits: the 64 bits are cut into `most + k` blocks, and two fingerprints within `most` bits
-agree in at least `k` of them, so they meet under one of the choices of `k` blocks. No pair is lost.
+Fingerprints are 64 bits from word shingles. Every distinct fingerprint carries a table of its Hamming distances
+to reference fingerprints (pivots), computed once. By the triangle inequality two fingerprints within `most` bits
+have tables that differ by at most `most` in each coordinate, so a larger difference discards the pair; what
+survives is verified. Pivot distances of random fingerprints lie within a few bits of 32, so tables alone would
+have to look at a constant share of all pairs. Pairs are therefore dealt out first by equal blocks of bits: the 64
+bits are cut into `most + k` blocks, and two fingerprints within `most` bits agree in at least `k` of them, so they
+meet under one of the choices of `k` blocks. No pair is lost.
+
+`similar_groups` is for edited copies: word shingles with a Jaccard similarity of 0.8 leave fingerprints about
+nine of 64 bits apart and up to 17, where neither tables nor blocks of bits tell them from others. There pairs
+meet under shingles (of a set's least shingles any similar set has some), long fingerprints discard most of them,
+and shingle sets verify the rest.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb, log2
@@ -62,9 +68,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, fp long")
 
 
-def pivots(count: int = 12, seed: int = 7) -> np.ndarray:
-    """Reference fingerprints, the same in every run."""
-    return np.random.default_rng(seed).integers(0, 1 << 64, count, dtype=np.uint64)
+def choose_pivots(fps: DataFrame, count: int = 64, sample: int = 4096) -> np.ndarray:
+    """`count` reference fingerprints from the data: of `sample` with the least hashes, each farthest from those before it.
+
+    The sample is a documented bound; which pivots are chosen changes what the tables discard, never what is found.
+    """
+    few = np.array([r[0] for r in fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()], np.int64).view(np.uint64)
+    if not len(few):
+        return np.zeros(1, np.uint64)
+    chosen, near = [few[0]], np.full(len(few), 65)
+    while len(chosen) < min(count, len(few)):
+        near = np.minimum(near, np.bitwise_count(few ^ chosen[-1]))
+        chosen.append(few[int(near.argmax())])
+    return np.array(chosen, np.uint64)
 
 
 def table(fp: np.ndarray, refs: np.ndarray) -> np.ndarray:
@@ -72,13 +88,27 @@ def table(fp: np.ndarray, refs: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fp[:, None] ^ refs[None, :]).astype(np.int8)
 
 
-def spanning_links(fp: np.ndarray, dist: np.ndarray, most: int, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+def with_tables(fps: DataFrame, refs: np.ndarray) -> DataFrame:
+    """`fps` (fp) with `dist`, its distances to the pivots as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column(0).to_numpy()
+            rows = table(fp.view(np.uint64), refs)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["fp", "dist"])
+
+    return fps.select("fp").mapInArrow(run, "fp long, dist binary")
+
+
+def spanning_links(fp: np.ndarray, dist: np.ndarray, most: int, block: int = 2048, seen: Counter | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links that hold together what the links of all pairs within `most` bits hold together.
 
     A search through the group: each fingerprint that was reached is compared with those not reached yet
     only, first by its pivot table, and every one within `most` bits is linked to it. So a group of n
-    gives fewer than n links, and a dense group is consumed by a few comparisons.
+    gives fewer than n links, and a dense group is consumed by a few comparisons. `seen` counts the pairs looked
+    at, those that the tables leave, and the links.
     """
+    seen = Counter() if seen is None else seen
     order = np.argsort(dist[:, 0], kind="stable")
     fp, dist = fp[order], dist[order]
     left, a, b = np.arange(len(fp)), [], []
@@ -94,6 +124,7 @@ def spanning_links(fp: np.ndarray, dist: np.ndarray, most: int, block: int = 204
                     break
                 maybe = near[np.abs(dist[near] - dist[i]).max(axis=1) <= most]
                 got = maybe[np.bitwise_count(fp[maybe] ^ fp[i]) <= most]
+                seen.update(pairs=len(near), left=len(maybe), links=len(got))
                 if len(got):
                     a.append(np.full(len(got), i))
                     b.append(got)
@@ -119,53 +150,88 @@ def agreeing_blocks(distinct: int, most: int) -> int:
 def near_links(fps: DataFrame, distinct: int, most: int = 4, agree: int | None = None, refs: np.ndarray | None = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints of column `fp` with the components of all links within `most` bits.
 
-    `agree` blocks of bits form a key; by default it grows slowly with the number of fingerprints, to keep
-    chance meetings rare at any size. Every choice loses nothing. A key's group streams through one task
-    as numbers of 8 bytes; a group can grow only with different fingerprints that agree in those blocks.
+    Pivot tables are computed once for each fingerprint. `agree` blocks of bits form a key under which pairs are
+    dealt out; by default it grows slowly with the number of fingerprints, to keep chance meetings rare at any
+    size. Every choice loses nothing. A key whose group is larger than 4,096 is dealt out again by pairs of parts of
+    its fingerprints, so that no task holds or compares a whole large group.
     """
     k = agree or agreeing_blocks(distinct, most)
-    refs = pivots() if refs is None else refs
+    refs = choose_pivots(fps) if refs is None else refs
     edges = [64 * i // (most + k) for i in range(most + k + 1)]
     masks = [sum((1 << edges[i + 1]) - (1 << edges[i]) for i in c) for c in combinations(range(most + k), k)]
     assert len(masks) == comb(most + k, k)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("c", "key")
-    dealt = fps.select("fp", keys).repartition("c", "key").sortWithinPartitions("c", "key", "fp")
+    dealt = materialize(with_tables(fps, refs)).select("fp", "dist", keys)
+    sizes = fps.select("fp", keys).groupBy("c", "key").count()
+    hot = materialize(sizes.where(F.col("count") > HOT_GROUP).select("c", "key", F.ceil(F.col("count") / (HOT_GROUP // 2)).cast("int").alias("parts")))
+    dealt = in_part_pairs(dealt, hot, ["c", "key"], "fp")
+    dealt = dealt.repartition("c", "key", "pair").sortWithinPartitions("c", "key", "pair", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in _with_end(batches):
-            if batch is None:
-                fp, c, key = (np.empty(0, np.int64),) * 3
-            else:
-                fp, c, key = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
-            if rest is not None:
-                fp, c, key = (np.concatenate(x) for x in zip(rest, (fp, c, key)))
-            if not len(fp):
-                continue
-            starts = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (key[1:] != key[:-1])])
-            stops = np.r_[starts[1:], len(fp)]
-            if batch is not None:  # the last group may go on in the next batch
-                rest = (fp[starts[-1] :], c[starts[-1] :], key[starts[-1] :])
-                starts, stops = starts[:-1], stops[:-1]
+        for fp, dist, starts, stops in _groups(batches):
             a, b = [], []
             two = starts[stops - starts == 2]  # most groups by far: all at once
             if len(two):
-                x, y = fp[two].view(np.uint64), fp[two + 1].view(np.uint64)
-                near = np.abs(table(x, refs) - table(y, refs)).max(axis=1) <= most
-                near &= np.bitwise_count(x ^ y) <= most
+                near = np.abs(dist[two] - dist[two + 1]).max(axis=1) <= most
+                x, y = fp[two][near], fp[two + 1][near]
+                near = np.bitwise_count(x ^ y) <= most
                 a.append(x[near])
                 b.append(y[near])
             big = stops - starts > 2
             for s, e in zip(starts[big], stops[big]):
-                group = fp[s:e].view(np.uint64)
-                x, y = spanning_links(group, table(group, refs), most)
+                x, y = spanning_links(fp[s:e], dist[s:e], most)
                 a.append(x)
                 b.append(y)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], names=["a", "b"])
 
-    return dealt.select("fp", "c", "key").mapInArrow(run, "a long, b long")
+    return dealt.select("fp", "dist", "c", "key", "pair").mapInArrow(run, "a long, b long")
+
+
+#: A group of more fingerprints is dealt out by pairs of its parts.
+HOT_GROUP = 4096
+
+
+def in_part_pairs(rows: DataFrame, hot: DataFrame, key: list[str], item: str) -> DataFrame:
+    """`rows` with a column `pair`: 0, or for the hot keys (key, parts) one row for each pair of parts that holds the row's.
+
+    A hot key's items are hashed into `parts`; any two items meet in the pair of their parts. So a large group
+    becomes groups of about twice a part's size, and no pair of items is lost.
+    """
+    own = F.pmod(F.xxhash64(item), F.col("parts")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(own, j).cast("long") * F.col("parts") + F.greatest(own, j) + 1)
+    pairs = F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(others)
+    return rows.join(hot, key, "left").withColumn("pair", F.explode(pairs)).drop("parts")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Whole groups of rows (item, bytes, key columns ...) that follow one another with one key: items, bytes as rows of
+    numbers, first and last-plus-one row of each group. A group that goes on in the next batch is kept in a list of
+    pieces until its end, so nothing is copied twice."""
+    held: list[tuple] = []
+    for batch in _with_end(batches):
+        rest = []
+        if batch is not None and batch.num_rows:
+            item = batch.column(0).to_numpy().view(np.uint64)
+            given = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int8).reshape(len(item), -1)
+            keys = [batch.column(i).to_numpy().astype(np.int64) for i in range(2, batch.num_columns)]
+            now = (item, given, *keys)
+            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            last = int(change[-1]) if len(change) else 0
+            rest = [tuple(c[last:] for c in now)]
+            if held and not len(change) and all(k[0] == h[-1] for k, h in zip(keys, held[-1][2:])):
+                held += rest  # the same group goes on
+                continue
+            held.append(tuple(c[:last] for c in now))
+        elif batch is not None:
+            continue
+        if held:
+            item, given, *keys = (np.concatenate(c) for c in zip(*held))
+            if len(item):
+                starts = np.r_[0, np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1]
+                yield item, given, starts, np.r_[starts[1:], len(item)]
+        held = rest
 
 
 def _with_end(batches: Iterator) -> Iterator:
@@ -202,3 +268,182 @@ def dedup_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keep = simhash_groups(docs, id_col, text_col, words, most).where(F.col(id_col).eqNullSafe(F.col("component_id")))
     keep = keep.select(F.col(id_col).alias("_kept_id")).distinct()
     return docs.join(keep, docs[id_col].eqNullSafe(keep["_kept_id"]), "left_semi")
+
+
+# edited copies
+
+
+def shingle_hashes(text: str | None, words: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's word shingles, A-Z lower-cased; fewer words are one shingle, none is empty."""
+    found = _WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
+    if not found:
+        return np.empty(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+    n = max(1, len(h) - words + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(min(words, len(h))):
+        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
+    return np.unique(out)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def long_fingerprint(shingles: np.ndarray, lanes: int = 8) -> bytes:
+    """A SimHash of `lanes` times 64 bits of a set of shingle hashes."""
+    ones = np.zeros(64 * lanes, np.int64)
+    for at in range(0, len(shingles), 1 << 14):
+        part = shingles[at : at + (1 << 14)]
+        bits = _mix(part[:, None] + (np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))[None, :])
+        ones += np.unpackbits(bits.view(np.uint8).reshape(len(part), -1), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(shingles)).tobytes()
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
+    """(id, node, size, spare, keys, fp) of each row: `node` stands for the set of shingles, `keys` are its least shingles,
+    `spare` how many of them can go without loss, `fp` its long fingerprint.
+
+    Two sets with a Jaccard similarity of `least` or more, one of them with n shingles, share at least n - p + 1 of them,
+    p = n - ceil(least n) + 1, and so at least spare + 1 of each one's p + spare least ones.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for t in batch.column(1).to_pylist():
+                s = shingle_hashes(t, words)
+                n = len(s)
+                p, spare = n - int(np.ceil(least * n - 1e-9)) + 1 if n else 0, n // 16 + 4
+                node = int(np.bitwise_xor.reduce(_mix(s + np.uint64(1)))) if n else 0
+                rows.append((node - (1 << 64) if node >> 63 else node, n, max(0, min(spare, n - p)), s[: p + spare].view(np.int64), long_fingerprint(s)))
+            node, size, spare, keys, fp = zip(*rows)
+            columns = [batch.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(spare, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(fp, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "node", "size", "spare", "keys", "fp"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    return rows.mapInArrow(run, f"id {kind}, node long, size int, spare int, keys array<long>, fp binary")
+
+
+def _wide_links(node: np.ndarray, fp: np.ndarray, size: np.ndarray, limit: int, sure: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """As `spanning_links`, for long fingerprints (rows of 64-bit words) and sets whose sizes allow `least`.
+
+    Only what is within `sure` bits counts as reached. What is farther off, up to `limit`, is linked and stays in the
+    search, as the link may turn out false and another one hold.
+    """
+    left, a, b = np.arange(len(node)), [], []
+    while len(left) > 1:
+        front, left = [left[0]], left[1:]
+        while front and len(left):
+            i = front.pop()
+            fits = np.minimum(size[left], size[i]) >= least * np.maximum(size[left], size[i])
+            d = np.bitwise_count(fp[left] ^ fp[i]).sum(axis=1, dtype=np.int64)
+            near = fits & (d <= limit)
+            if near.any():
+                got = left[near]
+                a.append(np.full(len(got), i))
+                b.append(got)
+                reached = near & (d <= sure)
+                front += left[reached].tolist()
+                left = left[~reached]
+    if not a:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return node[np.concatenate(a)], node[np.concatenate(b)]
+
+
+def similar_links(each: DataFrame, least: float, limit: int = 104, sure: int = 70, hot: int = 256) -> DataFrame:
+    """Links (a, b) between different nodes of `sketches` that share a key and are within `limit` of 512 bits.
+
+    Sets with a Jaccard similarity of 0.8 are 78 bits apart, give or take 8.
+
+    Keys that more than `hot` nodes have (a passage that many documents share) go, where a node has no more of them than
+    it can spare: what similar sets share beside them still brings them together. The keys that stay so large belong to
+    sets that hold little else, mostly copies of one another, which a search through the group consumes.
+    """
+    keyed = each.select("node", "spare", F.explode("keys").alias("key"))
+    met = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    dealt = materialize(keyed.join(materialize(met), "key"))
+    is_hot = F.col("n") > hot
+    over = dealt.where(is_hot).groupBy("node").agg(F.count("*").alias("hot"), F.max("spare").alias("most")).where("hot > most").select("node")
+    kept = dealt.where(~is_hot).unionByName(dealt.where(is_hot).join(materialize(over), "node", "left_semi"))
+    kept = materialize(kept.select("key", "node"))
+    large = kept.groupBy("key").count().where(F.col("count") > HOT_GROUP)
+    large = materialize(large.select("key", F.ceil(F.col("count") / (HOT_GROUP // 2)).cast("int").alias("parts")))
+    full = kept.join(each.select("node", F.concat("fp", F.to_binary(F.lpad(F.hex("size"), 16, "0"), F.lit("hex"))).alias("fp")), "node")
+    rows = in_part_pairs(full, large, ["key"], "node").repartition("key", "pair").sortWithinPartitions("key", "pair", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, given, starts, stops in _groups(batches):
+            given = np.ascontiguousarray(given).view(np.uint8)
+            fp, size = given[:, :-8].copy().view(np.uint64), given[:, -8:].copy().view(">u8").astype(np.int64).ravel()
+            node, a, b = node.view(np.int64), [], []
+            two = starts[stops - starts == 2]
+            if len(two):
+                x, y = two, two + 1
+                near = np.minimum(size[x], size[y]) >= least * np.maximum(size[x], size[y])
+                near &= np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1, dtype=np.int64) <= limit
+                a.append(node[x][near])
+                b.append(node[y][near])
+            for s, e in zip(starts, stops):
+                if e - s > 2:
+                    x, y = _wide_links(node[s:e], fp[s:e], size[s:e], limit, sure, least)
+                    a.append(x)
+                    b.append(y)
+            if a:
+                a, b = np.concatenate(a), np.concatenate(b)
+                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], names=["a", "b"])
+
+    return rows.select("node", "fp", "key", "pair").mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """One row (id, component_id) for each row of `docs`: rows whose sets of word shingles have a Jaccard similarity of `least`
+    or more are linked; `component_id` is the smallest id that can be reached over links, null ids only where there is no other.
+
+    Every reported link is verified on whole shingle sets. Of a group of similar rows a spanning set of links is looked for
+    by fingerprints, not every pair. Rows without words are equal. Repeated rows and ids are kept; other columns are
+    not read. No rows in, no rows out.
+    """
+    rows = materialize(sketches(docs, id_col, text_col, words, least))
+    each = rows.groupBy("node").agg(F.min("id").alias("least"), F.first("size").alias("size"), F.first("spare").alias("spare"), F.first("keys").alias("keys"), F.first("fp").alias("fp"))
+    each = materialize(each)
+    pairs = materialize(similar_links(each, least))
+    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    one = rows.join(ends, "node", "left_semi").groupBy("node").agg(F.first("id").alias("id"))
+    sets = materialize(_sets(docs, id_col, text_col, words, materialize(one)))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    true = materialize(both.where(shared >= least * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"))
+    parts = connected_components(true)
+    rooted = each.select("node", "least").join(parts, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root"))
+    rooted = materialize(rooted)
+    ids = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    return rows.select("id", "node").join(materialize(ids), "node").select(F.col("id").alias(id_col), "component_id")
+
+
+def _sets(docs: DataFrame, id_col: str, text_col: str, words: int, wanted: DataFrame) -> DataFrame:
+    """(node, set): the shingle hashes of one row for each of the `wanted` (node, id); ids that several rows have are told apart by node."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    ids = wanted.select(F.col("id").alias("_id")).distinct()
+    rows = rows.join(ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_hashes(t, words) for t in batch.column(0).to_pylist()]
+            node = [int(np.bitwise_xor.reduce(_mix(s + np.uint64(1)))) if len(s) else 0 for s in sets]
+            columns = [pa.array(np.array(node, np.uint64).view(np.int64)), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "set"])
+
+    return rows.mapInArrow(run, "node long, set array<long>").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+
+
+def dedup_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of `docs` whose id is the smallest of its component in `similar_groups`; of rows with that id all stay."""
+    keep = similar_groups(docs, id_col, text_col, words, least).where(F.col(id_col).eqNullSafe(F.col("component_id")))
+    keep = materialize(keep.select(F.col(id_col).alias("_kept_id")).distinct())
+    return docs.join(keep, docs[id_col].eqNullSafe(keep["_kept_id"]), "left_semi")

@@ -2,8 +2,8 @@
 
 Tokens get log-odds of standing in toxic against clean texts, under a Dirichlet prior that follows the
 document frequencies of the whole corpus. A scan in linear time finds all maximal-scoring segments of a
-text. Their scores are judged by extreme-value statistics, which say how unlikely such segments are in a
-clean text of that length, and the evidence is turned into a probability.
+text. Their scores are judged by extreme-value statistics, which say how many segments as high as that a
+clean text of that length has by chance, and the evidence is turned into a probability.
 """
 
 from __future__ import annotations
@@ -12,10 +12,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import exp, lgamma, log
+from math import exp, lgamma, log, log1p
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,15 +27,14 @@ WORD = re.compile(r"[^\W_]+")
 
 @dataclass
 class Model:
-    """scores: of significant tokens; drift: what any other token costs; lam, k: of the extreme-value law;
-    weights: logistic regression on the evidence; most: segments that count."""
+    """scores: of tokens whose log-odds are significant, either way; drift: what any other token costs; lam, k: of the
+    extreme-value law; weights: logistic regression on the logarithm of the evidence."""
 
     scores: dict[str, float]
     drift: float
     lam: float
     k: float
     weights: tuple[float, float] = (-2.0, 1.0)
-    most: int = 8
 
 
 def maximal_segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
@@ -64,16 +64,30 @@ def maximal_segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[
     return [(a, b, high - low) for a, b, low, high, _ in stack]
 
 
+def chance(score: float, n: int, model: Model) -> float:
+    """How many segments of `score` or more a clean text of `n` tokens has by chance."""
+    return model.k * max(n, 2) * exp(-model.lam * score)
+
+
 def evidence(segments: list[tuple[int, int, float]], n: int, model: Model) -> float:
-    """-log of the chance that a clean text of `n` tokens has segments as high as these, at its most telling number of them."""
+    """-log of the chance that a clean text of `n` tokens has segments as high as these, at its most telling number of them.
+
+    Every segment of which a clean text has fewer than one by chance can count; there is no other limit.
+    """
     best, total = 0.0, 0.0
-    for r, s in enumerate(sorted((x[2] for x in segments), reverse=True)[: model.most], 1):
-        total += model.lam * s - log(model.k * max(n, 2))
-        if total <= 0:
+    for r, s in enumerate(sorted((x[2] for x in segments), reverse=True), 1):
+        own = model.lam * s - log(model.k * max(n, 2))
+        if own <= 0:
             break
+        total += own
         tail = -total + (r - 1) * log(total) - lgamma(r + 1) - lgamma(r)
         best = max(best, -tail - log(2) * r)  # one of several numbers of segments was chosen
-    return min(best, 200.0)
+    return best
+
+
+def probability(value: float, model: Model) -> float:
+    w0, w1 = model.weights
+    return 1 / (1 + exp(-max(-30.0, min(30.0, w0 + w1 * log1p(value)))))
 
 
 def read(text: str | None, model: Model) -> tuple[list[tuple[int, int, float]], int, list[str]]:
@@ -136,15 +150,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    max_per_class: int = 20_000, prior_share: float = 1.0, z_least: float = 2.0, bound: float = 1.8, df_least: int = 3, drift: float = 0.1, max_tokens: int = 50_000,
+    max_per_class: int = 20_000, prior_share: float = 1.0, z_least: float = 2.0, bound: float = 1.8, df_least: int = 3, drift: float = 0.1,
 ) -> Model:
     """A model from `labels` (id, label 0 or 1) and the corpus.
 
     Learns from at most `max_per_class` labelled texts of each class (those with the least id hashes, equal
-    texts once). The prior covers all rows of `docs`: `prior_share` times the sample's size, dealt out by
-    document frequency. Tokens in `df_least` toxic texts or more whose log-odds are `z_least` standard errors
-    above 0 score their log-odds less `bound` standard errors; the `max_tokens` surest are kept. A null label or id is no label. Without both
-    classes, no token scores and every text gets the share of toxic labels, or 0.
+    texts once); everything else covers all rows. The prior is `prior_share` times the sample's size, dealt out by
+    document frequency in all of `docs`. Tokens in `df_least` sampled texts or more whose log-odds are `z_least` standard
+    errors away from 0 score their log-odds, drawn to 0 by `bound` standard errors: toxic ones above, clean ones below. The
+    scores are a bounded table, as the sample is. lambda follows from the scores' distribution in clean texts, k is the
+    maximum-likelihood value on their highest segments. A null label or id is no label. Without both classes no token
+    scores and every text gets the share of toxic labels, or 0.
     """
     given = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     given = given.groupBy("id").agg(F.max("y").alias("y"))
@@ -168,50 +184,59 @@ def fit(
     n1, n0 = float(sums.get(1, 0)), float(sums.get(0, 0))
     a0 = prior_share * (n1 + n0)
     wide = both.groupBy("word").agg(F.sum(F.when(F.col("g") == 1, F.col("df"))).alias("y1"), F.sum(F.when(F.col("g") == 0, F.col("df"))).alias("y0"))
-    wide = wide.where(F.col("y1") >= df_least).join(corpus.withColumnRenamed("df", "all"), "word")
-    y1, y0, al = F.col("y1"), F.coalesce("y0", F.lit(0)), F.col("all") * F.lit(a0 / n_all)
+    y1, y0 = F.coalesce("y1", F.lit(0)), F.coalesce("y0", F.lit(0))
+    wide = wide.where(y1 + y0 >= df_least).join(corpus.withColumnRenamed("df", "all"), "word")
+    al = F.col("all") * F.lit(a0 / n_all)
     odds = F.log((y1 + al) / (n1 + a0 - y1 - al)) - F.log((y0 + al) / (n0 + a0 - y0 - al))
     z = odds / F.sqrt(1 / (y1 + al) + 1 / (y0 + al))
-    rows = wide.select("word", (odds * (1 - bound / z)).alias("s"), z.alias("z"), y0.alias("y0")).where(F.col("z") >= z_least)
-    rows = rows.orderBy(F.desc("z"), "word").limit(max_tokens).collect()
+    rows = wide.select("word", (odds * (1 - bound / F.abs(z))).alias("s"), z.alias("z"), y0.alias("y0")).where(F.abs("z") >= z_least).collect()
     drop_materialized(corpus)
     drop_materialized(both)
 
     scores = {r["word"]: float(r["s"]) for r in rows}
-    clean = [((r["y0"] + 0.5) / (n0 + 1), float(r["s"])) for r in rows]
-    model = Model(scores, drift, _lambda(clean, drift) if scores else 1.0, 0.1)
+    clean = [(min(1.0, (r["y0"] + 0.5) / (n0 + 1)), float(r["s"])) for r in rows]
+    model = Model(scores, drift, _lambda(clean, drift) if any(v > 0 for v in scores.values()) else 1.0, 0.1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [read(t, model) for t in pdf["text"]]
-            yield pd.DataFrame({"y": pdf["y"], "e": [evidence(s, n, model) for s, n, _ in found]})
-
-    seen = sample.select("y", "text").mapInPandas(run, "y int, e double").toPandas()  # two numbers for each sampled text
-    model.weights = _logistic(seen["e"].to_numpy(), seen["y"].to_numpy(float))
+            yield pd.DataFrame({"y": pdf["y"], "n": [max(n, 2) for _, n, _ in found], "segments": [[x[2] for x in s] for s, _, _ in found]})
+
+    seen = sample.select("y", "text").mapInPandas(run, "y int, n long, segments array<double>").toPandas()  # for each sampled text
+    y, n = seen["y"].to_numpy(float), seen["n"].to_numpy(float)
+    top = np.array([max(x, default=0.0) for x in seen["segments"]])
+    own = (y == 0) & (top > 0)
+    if own.any():
+        model.k = float(own.sum() / (n[y == 0] * np.exp(-model.lam * top[y == 0])).sum())
+    e = [evidence([(0, 0, v) for v in x], m, model) for x, m in zip(seen["segments"], seen["n"])]
+    model.weights = _logistic(np.log1p(e), y)
     return model
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.05) -> DataFrame:
     """One row for each row of `docs`: id, score (0 to 1), predicted (1 from 0.5 on), segments.
 
-    `segments` are the maximal-scoring passages: first and last token (from 0), score, words that scored.
-    Null and empty texts have none and the score of a text without evidence. Repeated rows are each
-    scored. Other columns are not read.
+    `segments` are the significant passages, in order: those maximal-scoring segments of which a clean text of that
+    length has `alpha` or fewer by chance, with first and last token (from 0), score, that number and the words that
+    scored. The score weighs all segments. Null and empty texts have none and the score of a text without evidence.
+    Repeated rows are each scored; ids of any type stay as they are, nulls too. Other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    part = "array<struct<first:int,last:int,score:double,words:array<string>>>"
-    w0, w1 = model.weights
+    part = "array<struct<first:int,last:int,score:double,chance:double,words:array<string>>>"
+    arrow = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64()), ("chance", pa.float64()), ("words", pa.list_(pa.string()))]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             p, segments = [], []
-            for t in pdf["t"]:
+            for t in batch.column(1).to_pylist():
                 found, n, words = read(t, model)
-                p.append(1 / (1 + exp(-max(-30.0, min(30.0, w0 + w1 * evidence(found, n, model))))))
-                segments.append([{"first": a, "last": b, "score": s, "words": [x for x in words[a : b + 1] if x in model.scores]} for a, b, s in found])
-            yield pd.DataFrame({"id": pdf["id"], "score": p, "predicted": [int(x >= 0.5) for x in p], "segments": segments})
+                p.append(probability(evidence(found, n, model), model))
+                own = [(a, b, s, chance(s, n, model)) for a, b, s in found]
+                segments.append([{"first": a, "last": b, "score": s, "chance": c, "words": [x for x in words[a : b + 1] if x in model.scores]} for a, b, s, c in own if c <= alpha])
+            columns = [batch.column(0), pa.array(p, pa.float64()), pa.array([int(x >= 0.5) for x in p], pa.int32()), pa.array(segments, arrow)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "score", "predicted", "segments"])
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInPandas(run, f"id {kind}, score double, predicted int, segments {part}")
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, score double, predicted int, segments {part}")
     return out.withColumnRenamed("id", id_col)
 
 

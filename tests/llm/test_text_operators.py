@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import pytest
@@ -99,6 +99,53 @@ def test_toxicity_held_out(spark):
     assert sum(wins) / len(wins) > 0.93
 
 
+def slow_score(text, model):
+    """By definition: all maximal segments, the most telling number of them, the logistic curve."""
+    from math import exp, factorial, log
+
+    words = toxicity.WORD.findall((text or "").lower())
+    best, total = 0.0, 0.0
+    for r, s in enumerate(sorted((x[2] for x in all_segments([model.scores.get(w, -model.drift) for w in words])), reverse=True), 1):
+        own = model.lam * s - log(model.k * max(len(words), 2))
+        if own <= 0:
+            break
+        total += own
+        best = max(best, -log(2**r * exp(-total) * total ** (r - 1) / (factorial(r) * factorial(r - 1))))
+    return 1 / (1 + exp(-(model.weights[0] + model.weights[1] * log(1 + best))))
+
+
+def test_toxicity_score_against_definition(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where(~toxicity.held_out()))
+    docs = docs.where("doc_id % 5 = 0")
+    assert any(v > 0 for v in model.scores.values())
+    texts = {r["doc_id"]: r["text"] for r in rows(docs) if r["text"] is None or len(r["text"]) < 1500}
+    for r in rows(toxicity.score(docs, model)):
+        assert all(x["chance"] <= 0.05 and x["chance"] == pytest.approx(toxicity.chance(x["score"], len(toxicity.WORD.findall(texts[r["doc_id"]].lower())), model)) for x in r["segments"] if r["doc_id"] in texts)
+        if r["doc_id"] in texts and (r["predicted"] or r["doc_id"] % 4 == 0):
+            assert r["score"] == pytest.approx(slow_score(texts[r["doc_id"]], model), abs=1e-9)
+
+
+def test_large_ids_beside_null(spark):
+    """Ids that a float would merge, in one batch with a null one, through every operator."""
+    big = 1 << 53
+    ids = [big, big + 1, None]
+    docs = spark.createDataFrame([(i, f"some text of its own {'abc'[k] * 9} with a few more words than that") for k, i in enumerate(ids)], "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(big, 1), (big + 1, 0)], "doc_id long, toxic int")
+    path = queries.vocabulary("byte_bpe_50k.json")
+    outs = [
+        toxicity.score(docs, toxicity.fit(docs, labels)), exact_dedup.dedup_exact(docs), line_dedup.judge_lines(docs).withColumnRenamed("id", "doc_id"), line_dedup.dedup_lines(docs),
+        token_counts.count_tokens(docs, path), simhash.simhash_groups(docs), simhash.similar_groups(docs), packing.pack(docs, path), pii.find_pii(docs, None, {}),
+        decontaminate.find_leaks(docs, spark.createDataFrame([(big + 1, "some text of its own")], "item_id long, text string")),
+        url_filter.judge_urls(docs.withColumnRenamed("text", "url"), id_col="doc_id"),
+    ]
+    for out in outs:
+        assert Counter(r["doc_id"] for r in rows(out)) == Counter(ids), out.columns
+    turns = spark.createDataFrame([(i, t, "user", f"{i} {t}") for i in ids for t in range(2)], "conv_id long, turn int, role string, text string").coalesce(1)
+    got = rows(chat_format.read_back(chat_format.format_chats(turns)))
+    assert Counter((r["conv_id"], r["n_turns"]) for r in got) == Counter((i, 2) for i in ids)
+
+
 def test_toxicity_odd_rows(spark):
     docs = clash(spark, ODD)
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
@@ -168,11 +215,43 @@ def test_url_rules_and_components(spark):
     assert verdict[12] == verdict[13] == ("allow", "org/fr/")
     assert verdict[3] == ("allow", None)
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
-    edges = spark.createDataFrame([("http://q.info/1", "http://z.net/"), ("http://q.info/1", "http://c.org/fr/1")], "a string, b string")
+    edges = url_filter.redirect_edges(spark.createDataFrame([("http://q.info/1", "HTTP://z.net:80"), ("http://q.info/1", "//c.org/fr/1"), (None, "x"), ("http://q.info/2", None)], "source string, target string"))
     both = {r["page_id"]: r["verdict"] for r in rows(url_filter.judge_urls(pages, edges))}
     assert both[10] == "allow" and both[11] == "allow"  # an explicit allow goes before a block
 
 
+def test_links_are_resolved(spark):
+    from urllib.parse import urljoin
+
+    base = "http://h.org/a/b/c?q=1#f"
+    links = ["x", "/x/y", "//a.net/x", "?z", "#top", "", "../up", "../../../far", "./here/./there/..", "https://O.org:443", "a//b", "mailto:x@y.z", "HTTP://H.org:80/a/./b"]
+    got = {r["link"]: r["to"] for r in rows(spark.createDataFrame([(x,) for x in links], "link string").select("link", url_filter.resolved(F.lit(base), F.col("link")).alias("to")))}
+    for x in links:
+        want = urljoin(base, x).split("#")[0]
+        assert got[x] == {"https://O.org:443": "https://o.org/", "mailto:x@y.z": None, "HTTP://H.org:80/a/./b": "http://h.org/a/b", "a//b": "http://h.org/a/b/a//b"}.get(x, want), x
+    html = {
+        1: """<base target=_top href='/deep/er/'><link rel=canonical href=one><link href="//two.net/?a=1&amp;b=2" rel="alternate canonical">""",
+        2: """<META HTTP-EQUIV=Refresh content="3; URL='three'">""", 3: "<link rel='canonicals' href='x'> canonical <meta name=refresh content='url=y'>", 4: None,
+    }
+    pages = spark.createDataFrame([(i, f"http://p{i}.org/q/r", h) for i, h in html.items()], "page_id long, url string, html string")
+    assert sorted((r["a"], r["b"]) for r in rows(url_filter.link_edges(pages))) == [
+        ("http://p1.org/q/r", "http://p1.org/deep/er/one"), ("http://p1.org/q/r", "http://two.net/?a=1&b=2"), ("http://p2.org/q/r", "http://p2.org/q/three")]
+
+
+def test_components_against_sql(spark):
+    import duckdb
+
+    rng = random.Random(12)
+    url = lambda k: ["http://w.net/a", "http://c.org/fr/1", "http://example.com/de/x"][k] if k < 3 else f"http://h{k}.info/p{k}"
+    pages = [(i, url(k), f'<link rel="canonical" href="{url(rng.randrange(60))}">' if rng.random() < 0.45 else "<p>") for i, k in enumerate([*range(60), *range(0, 60, 7)])]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = sorted(tuple(r[c] for c in ("page_id", "host", "path", "rule", "verdict")) for r in rows(url_filter.judge_urls(df, url_filter.link_edges(df))))
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    assert got == sorted(con.sql(f"SELECT page_id, host, path, rule, verdict FROM ({queries.ORACLE_SQL['op3_url_filter']})").fetchall())
+    assert {r[4] for r in got if r[3] is None} == {"allow", "block"}  # components decide some of both
+
+
 # 4 exact dedup
 
 
@@ -283,15 +362,22 @@ def test_token_counts(spark, name):
     assert len(got) == len(texts)
 
 
-def test_ranks_give_the_same_ids(spark):
-    from corrobora.llm.pieces import encode, encode_ranked
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_give_the_ids_of_the_whole(spark, name):
+    from corrobora.llm import pieces
 
     rng = random.Random(11)
-    path, ranks = queries.vocabulary("byte_bpe_50k.json"), queries.byte_ranks()
-    words = {w for (t,) in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() for w in t.replace(" ", "\0 ").split("\0")}
-    words |= {"".join(rng.choice(" aé'st\nßÑ19.,-<|>日\u0301") for _ in range(rng.randrange(12))) for _ in range(20000)} | {"<|endoftext|>", ""}
-    words = sorted(words)
-    assert encode_ranked(path, ranks, words) == encode(path, words)
+    texts = [t for (t,) in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    words = ["the", "Words", " ", " ", "\n", ",", ". ", ", ", "é", "st\u0301", "日本", "19", "'s", "'", "\t", "\r\n", "<|endoftext|>", "-", "<|", ")", "\xa0", "\0", "...", "_", " \n", "?!"]
+    texts += ["".join(rng.choice(words) for _ in range(rng.randrange(40))) for _ in range(20_000)]
+    texts += ["".join(rng.choice(["word", "19", ".", ",", "x-", "/path", "'s", ")"]) for _ in range(9000)), "a" * 40_000]  # without any space
+    path = queries.vocabulary(name)
+    table = pieces.Pieces(path, lambda ids: list(ids), memo=2000)
+    want = pieces.encode(path, texts)
+    for a in range(0, len(texts), 700):
+        got = table(texts[a : a + 700])
+        assert [[i for part in parts for i in part] for parts in got] == want[a : a + 700]
+    assert max(map(len, pieces.cut(texts[-2], True))) < 1000
 
 
 # 7 simhash
@@ -343,6 +429,26 @@ def test_near_links_lose_nothing(spark, agree):
 # 8 packing
 
 
+def test_complements_against_all_sums():
+    import numpy as np
+
+    rng = random.Random(5)
+    for _ in range(200):
+        n = rng.randrange(4, 40)
+        count = np.array([0] + [rng.choice([0, 0, 0, 1, 2]) for _ in range(n)])
+        index = packing.Complements(count)
+        while count.sum():
+            total = rng.randrange(1, n + 1)
+            got = index.of(total)
+            pool = [x for x in range(1, n + 1) for _ in range(min(int(count[x]), 3))]
+            there = any(sum(c) == total for r in (1, 2, 3) for c in combinations(pool, r))
+            assert (got is not None) == there
+            if got:
+                assert sum(got) == total and all(count[x] >= got.count(x) for x in got)
+            for x in got or [rng.choice(pool)]:
+                count[x] -= 1
+
+
 def test_plan_uses_everything_once():
     rng = random.Random(4)
     for capacity in (1, 7, 64):
@@ -363,7 +469,7 @@ def test_plan_uses_everything_once():
 def test_packing(spark):
     path = queries.vocabulary("byte_bpe_50k.json")
     docs = [(r["doc_id"], r["text"]) for r in rows(spark.read.parquet(f"{SF}/documents.parquet"))] + [(900, None), (901, ""), (901, ""), (902, "<|endoftext|> x"), (None, "y  z")]
-    got = rows(packing.pack(clash(spark, docs), path, ranks=queries.byte_ranks()))
+    got = rows(packing.pack(clash(spark, docs), path))
     from corrobora.llm.pieces import tokenizer
 
     want = []
@@ -448,6 +554,52 @@ def test_pii_boosting_learns():
     assert base == [] and spans in ([], [("email", 5, 29)])
 
 
+def planted_pii(rng, kind):
+    """A new value in a loose writing, and the same with something wrong, which is no personal data."""
+    words = ["anna", "bo", "carla", "drew", "eli", "fay"]
+    if kind == "email":
+        a, b, c = rng.choice(words) + str(rng.randrange(99)), rng.choice(words), rng.choice(["org", "net", "info"])
+        at, dot = rng.choice([("[at]", "[dot]"), ("(at)", "(dot)"), (" [at] ", " [dot] "), (" (AT) ", ".")])
+        return f"{a}{at}{b}{dot}{c}", f"{a} looks at {b} dot by dot"
+    if kind == "ip":
+        parts = [rng.randrange(1, 255) for _ in range(4)]
+        sep = rng.choice(["[.]", "(.)", " . "])
+        return sep.join(map(str, parts)), sep.join(map(str, [rng.randrange(300, 999), *parts[1:]]))
+    if kind == "card":
+        d = [4] + [rng.randrange(10) for _ in range(14)]
+        check = next(x for x in range(10) if slow_luhn("".join(map(str, [*d, x]))))
+        good, bad = ("".join(map(str, [*d, x])) for x in (check, (check + 1 + rng.randrange(9)) % 10))
+        sep = rng.choice([".", "/", "_"])
+        return tuple(sep.join(x[i : i + 4] for i in range(0, 16, 4)) for x in (good, bad))
+    a, b, c = rng.randrange(200, 999), rng.randrange(200, 999), rng.randrange(1000, 9999)
+    return rng.choice([f"({a}) {b}-{c}", f"{a}.{b}.{c}", f"{a}-{b}-{c}"]), f"{a}-{b}"
+
+
+def test_pii_recall_on_planted_spans(spark):
+    """Spans planted into documents that the model never saw, beside broken ones: recall and precision of 0.9 by kind."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    model, cut = pii.fit(docs.where("doc_id % 5 <> 0"))
+    rng, texts, good, bad = random.Random(13), [], defaultdict(set), defaultdict(set)
+    for r in rows(docs.where("doc_id % 5 = 0 AND length(text) BETWEEN 300 AND 3000").limit(400)):
+        t = " ".join(x for x in re.findall(r"[^\W\d]+[.,]?", r["text"]))
+        for kind in pii.KINDS:
+            for span, into in zip(planted_pii(rng, kind), (good, bad)):
+                into[kind].add((len(texts), len(t) + 6, len(t) + 6 + len(span)))
+                t += f" also {span} then some more words."
+        texts.append((len(texts), t))
+    found = defaultdict(set)
+    for r in rows(pii.find_pii(spark.createDataFrame(texts, "doc_id long, text string"), model, cut)):
+        for s in r["spans"]:
+            found[s["kind"]].add((r["doc_id"], s["start"], s["end"]))
+    figures = {}
+    for kind in pii.KINDS:
+        hit = {g for g in good[kind] if any(g[0] == f[0] and f[1] < g[2] and g[1] < f[2] for f in found[kind])}
+        right = {f for f in found[kind] if any(g[0] == f[0] and f[1] < g[2] and g[1] < f[2] for g in good[kind])}
+        figures[kind] = round(len(hit) / len(good[kind]), 3), round(len(right) / max(1, len(found[kind])), 3)
+    print("recall, precision:", figures)
+    assert all(a >= 0.9 and b >= 0.9 for a, b in figures.values()), figures
+
+
 def test_pii_learns_rare_kinds(spark):
     # one row in 200 holds a kind: 20 or so spans of each in 16,000 rows, and the same in 4,000 of them
     rng = random.Random(10)
@@ -490,19 +642,19 @@ def test_leaks(spark):
             words[i] = "changed"
         planted[5000 + k] = item
         docs.append((5000 + k, f"{docs[k][1]} {' '.join(words)} {docs[k + 1][1]}"))
-    items += [(900, None), (901, ""), (902, "two words")]
-    docs += [(6000, None), (6001, "it has TWO, words!"), (6001, "it has TWO, words!")]
+    items += [(900, None), (901, ""), (902, "two words"), (903, "there are five words here")]
+    docs += [(6000, None), (6001, "so there are FIVE, words here: two words"), (6001, "so there are FIVE, words here: two words")]
     bench = spark.createDataFrame([(*x, "e") for x in items], "item_id long, text string, item string")
     for block in (20_000, 7):
         got = rows(decontaminate.find_leaks(clash(spark, docs), bench, block=block))
         pairs = [(r["doc_id"], r["item_id"]) for r in got]
-        assert {(d, i) for d, i in planted.items()} <= set(pairs) and pairs.count((6001, 902)) == 2
+        assert {(d, i) for d, i in planted.items()} <= set(pairs) and pairs.count((6001, 903)) == 2 and 902 not in {i for _, i in pairs}
         want = set()
         for d, t in docs:
             w = decontaminate.words_of(t)
             for i, x in items:
                 own = decontaminate.words_of(x)
-                if own and len(set(own) & set(w)) >= len(set(own)) / 3 and slow_align(own, w) / (2 * len(own)) >= 0.5:
+                if len(own) >= 5 and len(set(own) & set(w)) >= len(set(own)) / 3 and slow_align(own, w) / (2 * len(own)) >= 0.5:
                     want.add((d, i))
         assert set(pairs) == want
     assert decontaminate.find_leaks(clash(spark, docs).limit(0), bench).count() == 0
@@ -518,3 +670,95 @@ def test_leaks_in_many_rows(spark, copies):
     got = rows(decontaminate.find_leaks(clash(spark, docs), bench))
     assert sorted(r["doc_id"] for r in got) == list(range(copies))
     assert all(r["score"] == slow_align(item, decontaminate.words_of(docs[r["doc_id"]][1])) / 76 for r in got)
+
+
+@pytest.mark.parametrize("block", [1, 20_000])
+def test_blocks_of_items_change_nothing(spark, block):
+    docs = [(i, "one two three four five six") for i in range(200)] + [(900, "four five six rarely seen words")]
+    bench = spark.createDataFrame([(1, "one two three four five six"), (2, "four five six rarely seen words"), (3, "Yes.")], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["score"]) for r in rows(decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench, block=block)))
+    both = [(i, k, 0.5 if k == 2 else 1.0) for i in range(200) for k in (1, 2)]
+    assert got == sorted([*both, (900, 1, 0.5), (900, 2, 1.0)])
+
+
+# edited copies, hot groups
+
+
+def jaccard_parts(texts, least=0.8):
+    sets = {i: set(simhash.shingle_hashes(t).tolist()) for i, t in texts.items()}
+    links = [(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
+    return components_of(sorted(sets), links)
+
+
+def reworded(rng, words, share):
+    return " ".join(f"w{rng.randrange(10**6)}" if rng.random() < share else w for w in words)
+
+
+@pytest.mark.parametrize("hot", [4096, 6])
+def test_similar_groups_against_all_pairs(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT_GROUP", hot)  # a small one deals large groups out by pairs of parts
+    rng = random.Random(14)
+    texts, passage = {}, " ".join(f"p{i}" for i in range(60))
+    for k in range(30):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([4, 12, 80, 400]))]
+        for _ in range(rng.randrange(1, 5)):
+            texts[len(texts)] = reworded(rng, words, rng.choice([0, 0.01, 0.02, 0.06]))
+    for k in range(40):  # one passage in many documents, and one document with many copies
+        texts[len(texts)] = f"{passage} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(100))
+        texts[len(texts)] = reworded(rng, [f"c{i}" for i in range(300)], 0.004)
+    texts |= {900: None, 901: "", 902: " \n", 903: "A b", 904: "a  B"}
+    got = {r["doc_id"]: r["component_id"] for r in rows(simhash.similar_groups(clash(spark, texts.items())))}
+    assert got == jaccard_parts(texts)
+    kept = {r["doc_id"] for r in rows(simhash.dedup_similar(clash(spark, texts.items())))}
+    assert kept == set(got.values())
+    assert simhash.similar_groups(clash(spark, texts.items()).limit(0)).count() == 0
+
+
+def test_hot_bit_blocks(spark, monkeypatch):
+    """A third of the fingerprints share half of their bits, all different: dealt out by pairs of parts, no link is lost."""
+    monkeypatch.setattr(simhash, "HOT_GROUP", 16)
+    rng = random.Random(15)
+    values = {(0xABCDEF01 << 32) | rng.getrandbits(32) for _ in range(150)} | {rng.getrandbits(64) for _ in range(300)}
+    values |= {v ^ (1 << rng.randrange(32)) ^ (1 << rng.randrange(32)) for v in rng.sample(sorted(values), 60)}
+    flat = [v - (1 << 64) if v >> 63 else v for v in sorted(values)]
+    got = [(r["a"], r["b"]) for r in rows(simhash.near_links(spark.createDataFrame([(v,) for v in flat], "fp long"), len(flat), agree=1))]
+    true = [(a, b) for a, b in combinations(flat, 2) if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4]
+    assert components_of(flat, got) == components_of(flat, true)
+
+
+def test_pivots_discard_and_lose_nothing():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    fp = rng.integers(0, 1 << 64, 400, dtype=np.uint64)
+    fp = np.unique(np.concatenate([fp, fp[:100] ^ np.uint64(5)]))
+    refs, seen = fp[::8], Counter()
+    a, b = simhash.spanning_links(fp, simhash.table(fp, refs), 4, seen=seen)
+    true = [(x, y) for x, y in combinations(fp.tolist(), 2) if (x ^ y).bit_count() <= 4]
+    assert components_of(fp.tolist(), list(zip(a.tolist(), b.tolist()))) == components_of(fp.tolist(), true)
+    assert seen["left"] < 0.01 * seen["pairs"] and seen["links"] == len(a)
+
+
+def test_hot_segments_and_links(spark, monkeypatch):
+    """Lines of one template share a segment: dealt out by parities, all links and their number stay."""
+    monkeypatch.setattr(line_dedup, "HOT_LINES", 3)
+    rng = random.Random(16)
+    lines = ["the same beginning of a line " + "".join(rng.choice("abcdefgh") for _ in range(12)) for _ in range(40)]
+    lines += [x[:-1] + "Z" for x in lines[:10]] + [lines[0][:30] + lines[0][31:]]
+    docs = list(enumerate(lines)) + [(500, None), (501, "")]
+    near = [(a, b) for a, b in combinations(range(len(lines)), 2) if lines[a] != lines[b] and distance(lines[a], lines[b]) <= 2]
+    part, links = components_of(range(len(lines)), near), Counter(x for e in near for x in e)
+    got = {r["id"]: r for r in rows(line_dedup.judge_lines(spark.createDataFrame(docs, "doc_id long, text string")))}
+    assert near and len(got) == len(docs) and got[500]["classes"] == [] and got[500]["n_links"] == 0
+    for i in range(len(lines)):
+        assert got[i]["classes"][0]["first_id"] == part[i] and got[i]["n_links"] == links[i]
+
+
+def test_hot_blocks(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 2)
+    docs = [(i, ["copied text", "Copied TEXT", f"own {i}"][min(i % 9, 2)] * 40) for i in range(120)]
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in rows(exact_dedup.dedup_exact(spark.createDataFrame(docs, "doc_id long, text string"), block_chars=16))}
+    same = defaultdict(list)
+    for i, t in docs:
+        same[lower(t)].append(i)
+    assert got == {i: (max(v), len(v)) for v in same.values() for i in v}
