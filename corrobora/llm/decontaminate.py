@@ -81,7 +81,7 @@ def seeds_of(words: list[str], n: int) -> np.ndarray:
     return out
 
 
-@lru_cache(1 << 18)
+@lru_cache(1 << 15)
 def _hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
 

@@ -114,7 +114,7 @@ class Pieces:
     pieces, added, must be that of both together (a length, or ids as bytes).
     """
 
-    def __init__(self, path: str, value, memo: int = 400_000):
+    def __init__(self, path: str, value, memo: int = 150_000):
         self.path, self.value, self.memo, self.known, self.older = path, value, memo, {}, {}
         self.whole = path.endswith(".model")  # these see the start of a text, so it stays whole
         self.keep_space = not self.whole and not drops_spaces(path)
