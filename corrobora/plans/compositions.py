@@ -153,8 +153,8 @@ def c21_authority_for(spark, d):
 """)
 def c30_occlusion_join(spark, d):
     c = claims(spark, d)
-    m = c.groupBy("subject").agg(F.min("confidence").alias("occlusion")).where("occlusion < 0.6")
-    return c.join(m, "subject").select("iri", "subject", "source", r6("occlusion").alias("occlusion"))
+    seen = G.occlusion_join(c, c, ["subject"], "confidence", 0.6).where("occlusion < 0.6")
+    return seen.select("iri", "subject", "source", r6("occlusion").alias("occlusion"))
 
 
 @query(f"""

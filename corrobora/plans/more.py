@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import assignment as A, claims as C, intervals as I, metrics as M, records as B, reconcile as R, retrieval as V, sequences as Q
+from ..operators import assignment as A, claims as C, graph as G, intervals as I, metrics as M, records as B, reconcile as R, retrieval as V, sequences as Q
 from .inputs import ASSERTIONS, ATOMS, CLAIMS, EVENTS, assertions, atoms, claims, events, table
 from .queries import _POINTS, _points, query, r6
 
@@ -145,8 +145,12 @@ def c08_nearest_points(spark, d):
     SELECT entity, p_partkey AS atom, round(w, 6) AS weight FROM n JOIN part ON p_partkey = other
 """)
 def c13_relational_search(spark, d):
-    e = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("entity"), F.col("l_partkey").alias("atom")).agg(r6(F.max("l_quantity")).alias("weight"))
-    return e.join(table(spark, d, "part").select(F.col("p_partkey").alias("atom")), "atom")
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    edges = table(spark, d, "lineitem").select(name("s", "l_suppkey").alias("src"), name("p", "l_partkey").alias("dst"), "l_quantity")
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("atom"), name("p", "p_partkey").alias("node"))
+    s = table(spark, d, "supplier").select(name("s", "s_suppkey").alias("entity"), "s_suppkey")
+    found = G.relational_search(edges, p, s, "l_quantity", "node").join(s, "entity")
+    return found.select(F.col("s_suppkey").alias("entity"), "atom", r6("weight").alias("weight"))
 
 
 @query(f"""
@@ -210,11 +214,7 @@ def c27_compare_versions(spark, d):
 """)
 def c32_relevance_labels(spark, d):
     a = atoms(spark, d)
-    q = a.where("atom_id % 20 = 0")
-    tags = q.select(F.col("atom_id").alias("query_id"), F.explode(F.array_distinct("tags")).alias("tag")).join(a.select("atom_id", F.explode(F.array_distinct("tags")).alias("tag")), "tag")
-    both = tags.groupBy("query_id", "atom_id").count().where("count >= 2").drop("count")
-    same = q.select(F.col("atom_id").alias("query_id"), "p_brand", "p_type").join(a.select("atom_id", "p_brand", "p_type"), ["p_brand", "p_type"]).select("query_id", "atom_id")
-    return both.unionByName(same).distinct()
+    return G.relevance_labels(a.where("atom_id % 20 = 0"), a, "atom_id", "atom_id", "tags", ["p_brand", "p_type"])
 
 
 # D

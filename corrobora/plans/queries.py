@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import belief_filter, claims as C, intervals as I, metrics as M, reconcile as R, retrieval as V, sequences as Q
+from ..operators import belief_filter, claims as C, graph as G, intervals as I, metrics as M, reconcile as R, retrieval as V, sequences as Q
 from .inputs import ASSERTIONS, ATOMS, CLAIMS, EVENTS, assertions, atoms, claims, events, seconds, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,8 +228,7 @@ def c09_vector_top_k(spark, d):
 @query("SELECT o_orderkey, c_custkey AS resolved, c_custkey IS NULL AS unresolved FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 10 <> 0")
 def c11_resolve_references(spark, d):
     master = table(spark, d, "customer").where("c_custkey % 10 <> 0").select("c_custkey")
-    out = table(spark, d, "orders").join(master, F.col("o_custkey") == F.col("c_custkey"), "left")
-    return out.select("o_orderkey", F.col("c_custkey").alias("resolved"), F.col("c_custkey").isNull().alias("unresolved"))
+    return G.resolve_references(table(spark, d, "orders"), master, "o_custkey", "c_custkey", "c_custkey").select("o_orderkey", "resolved", "unresolved")
 
 
 _GRAPH = """ed AS (SELECT DISTINCT 'r' || r_regionkey AS src, 'n' || n_nationkey AS dst FROM region JOIN nation ON n_regionkey = r_regionkey
@@ -256,9 +255,7 @@ def c16_closure(spark, d):
 
 @query(f"WITH {_GRAPH} SELECT node, other FROM (SELECT src AS node, dst AS other FROM ed UNION ALL SELECT dst, src FROM ed) WHERE node LIKE 's1%'")
 def c14_neighbors(spark, d):
-    e = _graph(spark, d)
-    both = e.toDF("node", "other").unionByName(e.select(F.col("dst").alias("node"), F.col("src").alias("other")))
-    return both.where("node LIKE 's1%'")
+    return G.neighbors(_graph(spark, d)).where("node LIKE 's1%'").select("node", "other")
 
 
 @query(f"""WITH {CLAIMS} SELECT a.subject, a.iri AS a, b.iri AS b FROM cl a JOIN cl b ON a.subject = b.subject AND a.iri < b.iri
