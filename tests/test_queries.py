@@ -11,6 +11,7 @@ from corrobora.functions import scalar as S
 from corrobora.operators import belief_filter as B, claims as C, intervals as I, metrics as M, retrieval as V, sequences as Q
 import corrobora.plans.compositions  # noqa: F401
 import corrobora.plans.further  # noqa: F401
+import corrobora.plans.learned  # noqa: F401
 import corrobora.plans.more  # noqa: F401
 from corrobora.plans.queries import ORACLE_SQL, QUERIES
 
