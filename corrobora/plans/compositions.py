@@ -141,11 +141,9 @@ def c15_khop_subgraph(spark, d):
     SELECT n_nationkey, coalesce((SELECT max(authority) FROM a WHERE scope = n_nationkey), (SELECT max(authority) FROM a WHERE scope IS NULL)) AS authority FROM nation
 """)
 def c21_authority_for(spark, d):
-    a = table(spark, d, "supplier").select(F.col("s_suppkey").alias("authority"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_nationkey")).alias("scope"))
-    exact = a.where("scope IS NOT NULL").groupBy("scope").agg(F.max("authority").alias("exact"))
-    wild = a.where("scope IS NULL").agg(F.max("authority").alias("wild"))
-    n = table(spark, d, "nation").join(exact, F.col("n_nationkey") == F.col("scope"), "left").crossJoin(wild)  # one row
-    return n.select("n_nationkey", F.coalesce("exact", "wild").alias("authority"))
+    declared = table(spark, d, "supplier").select(F.lit("place").alias("aspect"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_nationkey")).alias("scope"), F.col("s_suppkey").alias("authority"), F.col("s_suppkey").alias("ord"))
+    asked = table(spark, d, "nation").select(F.lit("place").alias("aspect"), F.col("n_nationkey").alias("scope"))
+    return G.authority_for(asked, declared).select(F.col("scope").alias("n_nationkey"), "authority")
 
 
 @query(f"""
