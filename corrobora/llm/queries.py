@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, line_dedup, packing, pii, simhash, token_counts, toxicity, url_filter
+from . import chat_format, decontaminate, exact_dedup, line_dedup, packing, pii, simhash, spelling, token_counts, toxicity, url_filter
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
@@ -71,6 +71,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_chat_format": op2_chat_format,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_pii": op9_pii,
     "op10_decontaminate": op10_decontaminate,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -132,4 +137,41 @@ ORACLE_SQL: dict[str, str] = {
         ), g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)
     """,
+    "op11_spelling_variants": """
+        WITH RECURSIVE runs AS (
+            SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS r FROM documents
+        ), low AS (
+            SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n
+            FROM runs WHERE length(r) >= 7 GROUP BY ALL
+        ), coded AS (
+            SELECT *, list_transform(string_split(concat(doc_id, ':', w), ''), lambda x: unicode(x)) AS points FROM low
+        ), steps AS (
+            -- each byte of the UTF-8, then eight shifts (-1)
+            SELECT * EXCLUDE points, flatten(list_transform(points, lambda x: CASE WHEN x < 128 THEN [x, -1, -1, -1, -1, -1, -1, -1, -1]
+                ELSE [192 | (x >> 6), -1, -1, -1, -1, -1, -1, -1, -1, 128 | (x & 63), -1, -1, -1, -1, -1, -1, -1, -1] END)) AS todo FROM coded
+        ), hashed AS (
+            SELECT * EXCLUDE todo, xor(list_reduce(list_prepend(4294967295::BIGINT, todo::BIGINT[]),
+                lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) ELSE xor(s >> 1, (s & 1) * 3988292384) END), 4294967295::BIGINT) AS h FROM steps
+        ), words AS (
+            SELECT CASE WHEN h % 31 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM hashed
+        ), v AS (
+            SELECT word, sum(n)::BIGINT AS n FROM words WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+        ), lacking AS (
+            SELECT word, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM v)
+        ), pairs AS (
+            SELECT a.word, b.word AS near FROM lacking a JOIN lacking b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+            UNION SELECT l.word, v.word FROM lacking l JOIN v ON v.word = l.rest
+            UNION SELECT v.word, l.word FROM lacking l JOIN v ON v.word = l.rest
+        ), ranked AS (
+            SELECT p.word, p.near, v.n AS near_n, count(*) OVER (PARTITION BY p.word) AS n_near,
+                row_number() OVER (PARTITION BY p.word ORDER BY v.n DESC, p.near) AS r
+            FROM pairs p JOIN v ON v.word = p.near
+        ), judged AS (
+            SELECT v.word, v.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.near_n >= 10 * v.n THEN r.near END AS form, CASE WHEN r.near_n >= 10 * v.n THEN r.near_n END AS form_n
+            FROM v LEFT JOIN ranked r ON r.word = v.word AND r.r = 1
+        ), walk(word, place, depth) AS (
+            SELECT word, word, 0 FROM judged UNION ALL SELECT w.word, j.form, depth + 1 FROM walk w JOIN judged j ON j.word = w.place WHERE j.form IS NOT NULL
+        ), roots AS (SELECT word, arg_max(place, depth) AS root FROM walk GROUP BY word)
+        SELECT word, form, root, n, n_near, form_n FROM judged JOIN roots USING (word)
+    """,
 }
