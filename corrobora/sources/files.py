@@ -65,6 +65,75 @@ def event_stream(spark: SparkSession, folder: str | None = None, servers: str |
     return spark.readStream.schema(ENVELOPE).option("maxFilesPerTrigger", files_per_trigger).option("mode", "FAILFAST").json(folder)
 
 
-def emit_events(events: DataFrame, folder: str) -> None:
-    """Appends events as JSON, dealt by subject and in order of time within it."""
-    events.repartition("subject").sortWithinPartitions("subject", "tx_time").write.mode("append").json(folder)
+#: Modalities of an event, and kinds of evidence that are derived, which an observed event cannot carry (fixed values).
+MODALITIES = ["observed", "inferred", "predicted", "planned", "normative", "hypothetical"]
+DERIVED = ["probe", "rule"]
+
+
+def envelope_faults(events: DataFrame) -> DataFrame:
+    """`events` with `fault`, the first thing that is wrong with an envelope, or null.
+
+    An envelope has an id, a type, a subject and a transaction time; its modality is a known one; p, where there is one, and the raw scores of
+    its evidence lie between 0 and 1; its valid time does not end before it starts; an observed event has no derived evidence. Columns
+    of the envelope that `events` lacks count as null.
+    """
+    have = set(events.columns)
+    c = lambda n, kind="string": F.col(n) if n in have else F.lit(None).cast(kind)
+    out = F.lit(None).cast("string")
+    checks = [(F.coalesce(F.trim(c(n)), F.lit("")) == "", f"no {n}") for n in ("event_id", "type", "subject")] + [(c("tx_time", "timestamp").isNull(), "no tx_time"), (~F.coalesce(c("modality").isin(MODALITIES), F.lit(False)), "unknown modality")]
+    p = c("p", "double")
+    checks.append((p.isNotNull() & ~F.coalesce((p >= 0) & (p <= 1) & ~F.isnan(p), F.lit(False)), "p out of range"))
+    if "valid_time" in have:
+        checks.append((F.coalesce(F.col("valid_time.end") < F.col("valid_time.start"), F.lit(False)), "ends before it starts"))
+    if "evidence" in have:
+        checks.append((F.coalesce(F.exists("evidence", lambda e: e["raw_score"].isNotNull() & ~e["raw_score"].between(0, 1)), F.lit(False)), "evidence score out of range"))
+        checks.append(((c("modality") == "observed") & F.coalesce(F.exists("evidence", lambda e: e["kind"].isin(DERIVED)), F.lit(False)), "observed with derived evidence"))
+    for bad, name in reversed(checks):
+        out = F.when(bad, name).otherwise(out)
+    return events.withColumn("fault", out)
+
+
+class BadEnvelopes(ValueError):
+    """Events that were not written, because some of them have faults."""
+
+
+def emit_events(events: DataFrame, folder: str | None = None, servers: str | None = None, topic: str | None = None) -> int:
+    """Writes a batch of checked envelopes: to a Kafka topic, keyed by subject, or offline as JSON files; returns how many.
+
+    Nothing is written if any envelope has a fault. One subject goes through one task in the order of `tx_time`, then id, so that a
+    topic's partition, or a file, holds a subject's events in order.
+    """
+    judged = envelope_faults(events)
+    count, bad = judged.agg(F.count("*"), F.count("fault")).first()
+    if bad:
+        few = {r["fault"]: r["n"] for r in judged.where("fault IS NOT NULL").groupBy("fault").agg(F.count("*").alias("n")).collect()}
+        raise BadEnvelopes(f"{bad} of {count} events: {few}")
+    rows = events.repartition("subject").sortWithinPartitions("subject", "tx_time", "event_id")
+    if servers:
+        keyed = rows.select(F.col("subject").cast("binary").alias("key"), F.to_json(F.struct(*[F.col(c) for c in events.columns])).alias("value"))
+        keyed.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
+    else:
+        rows.write.mode("append").json(folder)
+    return count
+
+
+def emit_stream(stream: DataFrame, checkpoint: str, rejects: str, folder: str | None = None, servers: str | None = None, topic: str | None = None, period: str | None = None):
+    """The same for a stream: good envelopes of each batch are written, those with a fault go below `rejects` as JSON with their fault.
+
+    Offline each batch has a folder, so that a batch that comes again replaces itself; a Kafka topic gets it again.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        judged = envelope_faults(batch).persist()
+        try:
+            judged.where("fault IS NOT NULL").write.mode("overwrite").json(f"{rejects}/batch={batch_id}")
+            good = judged.where("fault IS NULL").drop("fault")
+            if servers:
+                emit_events(good, servers=servers, topic=topic)
+            else:
+                good.repartition("subject").sortWithinPartitions("subject", "tx_time", "event_id").write.mode("overwrite").json(f"{folder}/batch={batch_id}")
+        finally:
+            judged.unpersist()
+
+    w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (w.trigger(processingTime=period) if period else w.trigger(availableNow=True)).start()
