@@ -138,6 +138,11 @@ def _spread_hot(signed: DataFrame, bits: int) -> DataFrame:
     return materialize(both.where("hot IS NULL").unionByName(spread).drop("hot"))
 
 
+def blank(text: Column) -> Column:
+    """Whether there is nothing but space and U+0009 to U+000D: so is the line of a text with other line ends that is empty otherwise."""
+    return F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     ")) == ""
+
+
 def digest(line: str) -> Column:
     """128 bits of the line's SHA-256, which stand for the line."""
     return F.substring(F.sha2(line, 256), 1, 32)
@@ -148,7 +153,7 @@ def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines that are alike, directly or through others, are a class; its first line by id (null first), text
     hash and place stays and the others are removed. `classes` has (pos, first_id, first_pos) of each judged
-    line in order: its class is named by the id and place of its first line. Blank lines are never judged;
+    line in order: its class is named by the id and place of its first line. Blank lines (also of tabs or a carriage return) are never judged;
     lines of fewer than `min_chars` characters are only like equal ones. Rows with the same id and text are
     judged as one, and each has its row. `n_links` counts the links that the row's lines have to different
     lines. A null text has one empty line; where nothing is judged, arrays are empty and links 0.
@@ -163,7 +168,7 @@ def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _judged(docs: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int) -> DataFrame:
     """(id, th, removed, n_links, classes) as in `judge_lines`, once for each different (id, text) with a line that is not blank."""
-    lines = _lines(docs, id_col, text_col).where(F.trim("line") != "")
+    lines = _lines(docs, id_col, text_col).where(~blank(F.col("line")))
     at = materialize(lines.select("id", "th", "pos", F.unhex(digest("line")).alias("g")))
     links = materialize(similar_lines(docs, id_col, text_col, edits, min_chars))
     ends = links.select(F.explode(F.array("a", "b")).alias("g")).groupBy("g").count()
@@ -194,5 +199,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = out.join(judged, (F.col("_row_th") == F.col("_th")) & docs[id_col].eqNullSafe(F.col("_id")), "left")
     kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("_removed"), i))
     text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    out = out.withColumn(text_col, text).where(F.col("_removed").isNull() | (F.trim(F.translate(F.col(text_col), "\n\r\t", "   ")) != ""))
+    out = out.withColumn(text_col, text).where(F.col("_removed").isNull() | ~blank(F.col(text_col)))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
