@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 from math import comb, log2
 
@@ -329,20 +330,51 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, least: flo
     return rows.mapInArrow(run, f"id {kind}, node long, size int, spare int, keys array<long>, fp binary")
 
 
-def _wide_links(node: np.ndarray, fp: np.ndarray, size: np.ndarray, limit: int, sure: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+@cache
+def far_apart(small: int, least: float, words: int = 512, spread: float = 5.0) -> int:
+    """How many bits the long fingerprints of two sets can differ in that are `least` alike, the smaller of `small` elements.
+
+    A bit is the majority of as many fair coins as a set has elements, so how often the bits of two sets differ follows from the numbers they
+    share and do not. That is taken at its worst over the sizes the larger set can have, `spread` standard deviations above the mean. Small
+    sets differ in more bits: up to 96 in the mean for 4 elements, 78 for many.
+    """
+    small, worst = min(small, 64), 0.0  # it falls with the size, to what 64 elements have
+
+    def coins(k: int) -> np.ndarray:
+        return np.array([comb(k, i) for i in range(k + 1)], float) / 2.0**k
+
+    for large in range(small, int(small / least + 1e-9) + 1):
+        shared = int(np.ceil(least * (small + large) / (1 + least) - 1e-9))
+        if shared > small:
+            continue
+        both, a, b = coins(shared), coins(small - shared), coins(large - shared)
+        i = np.arange(shared + 1)
+        one = np.array([a[2 * (x + np.arange(len(a))) > small].sum() for x in i])
+        two = np.array([b[2 * (x + np.arange(len(b))) > large].sum() for x in i])
+        worst = max(worst, float((both * (one * (1 - two) + two * (1 - one))).sum()))
+    return int(np.ceil(words * worst + spread * (words * worst * (1 - worst)) ** 0.5))
+
+
+def limits(size: np.ndarray, least: float) -> np.ndarray:
+    """`far_apart` for each size of a pair's smaller set."""
+    return np.array([0] + [far_apart(n, least) for n in range(1, 65)])[np.minimum(size, 64)]
+
+
+def _wide_links(node: np.ndarray, fp: np.ndarray, size: np.ndarray, sure: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """As `spanning_links`, for long fingerprints (rows of 64-bit words) and sets whose sizes allow `least`.
 
-    Only what is within `sure` bits counts as reached. What is farther off, up to `limit`, is linked and stays in the
+    Only what is within `sure` bits counts as reached. What is farther off, up to what `far_apart` allows, is linked and stays in the
     search, as the link may turn out false and another one hold.
     """
     left, a, b = np.arange(len(node)), [], []
+    limit = limits(np.arange(65), least)
     while len(left) > 1:
         front, left = [left[0]], left[1:]
         while front and len(left):
             i = front.pop()
             fits = np.minimum(size[left], size[i]) >= least * np.maximum(size[left], size[i])
             d = np.bitwise_count(fp[left] ^ fp[i]).sum(axis=1, dtype=np.int64)
-            near = fits & (d <= limit)
+            near = fits & (d <= limit[np.minimum(np.minimum(size[left], size[i]), 64)])
             if near.any():
                 got = left[near]
                 a.append(np.full(len(got), i))
@@ -355,10 +387,8 @@ def _wide_links(node: np.ndarray, fp: np.ndarray, size: np.ndarray, limit: int,
     return node[np.concatenate(a)], node[np.concatenate(b)]
 
 
-def similar_links(each: DataFrame, least: float, limit: int = 104, sure: int = 70, hot: int = 256) -> DataFrame:
-    """Links (a, b) between different nodes of `sketches` that share a key and are within `limit` of 512 bits.
-
-    Sets with a Jaccard similarity of 0.8 are 78 bits apart, give or take 8.
+def similar_links(each: DataFrame, least: float, sure: int = 70, hot: int = 256) -> DataFrame:
+    """Links (a, b) between different nodes of `sketches` that share a key and whose fingerprints are no farther apart than their sizes allow.
 
     Keys that more than `hot` nodes have (a passage that many documents share) go, where a node has no more of them than
     it can spare: what similar sets share beside them still brings them together. The keys that stay so large belong to
@@ -385,12 +415,12 @@ def similar_links(each: DataFrame, least: float, limit: int = 104, sure: int = 7
             if len(two):
                 x, y = two, two + 1
                 near = np.minimum(size[x], size[y]) >= least * np.maximum(size[x], size[y])
-                near &= np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1, dtype=np.int64) <= limit
+                near &= np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1, dtype=np.int64) <= limits(np.minimum(size[x], size[y]), least)
                 a.append(node[x][near])
                 b.append(node[y][near])
             for s, e in zip(starts, stops):
                 if e - s > 2:
-                    x, y = _wide_links(node[s:e], fp[s:e], size[s:e], limit, sure, least)
+                    x, y = _wide_links(node[s:e], fp[s:e], size[s:e], sure, least)
                     a.append(x)
                     b.append(y)
             if a:
