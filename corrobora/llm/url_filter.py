@@ -103,15 +103,20 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.when(tag.rlike(form), value)
 
 
+#: Parts of a page whose text is no markup of the document; one that is not closed goes on to the end.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|textarea|noscript|title)\b.*?(?:</\1\s*>|\z)"
+
+
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Edges (a, b) from a page to its canonical links and to what it sends a reader on to (meta refresh), as `normalised` urls.
 
-    Every such tag counts. Targets are resolved against the page's first `<base href>`, else its url. A page without any,
+    Every such tag of the document counts; what stands in comments, scripts, styles, templates, text areas or noscript is none. Targets are resolved against the page's first `<base href>`, else its url. A page without any,
     with null url or html, or whose url is not absolute has no edge.
     """
     html = F.col("_html")
     seen = F.lower(html)
     pages = pages.select(F.col(url_col).alias("_url"), F.col(html_col).alias("_html")).where(F.col("_url").isNotNull() & (seen.contains("canonical") | seen.contains("refresh")))
+    pages = pages.withColumn("_html", F.regexp_replace("_html", HIDDEN, " "))
     base = _attribute(F.regexp_extract(html, r"(?is)(<base\b[^>]*>)", 1), "href")
     links = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)(<link\b[^>]*>)"), F.lit(1)), lambda t: t.rlike(r"""(?is)[\s"'/]rel\s*=\s*["']?(?:[^"'>]*\s)?canonical(?=[\s"'>/])"""))
     metas = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)(<meta\b[^>]*>)"), F.lit(1)), lambda t: t.rlike(r"""(?is)http-equiv\s*=\s*["']?refresh"""))
