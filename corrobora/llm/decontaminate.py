@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import HELD, begin, materialize
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -86,6 +86,9 @@ def _hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
+HELD["decontamination"] = _hash.cache_clear
+
+
 class Block:
     """Some test items: their words, and the places of their seeds, for the tasks."""
 
@@ -118,6 +121,7 @@ def seed_frequencies(docs: DataFrame, seeds: np.ndarray, n: int, text_col: str)
     sent = docs.sparkSession.sparkContext.broadcast(seeds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("decontamination")
         known = sent.value
         n_rows = np.zeros(len(known), np.int64)
         for batch in batches:
@@ -168,6 +172,7 @@ def find_leaks(
         sent = docs.sparkSession.sparkContext.broadcast(own)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            begin("decontamination")
             items = sent.value
             for batch in batches:
                 rows: list[tuple] = []

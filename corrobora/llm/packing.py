@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .pieces import pieces
-from .shared import by_bytes, materialize, texts_of
+from .shared import begin, by_bytes, materialize, texts_of
 
 
 def ids_as_bytes(ids: list[int]) -> bytes:
@@ -39,6 +39,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
     names = ["id", "piece", "start", "length", "ids_crc32", "row"] + ["ids"] * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("packing")
         bytes_of, before = pieces(path, ids_as_bytes), 0
         end = struct.pack("<I", end_id)
         for batch in batches:

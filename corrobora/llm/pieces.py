@@ -10,7 +10,7 @@ from functools import cache
 import numpy as np
 import regex
 
-from .shared import by_bytes
+from .shared import HELD, by_bytes
 
 #: White space other than a space or a newline.
 _ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
@@ -159,6 +159,14 @@ class Pieces:
 _pieces: dict = {}
 
 
+def _clear() -> None:
+    _pieces.clear()
+    tokenizer.cache_clear()
+
+
+HELD["packing"] = _clear
+
+
 def pieces(path: str, value) -> Pieces:
     """The table of this Python worker for a vocabulary and a value, which adds up over the pieces of a text."""
     key = (path, value.__name__)

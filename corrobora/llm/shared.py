@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 from weakref import WeakKeyDictionary
 
 import pyarrow as pa
@@ -49,6 +52,30 @@ def drop_materialized(df: DataFrame) -> None:
         folder.getFileSystem(conf).delete(folder, True)
 
 
+#: What modules keep in a Python worker between tasks, by the operator that uses it: how to let go of it.
+HELD: dict[str, Callable[[], None]] = {}
+_in_use = ""
+
+
+def begin(own: str) -> None:
+    """Called by a task of operator `own` in its Python worker, which may have worked for another one before: what that one kept is given back.
+
+    A worker serves one task after another, so the tables of all stages of a pipeline would add up in it.
+    """
+    global _in_use
+    if _in_use in ("", own):
+        _in_use = own
+        return
+    _in_use = own
+    for name, clear in HELD.items():
+        if name != own:
+            clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 #: A table of at most so many numbers is sent to all tasks; a larger one is joined by shuffling.
 SENT_ROWS = 1_000_000
 

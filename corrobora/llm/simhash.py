@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, materialize
+from .shared import begin, connected_components, materialize
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -314,6 +314,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, least: flo
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("simhash")
         for batch in batches:
             rows: list[tuple] = []
             for t in batch.column(1).to_pylist():
@@ -407,6 +408,7 @@ def similar_links(each: DataFrame, least: float, sure: int = 70, hot: int = 256)
     rows = in_part_pairs(full, large, ["key"], "node").repartition("key", "pair").sortWithinPartitions("key", "pair", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("simhash")
         for node, given, starts, stops in _groups(batches):
             given = np.ascontiguousarray(given).view(np.uint8)
             fp, size = given[:, :-8].copy().view(np.uint64), given[:, -8:].copy().view(">u8").astype(np.int64).ravel()
@@ -463,6 +465,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, words: int, wanted: DataF
     rows = rows.join(ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("simhash")
         for batch in batches:
             sets = [shingle_hashes(t, words) for t in batch.column(0).to_pylist()]
             node = [int(np.bitwise_xor.reduce(_mix(s + np.uint64(1)))) if len(s) else 0 for s in sets]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_materialized, materialize
+from .shared import begin, drop_materialized, materialize
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -103,6 +103,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text", by: str | None
     given = [F.col(by).cast("int").alias("g")] if by else [F.lit(0).alias("g")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin("toxicity")
         seen: dict[int, Counter] = {}
         for pdf in batches:
             for g, t in zip(pdf["g"], pdf["t"]):
@@ -198,6 +199,7 @@ def fit(
     model = Model(scores, drift, _lambda(clean, drift) if any(v > 0 for v in scores.values()) else 1.0, 0.1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin("toxicity")
         for pdf in batches:
             found = [read(t, model) for t in pdf["text"]]
             yield pd.DataFrame({"y": pdf["y"], "n": [max(n, 2) for _, n, _ in found], "segments": [[x[2] for x in s] for s, _, _ in found]})
@@ -226,6 +228,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     arrow = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64()), ("chance", pa.float64()), ("words", pa.list_(pa.string()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity")
         for batch in batches:
             p, segments = [], []
             for t in batch.column(1).to_pylist():
