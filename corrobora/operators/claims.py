@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -102,19 +103,23 @@ def prune_ttl(atoms: DataFrame, entity: str, t: str, oldest: float) -> DataFrame
     return atoms.withColumn("_n", n).where(~old | (F.col("_n") == 1)).drop("_n")
 
 
-def closure(edges: DataFrame, seeds: DataFrame, most: int = 50) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
     """(seed, node, depth) over directed edges (src, dst), each node at its least depth, cycles included once.
 
     Edges are written once, each pair once, so that no round reads their source again; each round joins the frontier
     only, and each frontier is written in the cluster's shared folder. The result has a row for each node that a
-    seed reaches: its size is that of the answer. Edges with a null end lead nowhere.
+    seed reaches: its size is that of the answer. Edges with a null end lead nowhere. With `most` the closure ends at that depth, else where nothing new
+    is reached; what is known is written anew now and then, so that deep chains keep short plans.
     """
     edges = written(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
     seen = frontier = written(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth")).distinct())
-    for depth in range(1, most + 1):
+    parts = 1
+    for depth in count(1) if most is None else range(1, most + 1):
         step = frontier.join(edges, frontier.node == edges.src).select("seed", F.col("dst").alias("node")).distinct()
         frontier = written(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return seen
-        seen = seen.unionByName(frontier)
-    raise RuntimeError(f"the closure is deeper than {most}")
+        seen, parts = seen.unionByName(frontier), parts + 1
+        if parts == 16:
+            seen, parts = written(seen), 1
+    return seen

@@ -187,12 +187,13 @@ def verify_expectations(expectations: DataFrame, effects: DataFrame, observation
     """Each expectation (expectation, deadline) with the verdict of each declared side and its status at `now`.
 
     `effects` (expectation, side: symbolic or rollout, entity, fluent, lower, upper), `observations` (entity, fluent, value; of several
-    the last by t). A side holds if all of its effects are observed within their bounds, is null if one is not observed or
+    the last by t). A null bound is open. A side holds if all of its effects are observed within their bounds, is null if one is not observed or
     none is declared. An effect out of its bounds makes it violated; one unobserved leaves it active up to the deadline and
     undetermined after it; else it is fulfilled. `unobserved` lists fluents. Without effects it is as unobserved.
     """
     last = observations.groupBy("entity", "fluent").agg(F.max_by("value", "t").alias("value"))
-    at = effects.join(last, ["entity", "fluent"], "left").withColumn("_ok", F.col("value").between(F.col("lower"), F.col("upper")))
+    at = effects.join(last, ["entity", "fluent"], "left").withColumn("_ok", F.col("value").isNotNull() & F.coalesce(F.col("value") >= F.col("lower"), F.lit(True)) & F.coalesce(F.col("value") <= F.col("upper"), F.lit(True)))
+    at = at.withColumn("_ok", F.when(F.col("value").isNotNull(), F.col("_ok")))
     unknown = F.col("value").isNull()
 
     def side(name: str) -> Column:
@@ -231,9 +232,26 @@ def answers_to_events(answers: DataFrame, requests: DataFrame, confidence: float
 
 
 def since(rows: DataFrame, marks: DataFrame, key: str, t: str, tie: str, limit: int) -> DataFrame:
-    """The first `limit` rows of each key after its mark (key, mark), oldest first; a key without a mark starts at its first row."""
-    at = rows.join(marks.groupBy(key).agg(F.max("mark").alias("_mark")), key, "left").where(F.col("_mark").isNull() | (F.col(t) > F.col("_mark")))
-    return top_k(at.drop("_mark"), [key], limit, F.asc(t), F.asc(tie))
+    """The first `limit` rows of each key after its mark, oldest first; a key without a mark starts at its first row.
+
+    A mark (key, mark, mark_tie) is the time and the tie of the last row seen, so that a page may end among rows of one time; `next_marks`
+    makes it from a page. Without a mark_tie, or where it is null, all rows of the mark's time have been seen. Rows without a time are never due.
+    """
+    if "mark_tie" not in marks.columns:
+        marks = marks.withColumn("mark_tie", F.lit(None).cast(rows.schema[tie].dataType))
+    whole = F.col("mark_tie").isNull()  # counts as behind every tie
+    last = marks.where("mark IS NOT NULL").groupBy(key).agg(F.max(F.struct("mark", whole.alias("whole"), "mark_tie")).alias("_m"))
+    later = (F.col(t) > F.col("_m.mark")) | ((F.col(t) == F.col("_m.mark")) & ~F.col("_m.whole") & (F.col(tie) > F.col("_m.mark_tie")))
+    at = rows.where(F.col(t).isNotNull()).join(last, key, "left").where(F.col("_m").isNull() | later)
+    return top_k(at.drop("_m"), [key], limit, F.asc(t), F.asc(tie))
+
+
+def next_marks(page: DataFrame, marks: DataFrame, key: str, t: str, tie: str) -> DataFrame:
+    """(key, mark, mark_tie) after a page of `since`: its last row for each key, else the mark as it was."""
+    if "mark_tie" not in marks.columns:
+        marks = marks.withColumn("mark_tie", F.lit(None).cast(page.schema[tie].dataType))
+    seen = page.groupBy(key).agg(F.max(F.struct(F.col(t).alias("mark"), F.col(tie).alias("mark_tie"))).alias("_m")).select(key, "_m.*")
+    return seen.unionByName(marks.select(key, "mark", "mark_tie").join(seen, key, "left_anti"))
 
 
 def memory_compression(before: DataFrame, after: DataFrame, found_before: DataFrame, found_after: DataFrame, relevant: DataFrame) -> DataFrame:

@@ -288,10 +288,9 @@ def physics_gate(states: DataFrame, by: list[str], order: str, t: str, x: str, l
     return stream_keys(states, by, [order], schema, dict, step).select(*states.columns, "accepted", "violations")
 
 
-def nearest_neighbour_linkage(vectors: DataFrame, vec_id: str, vec: str, owner: str) -> DataFrame:
-    """How often a queried vector's nearest other vector has the same owner, against chance (one over the owners)."""
-    q = vectors.where(F.col(vec_id) % 20 == 0)
-    near = vector_top_k(q, vectors, 2, vec_id, vec_id, vec).where(F.col("query_id") != F.col("vec_id"))
+def nearest_neighbour_linkage(queries: DataFrame, vectors: DataFrame, vec_id: str, vec: str, owner: str) -> DataFrame:
+    """How often the nearest other vector of a vector of `queries`, a stated part of `vectors`, has the same owner, against chance (one over the owners)."""
+    near = vector_top_k(queries, vectors, 2, vec_id, vec_id, vec).where(F.col("query_id") != F.col("vec_id"))
     near = near.withColumn("_n", F.row_number().over(W.partitionBy("query_id").orderBy("rank"))).where("_n = 1")
     own = vectors.select(F.col(vec_id).alias("_id"), F.col(owner).alias("_o"))
     hit = near.join(own.toDF("query_id", "_a"), "query_id").join(own.toDF("vec_id", "_b"), "vec_id")

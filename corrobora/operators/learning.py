@@ -35,8 +35,11 @@ def write_back_plan(corrections: DataFrame, current: DataFrame, mapping: DataFra
     """(dry-run diff rows, the rows that undo them).
 
     `corrections` (command_id, key, property, new_value), `current` (key, property, old_value), `mapping` (property, column_name),
-    `applied` (command_id). Commands that were applied, properties without a column and values that are there already give no row.
+    `applied` (command_id). Commands that were applied, properties without a column and values that are there already give no row. Of several current values of a property the least counts, of
+    corrections under one command id too.
     """
+    corrections = corrections.groupBy("command_id", "key", "property").agg(F.min("new_value").alias("new_value"))
+    current = current.groupBy("key", "property").agg(F.min("old_value").alias("old_value"))
     fresh = corrections.join(applied.select("command_id").distinct(), "command_id", "left_anti").join(mapping.select("property", "column_name").distinct(), "property")
     diff = fresh.join(current, ["key", "property"], "left").where(~F.col("old_value").eqNullSafe(F.col("new_value")))
     diff = diff.select("command_id", "key", "column_name", "old_value", "new_value")

@@ -24,10 +24,11 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str,
     Queries are a stated set. They are counted and numbered, and go to the tasks in blocks of at most `block`; for each
     block a task multiplies its vectors with the block and keeps its best `k` for each query, so what moves are k rows
     for each query and task. Exact: scores that agree in 12 digits are ties. Zero vectors have cosine 0. Vectors of
-    another length than the query's do not count, nor do rows with a null id or vector.
+    another length than the query's do not count, nor do rows with a null id or vector, or with an element that is null or not finite.
     """
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(vec).cast("array<double>").alias("v")).where("query_id IS NOT NULL AND v IS NOT NULL")
-    v = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vec).cast("array<double>").alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
+    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(vec).cast("array<double>").alias("v")).where("query_id IS NOT NULL AND v IS NOT NULL").where(fine)
+    v = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vec).cast("array<double>").alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL").where(fine)
     parts = -(-q.count() // block) or 1
     if parts > 1:  # whole blocks of at most `block`, whatever the hashes do
         q = written(q.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(2 * parts)))).where("part IS NOT NULL")

@@ -368,7 +368,8 @@ def h23_clock_skew_sweep(spark, d):
 
 @query()
 def h24_linkage_audit(spark, d):
-    return J.nearest_neighbour_linkage(table(spark, d, "embeddings"), "vec_id", "embedding", "label")
+    v = table(spark, d, "embeddings")
+    return J.nearest_neighbour_linkage(v.where("vec_id % 20 = 0"), v, "vec_id", "embedding", "label")
 
 
 @query("""

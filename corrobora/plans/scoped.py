@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import health as H, identity as N, norms, regrounding as R
+from ..operators import density as K, health as H, identity as N, norms, regrounding as R
 from .inputs import ASSERTIONS, EVENTS, assertions, events, table
 from .queries import query, r6
 
@@ -88,3 +88,18 @@ def c23_assign_identities(spark, d):
     known = first.select("episode", F.col("user_id").alias("entity"), (F.col("value") / 10).alias("x"), (F.col("user_id") % 5).cast("double").alias("y"), look.alias("appearance"))
     anchors = e.where("event_type = 'error'").select("episode", "frame", F.col("user_id").alias("entity"), (F.col("value") / 10).alias("x"), (F.col("user_id") % 5).cast("double").alias("y"))
     return N.assign_identities(slots, known, anchors=anchors)
+
+
+@query("""
+    WITH RECURSIVE c AS (SELECT c_custkey AS id, c_acctbal / 200 AS x, c_nationkey::DOUBLE AS y, (c_custkey % 10) / 10 AS sure FROM customer),
+    e AS (SELECT a.id AS a, b.id AS b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM c a JOIN c b ON abs(a.y - b.y) <= 0.9 AND abs(a.x - b.x) <= 0.9 WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 0.9),
+    core AS (SELECT a AS id FROM e GROUP BY 1 HAVING count(*) >= 3), g AS (SELECT a, b FROM e WHERE a IN (FROM core) AND b IN (FROM core)),
+    r(a, b) AS (SELECT a, b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON g.a = r.b), k AS (SELECT a AS id, min(b) AS cluster FROM r GROUP BY 1),
+    m AS (SELECT id, cluster FROM k UNION ALL SELECT a, min({'d': d, 'k': cluster}).k FROM e JOIN k ON k.id = b WHERE a NOT IN (FROM core) GROUP BY 1),
+    s AS (SELECT cluster, count(*) AS members, avg(sqrt(x * x + y * y)) AS norm, avg(sure) AS sure FROM m JOIN c USING (id) GROUP BY 1), q AS (SELECT quantile_cont(norm, 0.5) AS cut FROM s)
+    SELECT cluster, members, round(norm, 6) AS mean_norm, round(sure, 6) AS mean_confidence, norm >= cut AS high_residual, sure < 0.4137 AS low_confidence FROM s, q WHERE norm >= cut OR sure < 0.4137
+""")
+def h17_unexplained_clusters(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.array(F.col("c_acctbal") / 200, F.col("c_nationkey").cast("double")).alias("v"), (F.col("c_custkey") % 10 / 10).alias("sure"))
+    out = K.unexplained_clusters(c, "c_custkey", "v", "sure", 0.9, 3, known=0.4137)
+    return out.select("cluster", "members", r6("mean_norm").alias("mean_norm"), r6("mean_confidence").alias("mean_confidence"), "high_residual", "low_confidence")
