@@ -135,11 +135,67 @@ def reciprocal_rank_fusion(lists: DataFrame, weights: dict[str, float] | None =
         w = F.lit(0.0)
         for name, x in weights.items():
             w = F.when(F.col("list") == name, F.lit(float(x))).otherwise(w)
-    ranked = lists.withColumn("_w", w).where("_w <> 0").withColumn("_r", F.row_number().over(W.partitionBy("query_id", "list").orderBy("ord", "atom_id")))
+    # dealt once, by query: ranks, sums and the last ranking all need a query's rows together
+    own = lists.withColumn("_w", w).where("_w <> 0").repartition("query_id")
+    ranked = own.withColumn("_r", F.row_number().over(W.partitionBy("query_id", "list").orderBy("ord", "atom_id")))
     part = F.col("_w") / (k + F.col("_r"))
-    fused = ranked.groupBy("query_id", "atom_id").agg(F.sum(part).alias("score"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("list", part.alias("s"))))).alias("by_list"))
+    if weights is None:
+        by_list = F.map_from_entries(F.array_sort(F.collect_list(F.struct("list", part.alias("s")))))
+        fused = ranked.groupBy("query_id", "atom_id").agg(F.sum(part).alias("score"), by_list.alias("by_list"))
+    else:
+        names = sorted(n for n, x in weights.items() if x)
+        fused = ranked.groupBy("query_id", "atom_id").agg(F.sum(part).alias("score"), *[F.sum(F.when(F.col("list") == n, part)).alias(f"_l{i}") for i, n in enumerate(names)])
     out = fused.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "atom_id")))
-    return out.where(F.col("rank") <= top_n) if top_n else out
+    out = out.where(F.col("rank") <= top_n) if top_n else out
+    if weights is not None:
+        there = [F.when(F.col(f"_l{i}").isNotNull(), F.struct(F.lit(n).alias("list"), F.col(f"_l{i}").alias("s"))) for i, n in enumerate(names)]
+        out = out.withColumn("by_list", F.map_from_entries(F.array_compact(F.array(*there)))).drop(*[f"_l{i}" for i in range(len(names))])
+    return out.select("query_id", "atom_id", "score", "by_list", "rank")
+
+
+def tag_index(rows: DataFrame, row_id: str, tags: str, name: str, size: int) -> DataFrame:
+    """(name, key): the keys of all choices of `size` of a row's distinct tags; rows with fewer have none."""
+    own = rows.select(F.col(row_id).alias(name), F.array_sort(F.array_distinct(F.array_compact(tags))).alias("_tags"))
+    keys = F.transform("_tags", lambda t, i: F.struct(t.cast("string").alias("key"), i.alias("at")))
+    for _ in range(size - 1):  # each key goes on with every later tag
+        keys = F.flatten(_longer(keys))
+    return own.select(name, "_tags", F.explode(keys).alias("_k")).select(name, "_tags", F.xxhash64(F.lit(size), "_k.key").alias("key"))
+
+
+def _longer(keys: Column) -> Column:
+    def grown(s: Column) -> Column:
+        later = F.slice("_tags", s["at"] + 2, F.size("_tags"))
+        return F.transform(later, lambda t, i: F.struct(F.concat(s["key"], F.lit("\x00"), t.cast("string")).alias("key"), (s["at"] + 1 + i).alias("at")))
+
+    return F.transform(keys, grown)
+
+
+def top_by_tags(queries: DataFrame, atoms: DataFrame, query_id: str, atom_id: str, tags: str, k: int, most: int = 4) -> DataFrame:
+    """(query_id, atom_id, score, rank): the `k` atoms with the largest share of a query's distinct tags, one or more, ties to the smaller id.
+
+    The same rows as the first `k` of `tag_overlap`, without making all pairs that share a tag. Atoms that share m tags with a query meet it
+    under a choice of m of them: first under choices of `most` tags, of which few atoms share any, then, for queries that have not
+    `k` atoms with that many tags yet, under choices of one tag less. A query is done as soon as `k` atoms share as many tags as
+    the last choices had, as all others share fewer. So what is made follows the answer, not the square of a frequent tag. Queries and atoms
+    should have few tags, as the choices of `most` of them are made for each; hashes of choices only bring pairs together, which are then counted.
+    """
+    left = queries.select(F.col(query_id).alias("query_id"), F.col(tags).alias("_t")).where("query_id IS NOT NULL")
+    width = left.agg(F.max(F.size(F.array_distinct("_t")))).first()[0] or 0
+    done = None
+    for size in range(min(most, max(width, 1)), 0, -1):
+        q, a = tag_index(left, "query_id", "_t", "query_id", size), tag_index(atoms, atom_id, tags, "atom_id", size)
+        met = q.select("query_id", F.col("_tags").alias("_q"), "key").join(a.select("atom_id", F.col("_tags").alias("_a"), "key"), "key")
+        shared = F.size(F.array_intersect("_q", "_a"))
+        pairs = met.dropDuplicates(["query_id", "atom_id"]).select("query_id", "atom_id", shared.alias("n"), (shared / F.size("_q")).alias("score")).where(F.col("n") >= size)
+        best = written(top_k(pairs, ["query_id"], k, F.desc("score"), F.asc("atom_id")))
+        full = best.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
+        now = best if size == 1 else best.join(full, "query_id", "left_semi")
+        done = now if done is None else done.unionByName(now)
+        if size > 1:
+            left = written(left.join(full, "query_id", "left_anti"))
+            if left.isEmpty():
+                break
+    return done.select("query_id", "atom_id", "score", F.col("rank").cast("int").alias("rank"))
 
 
 def retrieval_metrics(results: DataFrame, relevant: DataFrame, k: int) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import density as K, health as H, identity as N, norms, regrounding as R
-from .inputs import ASSERTIONS, EVENTS, assertions, events, table
+from ..operators import density as K, health as H, identity as N, norms, regrounding as R, retrieval as V
+from .inputs import ASSERTIONS, ATOMS, EVENTS, assertions, atoms, events, table
 from .queries import query, r6
 
 _DAY = 86400.0
@@ -103,3 +103,13 @@ def h17_unexplained_clusters(spark, d):
     c = table(spark, d, "customer").select("c_custkey", F.array(F.col("c_acctbal") / 200, F.col("c_nationkey").cast("double")).alias("v"), (F.col("c_custkey") % 10 / 10).alias("sure"))
     out = K.unexplained_clusters(c, "c_custkey", "v", "sure", 0.9, 3, known=0.4137)
     return out.select("cluster", "members", r6("mean_norm").alias("mean_norm"), r6("mean_confidence").alias("mean_confidence"), "high_residual", "low_confidence")
+
+
+@query(f"""
+    WITH {ATOMS}, t AS (SELECT DISTINCT atom_id, unnest(tags) AS tag FROM am), n AS (SELECT atom_id, count(*) AS n FROM t GROUP BY 1),
+    s AS (SELECT q.atom_id AS query_id, t.atom_id, count(*) AS c FROM t q JOIN t USING (tag) WHERE q.atom_id % 20 = 0 GROUP BY 1, 2)
+    SELECT query_id, s.atom_id, round(c / n, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY c DESC, s.atom_id))::INTEGER AS rank FROM s JOIN n ON n.atom_id = query_id QUALIFY rank <= 50
+""")
+def d01_top_by_tags(spark, d):
+    a = atoms(spark, d)
+    return V.top_by_tags(a.where("atom_id % 20 = 0"), a, "atom_id", "atom_id", "tags", 50).withColumn("score", r6("score"))
