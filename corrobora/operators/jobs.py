@@ -215,13 +215,30 @@ def word_embedder(dim: int = 64) -> Callable[[list[str]], list[list[float]]]:
     return fn
 
 
-def probe(vectors: DataFrame, vec: str, weights: list[float], bias: float, temperature: float | None) -> DataFrame:
-    """A calibrated linear concept score, its uncertainty of the data, and what the concept is surest of; refuses without a calibrator."""
+def probe(vectors: DataFrame, vec: str, weights: list[float], bias: float, temperature: float | None, noise: float = 0.0, members: int = 5, seed: int = 0) -> DataFrame:
+    """A calibrated linear concept score, its uncertainty of the data (p (1 - p)) and, with `noise`, of the weights; refuses without a calibrator.
+
+    `epistemic` is the variance of the uncalibrated scores under `members` sets of weights, each with normal noise of that size added; 0 without
+    noise. The sets are drawn once from the seed, all rows are scored by all of them in one expression.
+    """
     if temperature is None:
         raise ValueError("an uncalibrated probe gives no output")
     w = F.array(*[F.lit(float(x)) for x in weights])
     p = sigmoid((dot(vec, w) + bias) / temperature)
-    return vectors.withColumn("score", p).withColumn("aleatoric", p * (1 - p))
+    out = vectors.withColumn("score", p).withColumn("aleatoric", p * (1 - p))
+    if noise <= 0:
+        return out.withColumn("epistemic", F.when(p.isNotNull(), 0.0))
+    sets = F.array(*[F.array(*[F.lit(float(x)) for x in own]) for own in perturbed(weights, noise, members, seed)])
+    scores = F.transform(sets, lambda own: sigmoid(dot(vec, own) + bias))
+    mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x) / members
+    both = F.transform(F.array(F.struct(scores.alias("all"), mean(scores).alias("mean"))), lambda s: mean(F.transform(s["all"], lambda x: (x - s["mean"]) * (x - s["mean"]))))
+    return out.withColumn("epistemic", both[0])
+
+
+def perturbed(weights: list[float], noise: float, members: int, seed: int) -> list[list[float]]:
+    """Sets of weights with normal noise, the same for the same seed."""
+    rng = np.random.default_rng(seed)
+    return [(np.array(weights, float) + rng.normal(0.0, noise, size=len(weights))).tolist() for _ in range(members)]
 
 
 def fit_logistic(rows: DataFrame, vec: str, label: str, dim: int, steps: int = 8, ridge: float = 1e-2) -> tuple[list[float], float]:
