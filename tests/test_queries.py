@@ -16,6 +16,7 @@ import corrobora.plans.learned  # noqa: F401
 import corrobora.plans.more  # noqa: F401
 import corrobora.plans.scoped  # noqa: F401
 import corrobora.plans.streamed  # noqa: F401
+import corrobora.plans.summarised  # noqa: F401
 from corrobora.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
