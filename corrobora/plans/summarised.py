@@ -136,3 +136,15 @@ def h23_gate_by_skew(spark, d):
     e = events(spark, d).select(F.lag("t").over(at).alias("t0"), F.lag("x").over(at).alias("x0"), F.col("t").alias("t1"), F.col("x").alias("x1"))
     out = S.clock_skew_sweep(e, [0.0, 30.0, 600.0, 86400.0], 60.0, 100.0, 0.01)
     return out.select("skew", "transitions", "rejections", "causal_violations", r6("rejection_rate").alias("rejection_rate"))
+
+
+@query()
+def e05_lifted(spark, d):
+    """Days of events as fluents of their user: busy, costly and failing; what starts and ends them by five rules."""
+    from ..operators import lifting
+
+    e = events(spark, d).withColumn("t", F.floor(F.col("t") / _DAY) * _DAY)
+    day = e.groupBy("user_id", "t").agg(F.least(F.lit(1.0), F.count("*") / 6).alias("busy"), F.least(F.lit(1.0), F.max("value") / 80).alias("costly"), F.least(F.lit(1.0), F.count_if(F.col("event_type") == "error") / 2.0).alias("failing"))
+    s = day.select("user_id", "t", F.explode(F.map_from_arrays(F.array(*[F.lit(x) for x in ("busy", "costly", "failing")]), F.array("busy", "costly", "failing"))).alias("fluent", "p"))
+    rules = spark.createDataFrame([("rush", "busy", "initiates"), ("rush", "costly", "initiates"), ("fault", "failing", "initiates"), ("fault", "busy", "terminates"), ("repair", "failing", "terminates"), ("sale", "costly", "initiates"), ("close", "busy", "terminates"), ("close", "costly", "terminates")], "event string, fluent string, effect string")
+    return lifting.lift_events(s, rules, ["user_id"], 0.5, 0.3, 2 * _DAY, 2.0)
