@@ -28,7 +28,8 @@ def _c(x) -> Column:
 
 
 def clip(x, low: float, high: float) -> Column:
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), _c(x)))
+    """`x` within two bounds; null stays null (`least` and `greatest` alone would pass it over)."""
+    return F.when(_c(x).isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), _c(x))))
 
 
 def log_odds(p, limit: float = LOG_ODDS_LIMIT) -> Column:

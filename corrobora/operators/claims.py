@@ -86,11 +86,14 @@ def schema_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return out.withColumn("change", kind).where("change IS NOT NULL").withColumn("breaking", F.col("change") != "added")
 
 
+#: The name space of quarantine ids, as a UUID without dashes.
+QUARANTINE = uuid.uuid5(uuid.NAMESPACE_URL, "corrobora:quarantine").hex
+
+
 def quarantine(rejects: DataFrame, site: str, *parts: str) -> DataFrame:
     """Rejected rows with a deterministic id of site and parts (UUID version 5)."""
-    space = uuid.uuid5(uuid.NAMESPACE_URL, "corrobora:quarantine").hex
     name = F.concat_ws("|", F.lit(site), *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts])
-    h = F.sha1(F.concat(F.unhex(F.lit(space)), F.encode(name, "utf-8")))
+    h = F.sha1(F.concat(F.unhex(F.lit(QUARANTINE)), F.encode(name, "utf-8")))
     variant = F.lower(F.hex(F.conv(F.substring(h, 17, 2), 16, 10).cast("int").bitwiseAND(F.lit(0x3F)).bitwiseOR(F.lit(0x80))))
     uid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 19, 2)), F.substring(h, 21, 12))
     return rejects.withColumn("quarantine_id", uid)

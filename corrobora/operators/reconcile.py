@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import js_distance, severity, systematic_bias
@@ -67,17 +68,23 @@ def default_severity(value: str, confidence: str, persistence: str) -> Column:
 
 
 def order_violations(claims: DataFrame, subject: str, claim_id: str, physical: str, recorded: str) -> DataFrame:
-    """Pairs of one subject whose physical order contradicts the recorded order; equal times do not count."""
-    a = claims.select(subject, F.col(claim_id).alias("a"), F.col(physical).alias("pa"), F.col(recorded).alias("ra"))
-    b = claims.select(subject, F.col(claim_id).alias("b"), F.col(physical).alias("pb"), F.col(recorded).alias("rb"))
-    both = a.join(b, subject).where("a < b")
+    """Pairs of one subject whose physical order contradicts the recorded order; equal times do not count.
+
+    Only claims that stand in some such pair are paired: those before which (in physical order) a later record lies, or after
+    which an earlier one. So a subject in order, however long, makes no pairs.
+    """
+    own = claims.select(F.col(subject), F.col(claim_id).alias("id"), F.col(physical).alias("p"), F.col(recorded).alias("r")).where("p IS NOT NULL AND r IS NOT NULL")
+    at = W.partitionBy(subject).orderBy("p")
+    times = own.groupBy(subject, "p").agg(F.max("r").alias("_max"), F.min("r").alias("_min"))
+    times = times.withColumns({"_before": F.max("_max").over(at.rowsBetween(W.unboundedPreceding, -1)), "_after": F.min("_min").over(at.rowsBetween(1, W.unboundedFollowing))})
+    odd = own.join(times.select(F.col(subject).alias("_s"), F.col("p").alias("_p"), "_before", "_after"), F.col(subject).eqNullSafe(F.col("_s")) & (F.col("p") == F.col("_p")))
+    odd = odd.where((F.col("_before") > F.col("r")) | (F.col("_after") < F.col("r"))).select(F.col(subject), "id", "p", "r")
+    both = odd.toDF(subject, "a", "pa", "ra").join(odd.toDF(subject, "b", "pb", "rb"), subject).where("a < b")
     return both.where(((F.col("pa") < F.col("pb")) & (F.col("ra") > F.col("rb"))) | ((F.col("pa") > F.col("pb")) & (F.col("ra") < F.col("rb")))).select(subject, "a", "b")
 
 
 def holds_at(events: DataFrame, by: list[str], t: str, starts: Column, stops: Column) -> DataFrame:
     """Intervals in which a fluent holds: from an initiating event to the next terminating one (inertia), null end if none."""
-    from pyspark.sql import Window as W
-
     mark = F.when(starts, 1).when(stops, 0)
     s = events.withColumn("_m", mark).where("_m IS NOT NULL")
     at = W.partitionBy(*by).orderBy(t)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import audits as A, jobs as J
-from .inputs import ATOMS, atoms, table
+from ..operators import audits as A, graph as G, jobs as J, learning as L
+from .inputs import ATOMS, CLAIMS, EVENTS, atoms, claims, events, table
 from .queries import _lists, query, r6
 
 _WEIGHTS = [((i % 5) - 2) / 4 for i in range(64)]
@@ -59,3 +59,38 @@ def j02_probe_members(spark, d):
     """A concept over all 64 numbers of a vector, with the spread of five perturbed weight sets."""
     out = J.probe(table(spark, d, "embeddings"), "embedding", _WEIGHTS, 0.1, 1.5, noise=0.1)
     return out.select("vec_id", *[r6(c).alias(c) for c in ("score", "aleatoric", "epistemic")])
+
+
+@query(f"""
+    WITH {CLAIMS}, e AS (SELECT subject, CASE WHEN method = 'R' THEN 'rule' WHEN method = 'A' THEN 'record' ELSE 'probe' END AS kind, source AS ref FROM cl)
+    SELECT o_orderkey AS subject, array_to_string(list_sort(list(DISTINCT ref) FILTER (kind IN ('rule', 'probe'))), ',') AS derived, array_to_string(list_sort(list(DISTINCT ref) FILTER (kind = 'record')), ',') AS records,
+        count(DISTINCT ref) FILTER (kind IN ('rule', 'probe'))::INTEGER AS n_derived FROM orders LEFT JOIN e ON subject = o_orderkey GROUP BY 1
+""")
+def c31_evidence_sides(spark, d):
+    kind = F.when(F.col("method") == "R", "rule").when(F.col("method") == "A", "record").otherwise("probe")
+    e = claims(spark, d).select("subject", kind.alias("kind"), F.col("source").alias("ref"))
+    out = G.evidence_for(table(spark, d, "orders").select(F.col("o_orderkey").alias("subject")), e, "subject", {"derived": ["rule", "probe"], "records": ["record"]})
+    text = lambda c: F.when(F.size(c) > 0, F.array_join(F.transform(c, lambda x: x.cast("string")), ",")).alias(c)
+    return out.select("subject", text("derived"), text("records"), "n_derived")
+
+
+@query("""
+    WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey END AS bin FROM lineitem), b AS (SELECT s_suppkey, s_nationkey FROM supplier WHERE s_acctbal > 0),
+    i AS (SELECT p_partkey, p_partkey % 100 + 1 AS item_bin FROM part WHERE p_size > 10)
+    SELECT l_orderkey, l_linenumber, l_partkey, coalesce(b.s_nationkey, c.s_nationkey) AS place, round(CASE WHEN b.s_nationkey IS NOT NULL THEN 0.9 WHEN c.s_nationkey IS NOT NULL THEN 0.9 * 0.95 END, 6)::DOUBLE AS confidence,
+        CASE WHEN coalesce(b.s_nationkey, c.s_nationkey) IS NOT NULL THEN 0.0025 END::DOUBLE AS variance
+    FROM l LEFT JOIN b ON b.s_suppkey = l.bin LEFT JOIN i ON i.p_partkey = l_partkey LEFT JOIN b c ON c.s_suppkey = i.item_bin
+""")
+def c12_anchored(spark, d):
+    """Lines with their own bin (a supplier) or, over their part, the bin that the part lies in."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("item"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_suppkey")).alias("bin"))
+    items = table(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("item"), (F.col("p_partkey") % 100 + 1).alias("bin"))
+    bins = table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("bin"), F.col("s_nationkey").alias("place"))
+    out = G.anchor_documents(li, items, bins, "item", "bin", "place")
+    return out.select("l_orderkey", "l_linenumber", F.col("item").alias("l_partkey"), "place", r6("confidence").alias("confidence"), r6("variance").alias("variance"))
+
+
+@query(f"WITH {EVENTS} SELECT user_id, round(avg((event_type = 'view')::INT), 6) AS share, round(min(t) FILTER (event_type = 'view'), 6) AS first FROM ev GROUP BY 1 HAVING avg((event_type = 'view')::INT) > 0.3")
+def e16_staging_fraction(spark, d):
+    out = L.staging_fraction(events(spark, d), ["user_id"], "t", F.col("event_type") == "view", 0.3)
+    return out.select("user_id", r6("share").alias("share"), r6("first").alias("first"))

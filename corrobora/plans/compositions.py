@@ -194,10 +194,16 @@ def e10_stationary(spark, d):
     return s.groupBy("user_id").agg(F.count_if(slow).alias("still"))
 
 
-@query()
+@query(f"""
+    WITH {_RUNS}, l AS (SELECT *, lag(t) OVER w AS t0, lag(x) OVER w AS x0, lag(value BETWEEN 20 AND 80) OVER w AS inside, lag(event_type) OVER w AS kind FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id))
+    SELECT user_id, round(t0 + (t - t0) * (-x0 / (x - x0)), 4) AS t, 'gate' AS anchor FROM l WHERE x0 IS NOT NULL AND (x0 < 0) <> (x < 0)
+    UNION ALL SELECT user_id, round(t, 6), 'zone' FROM l WHERE value BETWEEN 20 AND 80 AND NOT coalesce(inside, false)
+    UNION ALL SELECT user_id, round("start" + 3600, 6), 'dwell' FROM ru WHERE CASE WHEN open THEN last ELSE e0 END - "start" >= 3600
+    UNION ALL SELECT user_id, round(t, 6), 'state' FROM l WHERE kind <> event_type
+""")
 def e12_detect_anchors(spark, d):
     e = events(spark, d)
-    return J.detect_anchors(e, ["user_id"], "t", "x", F.col("value").between(20, 80), F.col("p") >= 0.3, "event_type", 3600.0)
+    return J.detect_anchors(e, ["user_id"], "t", "x", F.col("value").between(20, 80), F.col("p") >= 0.3, "event_type", 3600.0).withColumn("t", F.when(F.col("anchor") == "gate", F.round("t", 4)).otherwise(F.round("t", 6)))
 
 
 @query("SELECT event_id, CASE event_type WHEN 'view' THEN 'receiving' WHEN 'click' THEN 'picking' WHEN 'purchase' THEN 'shipping' END AS biz_step FROM events WHERE event_type IN ('view', 'click', 'purchase')")

@@ -66,7 +66,10 @@ def a03_incremental_pull(spark, d):
     return new.groupBy("user_id").agg(F.count("*").alias("pulled"), r6(F.greatest(F.max("t"), F.max("seen"))).alias("cursor"))
 
 
-@query()
+@query(f"""
+    WITH b AS (SELECT o_orderkey, sha1(from_hex('{C.QUARANTINE}') || encode('site-1|' || o_orderkey || '|no key')) AS h FROM orders WHERE o_orderkey % 97 = 0)
+    SELECT o_orderkey, 'no key' AS reason, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || printf('%02x', (('0x' || h[17:18])::INTEGER & 63) | 128) || h[19:20] || '-' || h[21:32] AS quarantine_id FROM b
+""")
 def a09_quarantine(spark, d):
     bad = table(spark, d, "orders").where("o_orderkey % 97 = 0").select("o_orderkey", F.lit("no key").alias("reason"))
     return C.quarantine(bad, "site-1", "o_orderkey", "reason")
@@ -821,10 +824,21 @@ def h01_detect_existence(spark, d):
     return out.select("user_id", F.round("start", 6).alias("start"), "samples", r6("confidence").alias("confidence"))
 
 
-@query()
+_BITS = "-(CASE WHEN {0} > 0 THEN {0} * log2({0}) ELSE 0 END + CASE WHEN {0} < 1 THEN (1 - {0}) * log2(1 - {0}) ELSE 0 END)"
+
+
+@query(f"""
+    WITH {EVENTS}, d AS (SELECT *, CASE WHEN event_type <> 'error' THEN (event_type = 'purchase')::INT::DOUBLE END AS q, (p + CASE WHEN event_type <> 'error' THEN (event_type = 'purchase')::INT END) / 2 AS m FROM ev),
+    j AS (SELECT user_id, t, event_id, sqrt(greatest(0, {_BITS.format('m')} - ({_BITS.format('p')} + {_BITS.format('q')}) / 2)) AS js FROM d),
+    s AS (SELECT *, coalesce(js >= 0.3, false) AS hit, lead(t) OVER w AS nx, lag(coalesce(js >= 0.3, false)) OVER w AS was FROM j WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+    i AS (SELECT *, sum(CASE WHEN was IS NULL OR was <> hit THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t, event_id) AS g FROM s),
+    ru AS (SELECT user_id, min(t) AS "start", coalesce(arg_max(nx, t), max(t)) AS e0, max(t) AS last, bool_or(nx IS NULL) AS open, count(*) AS samples, max(js) AS confidence FROM i WHERE hit GROUP BY user_id, g)
+    SELECT user_id, round("start", 6) AS "start", round(CASE WHEN open THEN last ELSE e0 END, 6) AS "end", samples, round(confidence, 6) AS confidence FROM ru WHERE CASE WHEN open THEN last ELSE e0 END - "start" >= 300
+""")
 def h02_detect_state(spark, d):
     s = events(spark, d).withColumn("recorded", F.when(F.col("event_type") != "error", (F.col("event_type") == "purchase").cast("double")))
-    return R.detect_state(s, ["user_id"], "t", "p", "recorded", theta=0.3)
+    out = R.detect_state(s, ["user_id"], "t", "p", "recorded", theta=0.3)
+    return out.select("user_id", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "samples", r6("confidence").alias("confidence"))
 
 
 @query("""

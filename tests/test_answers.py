@@ -44,3 +44,27 @@ def test_values_that_stand_twice(spark):
     now = spark.createDataFrame([("k", "p", "old"), ("k", "p", "older")], "key string, property string, old_value string")
     diff, undo = L.write_back_plan(fix, now, spark.createDataFrame([("p", "col")], "property string, column_name string"), spark.createDataFrame([], "command_id string"))
     assert [tuple(r) for r in diff.collect()] == [("c", "k", "col", "old", "new")] and undo.count() == 1
+
+
+def test_order_violations_against_all_pairs(spark):
+    import random
+
+    from corrobora.operators import reconcile as R
+
+    rng = random.Random(6)
+    rows = [(rng.choice("abc"), i, float(rng.randrange(8)), float(rng.randrange(8))) for i in range(60)] + [("d", 100 + i, float(i), float(i)) for i in range(500)] + [("a", 999, None, 1.0), (None, 1000, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "s string, id int, p double, r double")
+    got = sorted(tuple(x) for x in R.order_violations(df, "s", "id", "p", "r").collect())
+    want = [(a[0], a[1], b[1]) for a in rows for b in rows if a[0] and a[0] == b[0] and a[1] < b[1] and None not in (a[2], b[2]) and (a[2] - b[2]) * (a[3] - b[3]) < 0]
+    assert got == sorted(want) and want
+
+
+def test_unknown_stays_unknown(spark):
+    from pyspark.sql import functions as F
+
+    from corrobora.functions import scalar as S
+
+    row = spark.createDataFrame([(None, 0.5)], "p double, q double").select(
+        S.log_odds("p").alias("a"), S.sigmoid("p").alias("b"), S.entropy("p").alias("c"), S.js_distance("p", "q").alias("d"), S.js_distance("q", "p").alias("e"), S.severity("p", "q", "q", F.lit(0.0)).alias("f")
+    ).first()
+    assert tuple(row) == (None,) * 6
