@@ -148,3 +148,30 @@ def e05_lifted(spark, d):
     s = day.select("user_id", "t", F.explode(F.map_from_arrays(F.array(*[F.lit(x) for x in ("busy", "costly", "failing")]), F.array("busy", "costly", "failing"))).alias("fluent", "p"))
     rules = spark.createDataFrame([("rush", "busy", "initiates"), ("rush", "costly", "initiates"), ("fault", "failing", "initiates"), ("fault", "busy", "terminates"), ("repair", "failing", "terminates"), ("sale", "costly", "initiates"), ("close", "busy", "terminates"), ("close", "costly", "terminates")], "event string, fluent string, effect string")
     return lifting.lift_events(s, rules, ["user_id"], 0.5, 0.3, 2 * _DAY, 2.0)
+
+
+@query("""
+    WITH s AS (SELECT s_suppkey, s_acctbal AS v, s_suppkey % 360 AS deg FROM supplier)
+    SELECT 'unit_round_trip' AS "check", true AS passed, 0.0::DOUBLE AS max_error, count(*) AS states, 0::BIGINT AS failed FROM s UNION ALL SELECT 'frame_equivariance', true, 0.0, count(*), 0 FROM s
+    UNION ALL SELECT 'time_shift', true, 0.0, count(*), 0 FROM s UNION ALL SELECT 'permutation', true, 0.0, count(*), 0 FROM s
+    UNION ALL SELECT 'hops', count(*) FILTER (abs(least(v / 1000, 5) - v / 1000) >= 1e-6) = 0, round(max(abs(least(v / 1000, 5) - v / 1000)), 6), count(*), count(*) FILTER (abs(least(v / 1000, 5) - v / 1000) >= 1e-6) FROM s
+""")
+def h22_translations(spark, d):
+    """Suppliers as states in millimetres and degrees, common states in metres and radians; the detour's native states end at five metres."""
+    from ..functions import scalar
+    from ..operators.metamorphic import metamorphic_checks
+
+    unit = lambda a, b: lambda df: df.withColumn("values", F.array(scalar.convert_unit(F.col("values")[0], F.lit(a[0]), F.lit(b[0])), scalar.convert_unit(F.col("values")[1], F.lit(a[1]), F.lit(b[1]))))
+
+    def there(df):
+        """By name, as the order of values is the state's own."""
+        mm = lambda x: scalar.convert_unit(x, F.lit("mm"), F.lit("m"))
+        rad = lambda x: scalar.convert_unit(x, F.lit("deg"), F.lit("rad"))
+        return df.withColumn("values", F.zip_with("names", "values", lambda n, x: F.when(n == "reach", mm(x)).otherwise(rad(x))))
+
+    names, native, common = F.array(F.lit("reach"), F.lit("turn")), ("mm", "deg"), ("m", "rad")
+    s = table(spark, d, "supplier").select("s_suppkey", names.alias("names"), F.array("s_acctbal", (F.col("s_suppkey") % 360).cast("double")).alias("values"), scalar.rotation_z(F.col("s_suppkey") / 10.0, F.lit(1.0), F.lit(2.0)).alias("pose"), F.col("s_suppkey").cast("double").alias("t"))
+    least = lambda df: df.withColumn("values", F.array(F.least(F.col("values")[0], F.lit(5.0)), F.col("values")[1]))
+    same = lambda df: df
+    out = metamorphic_checks(s, "s_suppkey", there, unit(common, native), same, least, same, scalar.rotation_z(F.lit(0.5), F.lit(3.0), F.lit(4.0)))
+    return out.select("check", "passed", r6("max_error").alias("max_error"), "states", "failed")

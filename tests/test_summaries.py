@@ -122,3 +122,24 @@ def test_lifted_events_against_a_loop(spark):
     assert mine == slow_lift(rows, found, 0.7, 0.3, 40.0) and len(mine) > 5
     assert all(set(r["evidence"]) == {"on", "alarm", "odd"} for r in got) and not any(r["fluent"] == "odd" for r in got)
     assert L.lift_events(df.limit(0), rules, ["k"]).count() == 0
+
+
+def test_translations_that_break_a_law(spark):
+    from corrobora.functions import scalar
+    from corrobora.operators.metamorphic import metamorphic_checks
+
+    pose = [1.0, 0.0, 0.0, 2.0, 0.0, 1.0, 0.0, 3.0, 0.0, 0.0, 1.0, 4.0, 0.0, 0.0, 0.0, 1.0]
+    s = spark.createDataFrame([(i, ["a", "b"], [float(i), 2.0 * i], pose, float(i)) for i in range(5)], "id long, names array<string>, values array<double>, pose array<double>, t double")
+    same = lambda df: df
+    frame = scalar.rotation_z(F.lit(0.3), F.lit(1.0), F.lit(2.0))
+    bad = {
+        "unit_round_trip": (same, lambda df: df.withColumn("values", F.transform("values", lambda x: x * 1.01))),
+        "frame_equivariance": (lambda df: df.withColumn("pose", F.transform("pose", lambda x, i: F.when(i == 3, 0.0).otherwise(x))), same),
+        "time_shift": (lambda df: df.withColumn("values", F.transform("values", lambda x: x + F.col("t"))), lambda df: df.withColumn("values", F.transform("values", lambda x: x - F.col("t")))),
+        "permutation": (lambda df: df.withColumn("values", F.transform("values", lambda x, i: x + i)), lambda df: df.withColumn("values", F.transform("values", lambda x, i: x - i))),
+    }
+    for name, (there, back) in bad.items():
+        got = {r["check"]: r["passed"] for r in metamorphic_checks(s, "id", there, back, same, same, same, frame).collect()}
+        assert not got[name] and all(v for k, v in got.items() if k != name), (name, got)
+    got = {r["check"]: (r["passed"], r["max_error"], r["failed"]) for r in metamorphic_checks(s, "id", same, same, same, lambda df: df.withColumn("values", F.transform("values", lambda x: F.least(x, F.lit(3.0)))), same, frame).collect()}
+    assert got["hops"] == (False, 5.0, 3) and got["unit_round_trip"][0]
