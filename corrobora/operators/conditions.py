@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalar import bayes_factor
+
 from .metrics import seed_summary
 from .retrieval import top_k, vector_top_k
 
@@ -183,17 +185,24 @@ def proximity_dwell(workers: DataFrame, targets: DataFrame, t: str, radius: floa
     return runs.select("worker", "target", "start", "end", (F.col("start") + least).alias("detected"))
 
 
-def verify_expectations(expectations: DataFrame, effects: DataFrame, observations: DataFrame, now: float) -> DataFrame:
+def verify_expectations(expectations: DataFrame, effects: DataFrame, observations: DataFrame, now: float, method: str = "interval", least_factor: float = 3.0) -> DataFrame:
     """Each expectation (expectation, deadline) with the verdict of each declared side and its status at `now`.
 
     `effects` (expectation, side: symbolic or rollout, entity, fluent, lower, upper), `observations` (entity, fluent, value; of several
     the last by t). A null bound is open. A side holds if all of its effects are observed within their bounds, is null if one is not observed or
     none is declared. An effect out of its bounds makes it violated; one unobserved leaves it active up to the deadline and
     undetermined after it; else it is fulfilled. `unobserved` lists fluents. Without effects it is as unobserved.
+
+    With the method `bayes_factor` an effect holds while the factor of its complement (1 - `expected`) against `expected`, a column of
+    `effects`, is under `least_factor`; `statistic` is then the greatest factor of an expectation's observed effects.
     """
+    if method not in ("interval", "bayes_factor"):
+        raise ValueError(f"no method {method}")
     last = observations.groupBy("entity", "fluent").agg(F.max_by("value", "t").alias("value"))
     at = effects.join(last, ["entity", "fluent"], "left").withColumn("_ok", F.col("value").isNotNull() & F.coalesce(F.col("value") >= F.col("lower"), F.lit(True)) & F.coalesce(F.col("value") <= F.col("upper"), F.lit(True)))
-    at = at.withColumn("_ok", F.when(F.col("value").isNotNull(), F.col("_ok")))
+    at = at.withColumn("_ok", F.when(F.col("value").isNotNull(), F.col("_ok"))).withColumn("_factor", F.lit(None).cast("double"))
+    if method == "bayes_factor":
+        at = at.withColumn("_factor", bayes_factor("value", "expected", 1 - F.col("expected"))).withColumn("_ok", F.col("_factor") < least_factor)
     unknown = F.col("value").isNull()
 
     def side(name: str) -> Column:
@@ -203,8 +212,9 @@ def verify_expectations(expectations: DataFrame, effects: DataFrame, observation
 
     judged = at.groupBy("expectation").agg(
         side("symbolic").alias("symbolic"), side("rollout").alias("rollout"), F.bool_or(~F.col("_ok")).alias("_refuted"), F.count_if(unknown).alias("_unknown"),
-        F.array_sort(F.collect_set(F.when(unknown, F.col("fluent")))).alias("unobserved"),
+        F.array_sort(F.collect_set(F.when(unknown, F.col("fluent")))).alias("unobserved"), F.max("_factor").alias("statistic"),
     )
+    judged = judged if method == "bayes_factor" else judged.drop("statistic")
     out = expectations.join(judged, "expectation", "left")
     open_ = F.col("_unknown").isNull() | (F.col("_unknown") > 0)
     status = F.when(F.col("_refuted"), "violated").when(open_ & (F.col("deadline") < now), "undetermined").when(open_, "active").otherwise("fulfilled")

@@ -168,3 +168,44 @@ def clock_skew_sweep(transitions: DataFrame, skews: list[float], uncertainty: fl
     bad = {"limit": F.abs("x1") > limit * (1 + tolerance), "order": dt < -slack, "teleport": F.abs(F.col("x1") - F.col("x0")) > 1.5 * speed * F.greatest(dt, slack)}
     any_ = bad["limit"] | bad["order"] | bad["teleport"]
     return rows.groupBy("skew").agg(F.count("*").alias("transitions"), F.count_if(any_).alias("rejections"), F.count_if(bad["order"]).alias("causal_violations"), F.avg(any_.cast("double")).alias("rejection_rate"), F.max(F.abs("skew")).alias("most_time_error"))
+
+
+def detection_summary(injected: DataFrame, found: DataFrame, key: str, days: float) -> DataFrame:
+    """One row: injected faults, how many were detected with the right kind, the detection rate (null without faults), false alarms and their number a day, the median latency.
+
+    `injected` (key, kind, at), `found` (key, kind, at; null key: it stands for no injected fault). A fault counts as detected by its first finding of
+    its kind at or after it; findings of a key or kind that was not injected are false alarms. The median is exact, over one latency a fault.
+    """
+    hit = injected.withColumnRenamed("at", "_at").join(found.select(key, "kind", F.col("at").alias("_found")), [key, "kind"], "left").withColumn("_late", F.when(F.col("_found") >= F.col("_at"), F.col("_found") - F.col("_at")))
+    each = hit.groupBy(key, "kind").agg(F.min("_late").alias("_late"))
+    one = each.agg(F.count("*").alias("injected"), F.count("_late").alias("detected"), F.percentile("_late", F.lit(0.5)).alias("median_latency"))
+    false = found.join(injected.select(key, "kind").distinct(), [key, "kind"], "left_anti").agg(F.count("*").alias("false_alarms"))
+    out = one.join(F.broadcast(false))  # one row each
+    return out.withColumn("detection_rate", F.col("detected") / F.nullif("injected", F.lit(0))).withColumn("alarms_per_day", F.col("false_alarms") / F.lit(float(days)))
+
+
+def level_of_detail(measurements: DataFrame, entity: str, level: str, now: float, joint: str = "joint_", speed: str = "joint_vel_", end: str = "ee_pose") -> DataFrame:
+    """Measurements (entity, name, value array<double>, t, confidence) as they are (`raw`), summed up by entity (`summary`) or described (`semantic`).
+
+    A summary has the number, mean and range of joint positions (names that begin with `joint`, but not with `speed`), the place of `end` (its first three
+    numbers, of several the latest), the latest time, how old it is at `now` and the least confidence. A description says so in words and lists what can be done:
+    movable and controllable with joints, reachable with a place. Null values and confidences do not count; without any the confidence is 0.
+    """
+    if level == "raw":
+        return measurements
+    if level not in ("summary", "semantic"):
+        raise ValueError(f"no level {level}")
+    is_joint = F.col("name").startswith(joint) & ~F.col("name").startswith(speed)
+    v = F.when(is_joint, F.get("value", F.lit(0)))
+    place = F.when((F.col("name") == end) & (F.size("value") >= 3), F.struct("t", F.slice("value", 1, 3).alias("xyz")))
+    out = measurements.groupBy(entity).agg(F.count(v).alias("n_joints"), F.avg(v).alias("_mean"), (F.max(v) - F.min(v)).alias("_range"), F.max(place)["xyz"].alias("position"), F.max("t").alias("t"), F.coalesce(F.min("confidence"), F.lit(0.0)).alias("confidence"))
+    out = out.select(entity, "n_joints", F.coalesce("_mean", F.lit(0.0)).alias("mean"), F.coalesce("_range", F.lit(0.0)).alias("range"), "position", "t", F.when(F.lit(now > 0), F.lit(float(now)) - F.col("t")).otherwise(0.0).alias("staleness"), "confidence")
+    if level == "summary":
+        return out
+    xyz = [F.format_string("%.3f", F.col("position")[i]) for i in range(3)]
+    said = F.concat_ws(
+        "; ", F.concat(F.lit("Entity '"), F.col(entity).cast("string"), F.lit("'")), F.when(F.col("n_joints") > 0, F.format_string("has %d joints (mean pos %.3f rad)", "n_joints", "mean")),
+        F.when(F.col("position").isNotNull(), F.concat(F.lit("EE at ("), F.concat_ws(", ", *xyz), F.lit(") m"))), F.when(F.col("confidence") < 0.5, "(low confidence)"),
+    )
+    can = F.array_compact(F.array(*[F.when(F.col("n_joints") > 0, x) for x in ("movable", "controllable")], F.when(F.col("position").isNotNull(), "reachable")))
+    return out.select(entity, said.alias("description"), can.alias("affordances"), "t")

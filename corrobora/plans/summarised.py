@@ -175,3 +175,53 @@ def h22_translations(spark, d):
     same = lambda df: df
     out = metamorphic_checks(s, "s_suppkey", there, unit(common, native), same, least, same, scalar.rotation_z(F.lit(0.5), F.lit(3.0), F.lit(4.0)))
     return out.select("check", "passed", r6("max_error").alias("max_error"), "states", "failed")
+
+
+@query(f"""
+    WITH {EVENTS}, i AS (SELECT user_id AS k, CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END AS kind, min(t) AS moment FROM ev WHERE event_type = 'purchase' GROUP BY 1),
+    f AS (SELECT CASE WHEN event_id % 10 > 0 THEN user_id END AS k, CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS kind, t FROM ev WHERE event_type = 'error'),
+    e AS (SELECT i.k, i.kind, min(f.t - i.moment) FILTER (f.t >= i.moment) AS late FROM i LEFT JOIN f ON f.k = i.k AND f.kind = i.kind GROUP BY 1, 2)
+    SELECT count(*) AS injected, count(late) AS detected, round(quantile_cont(late, 0.5), 4) AS median_latency, (SELECT count(*) FROM f WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.k = f.k AND i.kind = f.kind)) AS false_alarms,
+        round(count(late) / count(*), 6) AS detection_rate, round((SELECT count(*) FROM f WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.k = f.k AND i.kind = f.kind)) / 30, 6) AS alarms_per_day FROM e
+""")
+def d33_detections(spark, d):
+    """First purchases as injected faults of a kind by user, errors as findings of a kind by id, one in ten of no user."""
+    e = events(spark, d)
+    kind = lambda c: F.when(F.col(c) % 2 == 0, "a").otherwise("b")
+    faults = e.where("event_type = 'purchase'").groupBy(F.col("user_id").alias("k")).agg(F.min("t").alias("at")).withColumn("kind", kind("k"))
+    found = e.where("event_type = 'error'").select(F.when(F.col("event_id") % 10 > 0, F.col("user_id")).alias("k"), kind("event_id").alias("kind"), F.col("t").alias("at"))
+    out = S.detection_summary(faults, found, "k", 30.0)
+    return out.select("injected", "detected", F.round("median_latency", 4).alias("median_latency"), "false_alarms", r6("detection_rate").alias("detection_rate"), r6("alarms_per_day").alias("alarms_per_day"))
+
+
+@query(f"""
+    WITH {EVENTS}, m AS (SELECT user_id, CASE event_type WHEN 'view' THEN 'joint_1' WHEN 'click' THEN 'joint_2' WHEN 'purchase' THEN 'ee_pose' ELSE 'joint_vel_1' END AS name, value, t, p FROM ev),
+    g AS (SELECT user_id, count(*) FILTER (name IN ('joint_1', 'joint_2')) AS n, count(*) FILTER (name = 'ee_pose') AS placed, max(t) AS t, min(p) AS c FROM m GROUP BY 1)
+    SELECT user_id, concat_ws('; ', 'Entity ' || chr(39) || user_id || chr(39), CASE WHEN n > 0 THEN 'has ' || n || ' joints' END, CASE WHEN placed > 0 THEN 'placed' END, CASE WHEN c < 0.5 THEN '(low confidence)' END) AS description,
+        concat_ws(',', CASE WHEN n > 0 THEN 'movable,controllable' END, CASE WHEN placed > 0 THEN 'reachable' END) AS affordances, round(t, 6) AS t FROM g
+""")
+def b15_descriptions(spark, d):
+    """Events of a user as measurements; numbers in the text are left out here, as both sides round halves their own way."""
+    e = events(spark, d)
+    name = F.when(F.col("event_type") == "view", "joint_1").when(F.col("event_type") == "click", "joint_2").when(F.col("event_type") == "purchase", "ee_pose").otherwise("joint_vel_1")
+    m = e.select("user_id", name.alias("name"), F.array("value", "x", "p").alias("value"), "t", F.col("p").alias("confidence"))
+    out = S.level_of_detail(m, "user_id", "semantic", 0.0)
+    text = F.regexp_replace(F.regexp_replace("description", r" \(mean pos [^)]*\)", ""), r"EE at \([^)]*\) m", "placed")
+    return out.select("user_id", text.alias("description"), F.array_join("affordances", ",").alias("affordances"), r6("t").alias("t"))
+
+
+@query("""
+    WITH o AS (SELECT o_orderkey, o_totalprice / 500000 AS v, CASE o_orderkey % 3 WHEN 0 THEN 0.2 WHEN 1 THEN 0.5 ELSE 0.9 END AS e, o_orderkey % 4 = 0 AS unseen FROM orders),
+    f AS (SELECT *, CASE WHEN NOT unseen THEN exp(-((v - (1 - e)) ** 2) / 0.02) / greatest(exp(-((v - e) ** 2) / 0.02), 1e-12) END AS factor FROM o)
+    SELECT o_orderkey, CASE WHEN unseen THEN 'active' WHEN factor < 3 THEN 'fulfilled' ELSE 'violated' END AS status, CASE WHEN NOT unseen THEN factor < 3 END AS symbolic FROM f
+""")
+def h13_by_bayes_factor(spark, d):
+    from ..operators import conditions as K
+
+    o = table(spark, d, "orders")
+    exp = o.select(F.col("o_orderkey").alias("expectation"), F.lit(10.0).alias("deadline"))
+    e = F.when(F.col("o_orderkey") % 3 == 0, 0.2).when(F.col("o_orderkey") % 3 == 1, 0.5).otherwise(0.9)
+    eff = o.select(F.col("o_orderkey").alias("expectation"), F.lit("symbolic").alias("side"), F.col("o_orderkey").alias("entity"), F.lit("price").alias("fluent"), F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper"), e.alias("expected"))
+    seen = o.where("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("entity"), F.lit("price").alias("fluent"), (F.col("o_totalprice") / 500000).alias("value"), F.lit(1.0).alias("t"))
+    out = K.verify_expectations(exp, eff, seen, 5.0, "bayes_factor")
+    return out.select(F.col("expectation").alias("o_orderkey"), "status", "symbolic")

@@ -143,3 +143,20 @@ def test_translations_that_break_a_law(spark):
         assert not got[name] and all(v for k, v in got.items() if k != name), (name, got)
     got = {r["check"]: (r["passed"], r["max_error"], r["failed"]) for r in metamorphic_checks(s, "id", same, same, same, lambda df: df.withColumn("values", F.transform("values", lambda x: F.least(x, F.lit(3.0)))), same, frame).collect()}
     assert got["hops"] == (False, 5.0, 3) and got["unit_round_trip"][0]
+
+
+def test_detections_and_levels_by_hand(spark):
+    faults = spark.createDataFrame([("a", "x", 10.0), ("b", "x", 10.0), ("c", "x", 10.0)], "k string, kind string, at double")
+    found = spark.createDataFrame([("a", "x", 15.0), ("a", "x", 12.0), ("a", "x", 5.0), ("b", "y", 11.0), ("c", "x", 9.0), (None, "x", 1.0)], "k string, kind string, at double")
+    r = S.detection_summary(faults, found, "k", 2.0).first()
+    assert (r["injected"], r["detected"], r["median_latency"], r["false_alarms"], r["alarms_per_day"]) == (3, 1, 2.0, 2, 1.0) and r["detection_rate"] == pytest.approx(1 / 3)
+    empty = S.detection_summary(faults.limit(0), found.limit(0), "k", 2.0).first()
+    assert empty["injected"] == 0 and empty["detection_rate"] is None
+    m = spark.createDataFrame([("r", "joint_1", [1.0], 1.0, 0.9), ("r", "joint_2", [2.0], 3.0, 0.4), ("r", "joint_vel_1", [9.0], 2.0, None), ("r", "ee_pose", [0.1, 0.2, 0.3, 9.0], 2.0, 0.8), ("q", "joint_1", None, 1.0, None)], "e string, name string, value array<double>, t double, confidence double")
+    assert S.level_of_detail(m, "e", "raw", 0.0).count() == 5
+    s = {r["e"]: r for r in S.level_of_detail(m, "e", "summary", 5.0).collect()}
+    assert (s["r"]["n_joints"], s["r"]["mean"], s["r"]["range"], s["r"]["position"], s["r"]["t"], s["r"]["staleness"], s["r"]["confidence"]) == (2, 1.5, 1.0, [0.1, 0.2, 0.3], 3.0, 2.0, 0.4)
+    d = {r["e"]: (r["description"], r["affordances"]) for r in S.level_of_detail(m, "e", "semantic", 5.0).collect()}
+    assert d == {"r": ("Entity 'r'; has 2 joints (mean pos 1.500 rad); EE at (0.100, 0.200, 0.300) m; (low confidence)", ["movable", "controllable", "reachable"]), "q": ("Entity 'q'; (low confidence)", [])}
+    with pytest.raises(ValueError):
+        S.level_of_detail(m, "e", "other", 0.0)
