@@ -332,13 +332,15 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, least: flo
 
 
 @cache
-def far_apart(small: int, least: float, words: int = 512, spread: float = 5.0) -> int:
+def far_apart(small: int, least: float, words: int = 512) -> int:
     """How many bits the long fingerprints of two sets can differ in that are `least` alike, the smaller of `small` elements.
 
     A bit is the majority of as many fair coins as a set has elements, so how often the bits of two sets differ follows from the numbers they
-    share and do not. That is taken at its worst over the sizes the larger set can have, `spread` standard deviations above the mean. Small
-    sets differ in more bits: up to 96 in the mean for 4 elements, 78 for many.
+    share and do not. That is taken at its worst over the sizes the larger set can have, with five standard deviations above the mean for fewer than 32
+    elements and 3.2 (one pair in 1,400 at exactly `least`) from there on. Small sets differ in more bits: up to 96 in the mean for 4 elements, 78
+    for many.
     """
+    spread = 5.0 if small < 32 else 3.2
     small, worst = min(small, 64), 0.0  # it falls with the size, to what 64 elements have
 
     def coins(k: int) -> np.ndarray:
