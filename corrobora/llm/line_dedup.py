@@ -140,7 +140,7 @@ def _spread_hot(signed: DataFrame, bits: int) -> DataFrame:
 
 def blank(text: Column) -> Column:
     """Whether there is nothing but space and U+0009 to U+000D: so is the line of a text with other line ends that is empty otherwise."""
-    return F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     ")) == ""
+    return F.ltrim(text, F.lit(" \t\n\x0b\x0c\r")) == ""  # looks no further than to the first other character
 
 
 def digest(line: str) -> Column:
