@@ -128,10 +128,12 @@ def promotion_gate(candidates: DataFrame, active: DataFrame, least_auroc: float,
     """Each candidate (auroc, ece, residual) with `failed`, the criteria it misses, and `promoted`.
 
     The residual must not be above the median of the active ones; without any, that criterion does not apply. A null metric fails.
+    Metrics are compared in nine decimals: sums in another order must not decide on a metric that is at its bound.
     """
     middle = active.agg(F.median("residual").alias("_middle"))  # one row
     at = candidates.join(F.broadcast(middle))
-    checks = {"auroc": F.col("auroc") >= least_auroc, "ece": F.col("ece") <= most_ece, "residual": F.col("_middle").isNull() | (F.col("residual") <= F.col("_middle"))}
+    auroc, ece, residual, mid = (F.round(F.col(c).cast("double"), 9) for c in ("auroc", "ece", "residual", "_middle"))
+    checks = {"auroc": auroc >= least_auroc, "ece": ece <= most_ece, "residual": mid.isNull() | (residual <= mid)}
     failed = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items()]))
     return at.withColumn("failed", failed).withColumn("promoted", F.size("failed") == 0).drop("_middle")
 
