@@ -168,18 +168,19 @@ def proximity_dwell(workers: DataFrame, targets: DataFrame, t: str, radius: floa
 
     `workers` (worker, t, x, y) and `targets` (target, t, x, y) meet at equal times in cells of the radius. A run goes on over
     successive samples of the worker and ends at the first one that is not close, or at its last sample; it is detected
-    `least` after its start. Rows of a worker at equal times are one sample each pair.
+    `least` after its start. Rows of a worker at equal times are one sample each pair. Distances are compared in nine decimals, so
+    that places exactly `radius` apart are near however their distance is rounded.
     """
     at = W.partitionBy("worker").orderBy(t)
     steps = workers.groupBy("worker", t).agg(F.min("x").alias("x"), F.min("y").alias("y"))
     steps = steps.withColumn("_n", F.row_number().over(at)).withColumn("_next", F.lead(t).over(at))
     q = steps.select(F.struct("worker", t, "_n", "_next").alias("_q"), F.col(t).alias("_t"), "x", "y")
     p = targets.select(F.struct("target", t).alias("_p"), F.col(t).alias("_t"), "x", "y")
-    cell = [F.floor(F.col(c) / radius) for c in ("x", "y")]
+    cell = [F.floor(F.col(c) / (radius * (1 + 1e-6) + 1e-9)) for c in ("x", "y")]  # wide enough for what rounds down to the radius
     near = F.explode(F.array(*[F.struct((cell[0] + i).alias("i"), (cell[1] + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     q = q.withColumn("_c", near).select("_q", "_t", F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("_c.i").alias("_i"), F.col("_c.j").alias("_j"))
     p = p.select("_p", "_t", "x", "y", cell[0].alias("_i"), cell[1].alias("_j"))
-    close = q.join(p, ["_t", "_i", "_j"]).where(F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y")) <= radius)
+    close = q.join(p, ["_t", "_i", "_j"]).where(F.round(F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y")), 9) <= radius)
     close = close.select("_q.worker", "_p.target", F.col("_t").alias("t"), "_q._n", "_q._next").distinct()
     island = F.col("_n") - F.row_number().over(W.partitionBy("worker", "target").orderBy("_n"))
     runs = close.withColumn("_run", island).groupBy("worker", "target", "_run").agg(F.min("t").alias("start"), F.max("t").alias("_last"), F.max_by("_next", "t").alias("_stop"))
