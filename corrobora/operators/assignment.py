@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -15,35 +17,50 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     if cost.size == 0:
         return []
     turned = cost.shape[0] > cost.shape[1]
-    c = cost.T if turned else cost
-    n, m = c.shape
-    u, v, mate = np.zeros(n), np.zeros(m), np.full(m, -1)
+    c = np.ascontiguousarray(cost.T) if turned else cost
+    mate = shortest_paths(c.__getitem__, *c.shape)
+    pairs = [(int(mate[j]), int(j)) for j in np.flatnonzero(mate >= 0)]
+    return sorted((b, a) for a, b in pairs) if turned else sorted(pairs)
+
+
+def shortest_paths(cost: Callable[[int], np.ndarray], n: int, m: int) -> np.ndarray:
+    """The row of each of the `m` columns, or -1: `n` rows, no more than columns, at least total cost.
+
+    `cost(i)` gives row i; rows are asked for as they are met, so a matrix that is too large to be held need not be there.
+    """
+    u, v, mate, reach = np.zeros(n), np.zeros(m), np.full(m, -1), np.empty(m)
     for row in range(n):
-        dist, via, done = c[row] - u[row] - v, np.full(m, row), np.zeros(m, bool)
-        parent = np.full(m, -1)
-        seen, low = [], 0.0
+        dist = cost(row) - u[row] - v
+        least = dist.copy()  # what a shorter way must be under: nothing is, once a column is done
+        via, parent = np.full(m, row), np.full(m, -1)
+        seen, lows, low = [], [], 0.0
         while True:
-            j = int(np.where(done, np.inf, dist).argmin())
-            low, done[j] = dist[j], True
+            j = int(dist.argmin())
+            low = dist[j]
             if mate[j] < 0:
                 break
             seen.append(j)
+            lows.append(low)
+            dist[j], least[j] = np.inf, -np.inf
             i = mate[j]
-            step = low + c[i] - u[i] - v
-            better = ~done & (step < dist)
-            dist, via, parent = np.where(better, step, dist), np.where(better, i, via), np.where(better, j, parent)
+            np.add(cost(i), low, out=reach)
+            reach -= u[i]
+            reach -= v
+            better = np.flatnonzero(reach < least)
+            dist[better] = least[better] = reach[better]
+            via[better], parent[better] = i, j
         u[row] += low
-        for k in seen:
-            u[mate[k]] += low - dist[k]
-            v[k] += dist[k] - low
+        if seen:
+            short = low - np.array(lows)
+            u[mate[seen]] += short
+            v[seen] -= short
         while True:  # turn the path around
             before = parent[j]
             mate[j] = via[j]
             if before < 0:
                 break
             j = before
-    pairs = [(int(mate[j]), j) for j in range(m) if mate[j] >= 0]
-    return sorted((b, a) for a, b in pairs) if turned else sorted(pairs)
+    return mate
 
 
 def bind(pairs: DataFrame, block: list[str], left: str, right: str, probability: str, least: float = 0.5) -> DataFrame:

@@ -6,9 +6,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .assignment import assign
+from .assignment import shortest_paths
 from .keyed import stream_keys
 
+#: Costs that a frame holds at once, at most; beyond, a row of them is made anew whenever it is met.
+HELD = 1 << 23
+
 OUT = "frame long, slot long, entity string, x double, y double, occluded boolean, last_seen long, outcome string"
 
 
@@ -22,8 +25,8 @@ def assign_identities(slots: DataFrame, entities: DataFrame, forecasts: DataFram
     say (`anchored`) and it is not hidden any more; an anchor of an unknown entity gives a row `unknown_anchor`. A slot without an
     entity gives a row `unmatched_slot`.
 
-    An episode's frames follow one another, so an episode is one task's work in time linear in its frames; its entities' last states are what is held, and a frame's
-    matrix has its slots and entities. Slots without a place, entities without a name or place and rows without a frame do not count; a null
+    An episode's frames follow one another, so an episode is one task's work in time linear in its frames; its entities' last states are what is held, and of a frame's
+    costs `HELD` at most. The time of a frame is at least its slots times its entities. Slots without a place, entities without a name or place and rows without a frame do not count; a null
     appearance is as far from every other as 0. An entity that stands twice counts once, at its least place.
     """
     by = list(by)
@@ -36,54 +39,54 @@ def assign_identities(slots: DataFrame, entities: DataFrame, forecasts: DataFram
             rows = rows.unionByName(like(df.where("frame IS NOT NULL AND entity IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL"), kind, F.col("frame"), none, F.col("entity"), none))
 
     def begin() -> dict:
-        return {"known": {}, "frame": None, "slots": [], "ahead": {}, "anchors": []}
+        return {"first": {}, "names": None, "frame": None, "slots": [], "ahead": {}, "anchors": []}
+
+    def settle(s: dict) -> None:
+        """The entities as arrays, once all are there."""
+        s["names"], first = list(s["first"]), list(s.pop("first").values())
+        s["of"] = {n: i for i, n in enumerate(s["names"])}
+        s["at"], s["look"] = np.array([at for at, _ in first], float).reshape(-1, 2), even([look for _, look in first])
+        s["hidden"], s["seen"] = np.zeros(len(first), bool), [None] * len(first)
 
     def frame_done(s: dict) -> list[tuple]:
-        known, f, out = s["known"], s["frame"], []
-        names, of = list(known), {}
-        if names and s["slots"]:
-            place = np.array([known[n]["at"] for n in names])
-            cost = np.empty((len(s["slots"]), len(names)))
-            far = np.empty_like(cost)
-            for i, (_, at, look) in enumerate(s["slots"]):
-                far[i] = np.sqrt(((place - at) ** 2).sum(axis=1))
-                cost[i] = position_weight * far[i] + appearance_weight * np.array([apart(look, known[n]["look"]) for n in names])
-            for i, j in assign(np.clip(cost, 0.0, most)):
-                if far[i, j] <= gate:
-                    of[names[j]] = i
-        for n in names:
-            e = known[n]
-            if n in of:
-                slot, at, _ = s["slots"][of[n]]
-                e.update(at=at, hidden=False, seen=f)
-                e["now"] = (slot, "seen")
+        if s["names"] is None:
+            settle(s)
+        names, f, out = s["names"], s["frame"], []
+        slots, n = s["slots"], len(s["names"])
+        slot, what, place = [None] * n, ["occluded"] * n, np.array([at for _, at, _ in slots], float).reshape(-1, 2)
+        s["hidden"][:] = True
+        taken, here = set(), s["at"].copy()
+        for i, at in s["ahead"].items():
+            if i in s["of"]:
+                s["at"][s["of"][i]] = at
+        for i, j in matches(place, even([look for *_, look in slots]), here, s["look"], position_weight, appearance_weight, most):
+            if np.sqrt(((here[j] - place[i]) ** 2).sum()) <= gate:
+                s["at"][j], s["hidden"][j], s["seen"][j] = place[i], False, f
+                slot[j], what[j] = slots[i][0], "seen"
+                taken.add(i)
+        for name, at in s["anchors"]:
+            j = s["of"].get(name)
+            if j is None:
+                out.append((f, None, name, *map(float, at), None, None, "unknown_anchor"))
             else:
-                e.update(at=s["ahead"].get(n, e["at"]), hidden=True)
-                e["now"] = (None, "occluded")
-        for n, at in s["anchors"]:
-            if n in known:
-                known[n].update(at=at, hidden=False, now=(known[n]["now"][0], "anchored"))
-            else:
-                out.append((f, None, n, *map(float, at), None, None, "unknown_anchor"))
-        out += [(f, e["now"][0], n, float(e["at"][0]), float(e["at"][1]), e["hidden"], e["seen"], e["now"][1]) for n, e in known.items()]
-        taken = set(of.values())
-        out += [(f, slot, None, float(at[0]), float(at[1]), None, None, "unmatched_slot") for i, (slot, at, _) in enumerate(s["slots"]) if i not in taken]
+                s["at"][j], s["hidden"][j], what[j] = at, False, "anchored"
+        out += zip([f] * n, slot, names, s["at"][:, 0].tolist(), s["at"][:, 1].tolist(), s["hidden"].tolist(), list(s["seen"]), what)
+        out += [(f, id_, None, float(at[0]), float(at[1]), None, None, "unmatched_slot") for i, (id_, at, _) in enumerate(slots) if i not in taken]
         s.update(slots=[], ahead={}, anchors=[])
         return out
 
     def step(s: dict, c: dict[str, list], a: int, b: int) -> list[tuple]:
         out = []
         for i in range(a, b):
-            kind, at = c["kind"][i], np.array([c["x"][i], c["y"][i]])
-            look = np.array(c["look"][i] or [], float)
+            kind, at = c["kind"][i], (c["x"][i], c["y"][i])
             if kind == 0:
-                s["known"].setdefault(c["entity"][i], {"at": at, "look": look, "hidden": False, "seen": None})
+                s["first"].setdefault(c["entity"][i], (at, c["look"][i]))
                 continue
             if s["frame"] is not None and c["frame"][i] != s["frame"]:
                 out += frame_done(s)
             s["frame"] = c["frame"][i]
             if kind == 1:
-                s["slots"].append((c["slot"][i], at, look))
+                s["slots"].append((c["slot"][i], at, c["look"][i]))
             elif kind == 2:
                 s["ahead"][c["entity"][i]] = at
             else:
@@ -93,10 +96,31 @@ def assign_identities(slots: DataFrame, entities: DataFrame, forecasts: DataFram
     return stream_keys(rows, by, ["frame", "kind", "slot", "entity", "x", "y"], OUT, begin, step, lambda s: frame_done(s) if s["frame"] is not None else [])
 
 
-def apart(a: np.ndarray, b: np.ndarray) -> float:
-    """Distance of appearances; what one lacks counts as zero."""
-    n = max(len(a), len(b))
-    d = np.zeros(n)
-    d[: len(a)] += a
-    d[: len(b)] -= b
-    return float(np.sqrt((d**2).sum()))
+def even(looks: list[list | None]) -> np.ndarray:
+    """Appearances as rows of one width; what one lacks counts as zero."""
+    out = np.zeros((len(looks), max((len(x) for x in looks if x), default=0)))
+    for i, x in enumerate(looks):
+        if x:
+            out[i, : len(x)] = x
+    return out
+
+
+def matches(place: np.ndarray, look: np.ndarray, at: np.ndarray, known: np.ndarray, position_weight: float, appearance_weight: float, most: float) -> list[tuple[int, int]]:
+    """Pairs (slot, entity) of least total cost, every one of the fewer side once."""
+    n, m = len(place), len(at)
+    if not n or not m:
+        return []
+    width = max(look.shape[1], known.shape[1])
+    look, known = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (look, known))
+    turned = n > m
+    own, own_look, other, other_look = (at, known, place, look) if turned else (place, look, at, known)
+
+    def cost(i: int) -> np.ndarray:
+        far = np.sqrt(((other - own[i]) ** 2).sum(axis=1))
+        return np.clip(position_weight * far + appearance_weight * np.sqrt(((other_look - own_look[i]) ** 2).sum(axis=1)), 0.0, most)
+
+    if n * m <= HELD:
+        cost = np.stack([cost(i) for i in range(len(own))]).__getitem__
+    mate = shortest_paths(cost, len(own), len(other))
+    pairs = [(int(mate[j]), int(j)) for j in np.flatnonzero(mate >= 0)]
+    return sorted((b, a) for a, b in pairs) if turned else sorted(pairs)
