@@ -5,11 +5,14 @@ from __future__ import annotations
 import uuid
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
+from .keyed import WHOLE, of_keys, whole_keys
 
 
 def bitemporal(rows: DataFrame, as_of: float | None = None, valid_at: float | None = None, **equal) -> DataFrame:
@@ -126,3 +129,55 @@ def closure(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> Data
         if parts == 16:
             seen, parts = written(seen), 1
     return seen
+
+
+def closure_within(rows: DataFrame, by: list[str], carry: tuple[str, ...] = (), of_seed: tuple[str, ...] = (), whole: int = WHOLE) -> DataFrame:
+    """(key, seed, node, depth, carried columns): `closure` where no edge leaves its key, as steps of an order or a case.
+
+    `rows` (key, node, to, seed) has a row for each edge, with a null `to` for a node without one; `seed` says whether the node is one. A node is
+    known by its key and name, so equal names in other keys are others. A row of the result has the `carry` columns of its node, null if
+    that is only named as a `to`, and the `of_seed` columns of its seed; they must be the same on all rows of a node. All
+    keys of up to `whole` rows are walked where their rows meet, in one shuffle; larger ones go round by round.
+    """
+    by, own = list(by), [*carry, *of_seed]
+    rows = rows.where("node IS NOT NULL").select(*by, "node", "to", "seed", *own)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join([f"seed {kinds['node']}", f"node {kinds['node']}", "depth int", *(f"{c} {kinds[c]}" for c in own)])
+
+    def work(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        node, to, seed = (t[c].to_pylist() for c in ("node", "to", "seed"))
+        from_, names, at, depth = [], [], [], []
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows]):
+            ways, place, seeds = {}, {}, {}
+            for i in range(a, b):
+                x = node[i]
+                place.setdefault(x, i)
+                if to[i] is not None:
+                    ways.setdefault(x, []).append(to[i])
+                if seed[i]:
+                    seeds[x] = place[x]
+            for x, i in seeds.items():
+                seen, front, n = {x}, [x], 0
+                while front:
+                    from_ += [i] * len(front)
+                    names += front
+                    at += [place.get(y) for y in front]
+                    depth += [n] * len(front)
+                    new = {y: None for z in front for y in ways.get(z, ()) if y not in seen}
+                    seen.update(new)
+                    front, n = list(new), n + 1
+        of, own_at = pa.array(from_, pa.int64()), pa.array(at, pa.int64())
+        pick = lambda c, i: t[c].combine_chunks().take(i)
+        columns = [*(pick(c, of) for c in by), pick("node", of), pa.array(names, t["node"].type), pa.array(depth, pa.int32()), *(pick(c, own_at) for c in carry), *(pick(c, of) for c in of_seed)]
+        return pa.RecordBatch.from_arrays(columns, names=[*by, "seed", "node", "depth", *own])
+
+    found, large = whole_keys(rows, by, ["node", "to"], schema, work, whole)
+    if large is None:
+        return found
+    rest = of_keys(rows, large, by)
+    name = lambda c: F.struct(*by, F.col(c).alias("_n"))
+    far = closure(rest.where("to IS NOT NULL").select(name("node").alias("src"), name("to").alias("dst")), rest.where("seed").select(name("node").alias("node")))
+    each = rest.groupBy(name("node").alias("_k")).agg(F.first(F.struct(F.lit(1).alias("_1"), *own)).alias("_c"))
+    far = far.join(each.select(F.col("_k").alias("node"), F.col("_c").alias("_own")), "node", "left").join(each.select(F.col("_k").alias("seed"), F.col("_c").alias("_of")), "seed", "left")
+    far = far.select(*[F.col(f"seed.{c}").alias(c) for c in by], F.col("seed._n").alias("seed"), F.col("node._n").alias("node"), "depth", *[F.col(f"_own.{c}").alias(c) for c in carry], *[F.col(f"_of.{c}").alias(c) for c in of_seed])
+    return found.unionByName(far)
