@@ -1,5 +1,9 @@
 """Answers that were wrong once: pages among equal times, broken vectors, deep chains, open bounds, values that stand twice."""
 
+import random
+
+from pyspark.sql import functions as F
+
 from corrobora.operators import claims as C, conditions as K, graph as G, learning as L, retrieval as V
 
 
@@ -68,3 +72,34 @@ def test_unknown_stays_unknown(spark):
         S.log_odds("p").alias("a"), S.sigmoid("p").alias("b"), S.entropy("p").alias("c"), S.js_distance("p", "q").alias("d"), S.js_distance("q", "p").alias("e"), S.severity("p", "q", "q", F.lit(0.0)).alias("f")
     ).first()
     assert tuple(row) == (None,) * 6
+
+
+def test_closure_within_keys(spark):
+    """The same rows as `closure` with the key in the name, whether a key is walked as a whole or round by round; cycles, nodes without an edge and null keys too."""
+    rng, rows = random.Random(8), []
+    for key in ["a", "b", None, *(f"k{i}" for i in range(30))]:
+        for x in range(rng.randrange(1, 12)):
+            ways = {rng.randrange(14) for _ in range(rng.randrange(3))} or {None}
+            rows += [(key, x, y, x % 4 == 0, f"{key}{x}") for y in ways]
+    df = spark.createDataFrame(rows, "k string, node int, to int, seed boolean, what string").repartition(3)
+    want = set()
+    for key, x, _, seed, what in rows:
+        seen, front, n = {}, {x} if seed else set(), 0
+        while front:
+            seen |= dict.fromkeys(front, n)
+            front, n = {r[2] for r in rows if r[0] == key and r[1] in front and r[2] is not None} - set(seen), n + 1
+        want |= {(key, x, y, at, next((r[4] for r in rows if r[:2] == (key, y)), None), what) for y, at in seen.items()}
+    for whole in (10_000, 6, 0):
+        got = C.closure_within(df.withColumn("of", F.col("what")), ["k"], ("what",), ("of",), whole).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert C.closure_within(df.where("false"), ["k"]).count() == 0
+
+
+def test_chains_within_an_order_are_shuffled_once(spark, monkeypatch):
+    """No round of joins over all edges: what a key holds is walked where its rows meet."""
+    from __spark_entry__ import queries
+
+    monkeypatch.setattr(C, "closure", None)
+    monkeypatch.setattr(G, "closure", None)
+    for name in ("c17_accountability_chain", "c18_root_cause"):
+        assert queries()[name](spark, "/root/testdata/sf0.001").count() > 0
