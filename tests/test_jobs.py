@@ -56,6 +56,31 @@ def test_coupling_moves_parts_and_wholes(spark):
     assert got["w"] < 0.5 and "z" not in got
 
 
+def test_coupling_within_keys(spark, monkeypatch):
+    """The same beliefs as over all edges, whether a key's rounds are gone through where its rows meet or one by one; the query needs no round of joins."""
+    import random
+
+    from __spark_entry__ import queries
+
+    rng, rows = random.Random(4), []
+    for key in range(40):
+        names = [f"n{i}" for i in range(rng.randrange(1, 9))]
+        for x in names:
+            p = rng.choice([None, float("nan"), 0.0, 1.0, rng.random(), rng.random(), rng.random()])
+            rows += [(key, x, p, w) for w in {rng.choice([None, "gone", *names]) for _ in range(rng.randrange(1, 3))}]
+    df = spark.createDataFrame(rows, "k int, node string, p double, whole string").repartition(3)
+    name = lambda k, x: f"{k}:{x}"
+    priors = spark.createDataFrame(list({name(k, x): (name(k, x), p) for k, x, p, _ in rows}.values()), "node string, p double")
+    edges = spark.createDataFrame([(name(k, w), name(k, x)) for k, x, _, w in rows if w], "whole string, part string")
+    for tolerance in (1e-3, 0.7):  # the second ends before the last round
+        want = {r["node"]: (round(r["before"], 9), round(r["p"], 9)) for r in J.couple(priors, edges, tolerance=tolerance).collect()}
+        for whole in (10_000, 5, 0):
+            got = {name(r["k"], r["node"]): (round(r["before"], 9), round(r["p"], 9)) for r in J.couple_within(df, ["k"], tolerance=tolerance, whole=whole).collect()}
+            assert got == want, (tolerance, whole)
+    monkeypatch.setattr(J, "_coupled", None)
+    assert queries()["h12_couple"](spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_leaders_embedding_and_probe(spark):
     v = spark.createDataFrame([("k", i, x) for i, x in enumerate([[0.0], [0.1], [5.0], [0.2], [5.1], [9.0]])], "k string, i int, v array<double>")
     got = J.leader_clusters(v, "k", "i", "v", 0.5, 2).orderBy("cluster").collect()
