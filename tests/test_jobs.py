@@ -132,3 +132,36 @@ def test_mapping_rejects_with_stable_reasons(spark):
     assert [(r["record_id"], r["mapping_version"]) for r in good.collect()] == [("r-1", "2")]
     assert sorted(r["reason"] for r in bad.collect()) == ["missing:key", "missing:key,other"]
     assert B.apply_mapping(raw.limit(0), {"id": "r-{a}", "fields": {"key": "a"}, "required": ["key"], "version": "2"})[0].count() == 0
+
+
+def test_search_of_equal_rows_makes_no_pairs(spark, monkeypatch):
+    """Fused lists as by all lists in whole, with ties and copies; joins are given one row of each class of equal rows."""
+    import random
+
+    rng, w = random.Random(6), J.WEIGHTS
+    kinds = [([rng.choice([0.0, 0.5, 1.0]), 1.0], rng.randrange(3) / 10, rng.randrange(3) / 10, float(rng.randrange(9)), rng.sample("abcd", 2), {"k": rng.choice("uv")}) for _ in range(20)]
+    atoms = [(i, *kinds[i % 20]) for i in range(200)]
+    a = spark.createDataFrame(atoms, "atom_id long, vec array<double>, x double, y double, t double, tags array<string>, fields map<string,string>")
+    q = a.where("atom_id % 5 = 0").selectExpr("atom_id AS query_id", "vec", "x", "y", "t - 2 AS start", "t + 2 AS end", "tags", "fields")
+    whole, met = [], []
+    for r in q.collect():
+        dot = lambda v: round((r.vec[0] * v[0] + r.vec[1] * v[1]) / ((r.vec[0] ** 2 + r.vec[1] ** 2) * (v[0] ** 2 + v[1] ** 2)) ** 0.5, 12)  # noqa: B023, E731
+        far = lambda x: ((x[2] - r.x) ** 2 + (x[3] - r.y) ** 2) ** 0.5  # noqa: B023, E731
+        lists = {
+            "semantic": sorted((-dot(x[1]), x[0]) for x in atoms)[:30],
+            "spatial": sorted((far(x), x[0]) for x in atoms if far(x) <= 0.11),
+            "temporal": sorted((x[4], x[0]) for x in atoms if r.start <= x[4] <= r.end),
+            "symbolic": sorted((-len({*x[5]} & {*r.tags}), x[0]) for x in atoms if {*x[5]} & {*r.tags}),
+            "structured": sorted((0, x[0]) for x in atoms if x[6] == r.fields),
+        }
+        score = {}
+        for name in sorted(lists):
+            for i, (_, x) in enumerate(lists[name]):
+                score[x] = score.get(x, 0.0) + w[name] / (61 + i)
+        whole += [(r.query_id, x, n + 1) for n, x in enumerate(sorted(score, key=lambda x: (-round(score[x], 12), x))[:10])]  # noqa: B023
+    tags = J.tag_overlap
+    monkeypatch.setattr(J, "tag_overlap", lambda q, a, *rest: met.append((q.count(), a.count())) or tags(q, a, *rest))
+    got = J.multi_index_search(q, a, 10, 0.11).collect()
+    assert sorted((r["query_id"], r["atom_id"], r["rank"]) for r in got) == sorted(whole)
+    assert all(sum(r["by_list"].values()) == pytest.approx(r["score"]) for r in got)
+    assert met and max(max(x) for x in met) <= 6
