@@ -44,7 +44,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 @staged
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays whose sets of five-word shingles are 0.8 alike: the one with the smallest id."""
+    """One document of each group stays whose sets of five-word shingles are 0.8 alike: the one with the smallest id. Long SimHash
+    fingerprints and their pivot distance tables leave families of candidates, whole shingle sets give the links."""
     return simhash.dedup_similar(docs)
 
 

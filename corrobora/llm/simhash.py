@@ -10,8 +10,8 @@ meet under one of the choices of `k` blocks. No pair is lost.
 
 `similar_groups` is for edited copies: word shingles with a Jaccard similarity of 0.8 leave fingerprints about
 nine of 64 bits apart and up to 17, where neither tables nor blocks of bits tell them from others. There pairs
-meet under shingles (of a set's least shingles any similar set has some), long fingerprints discard most of them,
-and shingle sets verify the rest.
+meet under shingles (of a set's least shingles any similar set has some), pivot tables of long fingerprints and the
+fingerprints themselves discard most of them and leave families, and shingle sets give the links in a family.
 """
 
 from __future__ import annotations
@@ -363,35 +363,54 @@ def limits(size: np.ndarray, least: float) -> np.ndarray:
     return np.array([0] + [far_apart(n, least) for n in range(1, 65)])[np.minimum(size, 64)]
 
 
-def _wide_links(node: np.ndarray, fp: np.ndarray, size: np.ndarray, sure: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """As `spanning_links`, for long fingerprints (rows of 64-bit words) and sets whose sizes allow `least`.
+def choose_long_pivots(each: DataFrame, count: int = 16, sample: int = 1024) -> np.ndarray:
+    """`count` reference long fingerprints (rows of 64-bit words), chosen from the data as in `choose_pivots`."""
+    few = [r[0] for r in each.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()]
+    if not few:
+        return np.zeros((1, 8), np.uint64)
+    few = np.frombuffer(b"".join(few), np.uint64).reshape(len(few), -1)
+    chosen, near = [few[0]], np.full(len(few), few.shape[1] * 64 + 1)
+    while len(chosen) < min(count, len(few)):
+        near = np.minimum(near, np.bitwise_count(few ^ chosen[-1]).sum(axis=1, dtype=np.int64))
+        chosen.append(few[int(near.argmax())])
+    return np.array(chosen)
 
-    Only what is within `sure` bits counts as reached. What is farther off, up to what `far_apart` allows, is linked and stays in the
-    search, as the link may turn out false and another one hold.
-    """
+
+def long_table(fp: np.ndarray, refs: np.ndarray) -> np.ndarray:
+    """Hamming distances of each long fingerprint to each pivot."""
+    return np.stack([np.bitwise_count(fp ^ r).sum(axis=1, dtype=np.int16) for r in refs], axis=1)
+
+
+def _wide_links(node: np.ndarray, fp: np.ndarray, dist: np.ndarray, size: np.ndarray, least: float, seen: Counter | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """As `spanning_links`, for long fingerprints (rows of 64-bit words) and sets whose sizes allow `least`: the pivot tables discard by
+    the limit of a pair's smaller set, then the fingerprints do. A group of n gives fewer than n links."""
+    seen = Counter() if seen is None else seen
     left, a, b = np.arange(len(node)), [], []
     limit = limits(np.arange(65), least)
     while len(left) > 1:
         front, left = [left[0]], left[1:]
         while front and len(left):
             i = front.pop()
-            fits = np.minimum(size[left], size[i]) >= least * np.maximum(size[left], size[i])
-            d = np.bitwise_count(fp[left] ^ fp[i]).sum(axis=1, dtype=np.int64)
-            near = fits & (d <= limit[np.minimum(np.minimum(size[left], size[i]), 64)])
-            if near.any():
-                got = left[near]
+            small = np.minimum(size[left], size[i])
+            most = limit[np.minimum(small, 64)]
+            fits = small >= least * np.maximum(size[left], size[i])
+            kept = fits & (np.abs(dist[left] - dist[i]).max(axis=1) <= most)
+            maybe, most = left[kept], most[kept]
+            got = maybe[np.bitwise_count(fp[maybe] ^ fp[i]).sum(axis=1, dtype=np.int64) <= most]
+            seen.update(pairs=int(fits.sum()), left=len(maybe), links=len(got))
+            if len(got):
                 a.append(np.full(len(got), i))
                 b.append(got)
-                reached = near & (d <= sure)
-                front += left[reached].tolist()
-                left = left[~reached]
+                front += got.tolist()
+                left = left[~np.isin(left, got, assume_unique=True)]
     if not a:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return node[np.concatenate(a)], node[np.concatenate(b)]
 
 
-def similar_links(each: DataFrame, least: float, sure: int = 70, hot: int = 256) -> DataFrame:
-    """Links (a, b) between different nodes of `sketches` that share a key and whose fingerprints are no farther apart than their sizes allow.
+def similar_links(each: DataFrame, least: float, hot: int = 256) -> DataFrame:
+    """Links (a, b) that hold together what all pairs of nodes of `sketches` hold together that share a key and whose fingerprints are no
+    farther apart than their sizes allow: its components are families, and every pair that is `least` alike lies in one.
 
     Keys that more than `hot` nodes have (a passage that many documents share) go, where a node has no more of them than
     it can spare: what similar sets share beside them still brings them together. The keys that stay so large belong to
@@ -408,23 +427,27 @@ def similar_links(each: DataFrame, least: float, sure: int = 70, hot: int = 256)
     large = materialize(large.select("key", F.ceil(F.col("count") / (HOT_GROUP // 2)).cast("int").alias("parts")))
     full = kept.join(each.select("node", F.concat("fp", F.to_binary(F.lpad(F.hex("size"), 16, "0"), F.lit("hex"))).alias("fp")), "node")
     rows = in_part_pairs(full, large, ["key"], "node").repartition("key", "pair").sortWithinPartitions("key", "pair", "node")
+    refs = choose_long_pivots(each)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("simhash")
         for node, given, starts, stops in _groups(batches):
             given = np.ascontiguousarray(given).view(np.uint8)
             fp, size = given[:, :-8].copy().view(np.uint64), given[:, -8:].copy().view(">u8").astype(np.int64).ravel()
-            node, a, b = node.view(np.int64), [], []
+            node, dist, a, b = node.view(np.int64), long_table(fp, refs), [], []
             two = starts[stops - starts == 2]
             if len(two):
                 x, y = two, two + 1
-                near = np.minimum(size[x], size[y]) >= least * np.maximum(size[x], size[y])
-                near &= np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1, dtype=np.int64) <= limits(np.minimum(size[x], size[y]), least)
+                small = np.minimum(size[x], size[y])
+                most = limits(small, least)
+                near = (small >= least * np.maximum(size[x], size[y])) & (np.abs(dist[x] - dist[y]).max(axis=1) <= most)
+                x, y, most = x[near], y[near], most[near]
+                near = np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1, dtype=np.int64) <= most
                 a.append(node[x][near])
                 b.append(node[y][near])
             for s, e in zip(starts, stops):
                 if e - s > 2:
-                    x, y = _wide_links(node[s:e], fp[s:e], size[s:e], sure, least)
+                    x, y = _wide_links(node[s:e], fp[s:e], dist[s:e], size[s:e], least)
                     a.append(x)
                     b.append(y)
             if a:
@@ -435,24 +458,61 @@ def similar_links(each: DataFrame, least: float, sure: int = 70, hot: int = 256)
     return rows.select("node", "fp", "key", "pair").mapInArrow(run, "a long, b long").distinct()
 
 
+#: A family whose sets hold more shingles is dealt out by pairs of its parts.
+FAMILY = 1 << 19
+
+
+def true_links(node: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that hold together what all pairs of `sets` with a Jaccard similarity of `least` or more hold together; no set is empty."""
+    size = np.array([len(x) for x in sets], np.int64)
+    words = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    own = np.split(words, np.cumsum(size)[:-1])
+    mark, left, a, b = np.zeros(int(words.max()) + 1, bool), np.arange(len(node)), [], []
+    while len(left) > 1:
+        front, words, left = [left[0]], words[size[left[0]] :], left[1:]  # `words` are those of the sets in `left`
+        while front and len(left):
+            i = front.pop()
+            mark[own[i]] = True
+            shared = np.add.reduceat(mark[words], np.cumsum(size[left]) - size[left], dtype=np.int64)
+            mark[own[i]] = False
+            near = shared >= least * (size[i] + size[left] - shared) - 1e-9
+            if near.any():
+                a.append(np.full(int(near.sum()), i))
+                b.append(left[near])
+                front += left[near].tolist()
+                words, left = words[np.repeat(~near, size[left])], left[~near]
+    if not a:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return node[np.concatenate(a)], node[np.concatenate(b)]
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """One row (id, component_id) for each row of `docs`: rows whose sets of word shingles have a Jaccard similarity of `least`
     or more are linked; `component_id` is the smallest id that can be reached over links, null ids only where there is no other.
 
-    Every reported link is verified on whole shingle sets. Of a group of similar rows a spanning set of links is looked for
-    by fingerprints, not every pair. Rows without words are equal. Repeated rows and ids are kept; other columns are
+    Fingerprints and their pivot tables leave families; in a family every row that was reached is compared on whole shingle
+    sets with all that were not, so no link inside a family is missed and a family of n gives fewer than n links. Rows without words are equal. Repeated rows and ids are kept; other columns are
     not read. No rows in, no rows out.
     """
     rows = materialize(sketches(docs, id_col, text_col, words, least))
     each = rows.groupBy("node").agg(F.min("id").alias("least"), F.first("size").alias("size"), F.first("spare").alias("spare"), F.first("keys").alias("keys"), F.first("fp").alias("fp"))
     each = materialize(each)
-    pairs = materialize(similar_links(each, least))
-    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    one = rows.join(ends, "node", "left_semi").groupBy("node").agg(F.first("id").alias("id"))
-    sets = materialize(_sets(docs, id_col, text_col, words, materialize(one)))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    true = materialize(both.where(shared >= least * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"))
+    families = materialize(connected_components(materialize(similar_links(each, least))).select("node", F.col("component").alias("family")))
+    one = rows.join(families, "node", "left_semi").groupBy("node").agg(F.first("id").alias("id"))
+    sets = _sets(docs, id_col, text_col, words, materialize(one))
+    weight = families.join(each.select("node", "size"), "node").groupBy("family").agg(F.sum("size").alias("n")).where(F.col("n") > FAMILY)
+    large = materialize(weight.select("family", F.ceil(F.col("n") / (FAMILY // 2)).cast("int").alias("parts")))
+    dealt = in_part_pairs(sets.join(families, "node"), large, ["family"], "node")
+
+    def run(family: pa.Table) -> pa.Table:
+        begin("simhash")
+        node = family.column("node").to_numpy()
+        order = np.argsort(node)
+        sets = [x.values.to_numpy() for x in family.column("set")]
+        a, b = true_links(node[order], [sets[i] for i in order], least)
+        return pa.table({"a": a, "b": b})
+
+    true = materialize(dealt.select("family", "pair", "node", "set").groupBy("family", "pair").applyInArrow(run, "a long, b long"))
     parts = connected_components(true)
     rooted = each.select("node", "least").join(parts, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root"))
     rooted = materialize(rooted)
