@@ -13,18 +13,18 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import drop_materialized, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -152,10 +152,10 @@ def _broken(kind: str, span: str) -> str | None:
     return None
 
 
-def examples(text: str, most: int = 40, width: int = 24) -> list[tuple[list[float], int, int]]:
-    """(features, label, kind) from at most `most` base spans and `most` candidates of a text, evenly taken, with their contexts."""
+def examples(text: str, most: int | None = None, width: int = 24) -> list[tuple[list[float], int, int]]:
+    """(features, label, kind) from all base spans and candidates of a text, with their contexts; with `most` from so many of each at most, evenly taken."""
     base, out = base_spans(text), []
-    for kind, a, b in base[:: -(-len(base) // most) or 1]:
+    for kind, a, b in base[:: most and -(-len(base) // most) or 1]:
         before, after = text[max(0, a - width) : a], text[b : b + width]
         how = int(hashlib.md5(text[a:b].encode()).hexdigest()[:4], 16)
         for h in (how, how + 1):
@@ -168,7 +168,7 @@ def examples(text: str, most: int = 40, width: int = 24) -> list[tuple[list[floa
                         if (k, x, y) != (kind, 0, len(form)):
                             out.append((features(k, (before + form[:x])[-width:], form[x:y], (form[y:] + after)[:width]), 0, KINDS.index(k)))
     found = candidates(text, base)
-    for kind, a, b in found[:: -(-len(found) // most) or 1]:
+    for kind, a, b in found[:: most and -(-len(found) // most) or 1]:
         out.append((features(kind, text[max(0, a - width) : a], text[a:b], text[b : b + width]), 0, KINDS.index(kind)))
     return out
 
@@ -191,15 +191,13 @@ class Boosted:
         return 1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30)))
 
 
-def _split(x: np.ndarray, g: np.ndarray, h: np.ndarray, cuts: list[np.ndarray], ridge: float) -> tuple[int, float, float, float]:
-    """The cut that gains most; feature, threshold, and the weights on either side."""
-    best = (-1.0, 0, np.inf, g.sum() / (h.sum() + ridge), 0.0)
+def _best(g: list[np.ndarray], h: list[np.ndarray], cuts: list[np.ndarray], ridge: float) -> tuple[int, float, float, float]:
+    """The cut that gains most, from the sums in the bins between each feature's cuts; feature, threshold, and the weights on either side."""
+    best = (-1.0, 0, np.inf, g[0].sum() / (h[0].sum() + ridge), 0.0)
     for f, ts in enumerate(cuts):
         if not len(ts):
             continue
-        at = np.searchsorted(ts, x[:, f], "left")
-        gl = np.cumsum(np.bincount(at, g, len(ts) + 1))
-        hl = np.cumsum(np.bincount(at, h, len(ts) + 1))
+        gl, hl = np.cumsum(g[f]), np.cumsum(h[f])
         gr, hr = gl[-1] - gl, hl[-1] - hl
         gain = (gl**2 / (hl + ridge) + gr**2 / (hr + ridge))[:-1]
         k = int(gain.argmax())
@@ -208,6 +206,11 @@ def _split(x: np.ndarray, g: np.ndarray, h: np.ndarray, cuts: list[np.ndarray],
     return best[1:]
 
 
+def _split(x: np.ndarray, g: np.ndarray, h: np.ndarray, cuts: list[np.ndarray], ridge: float) -> tuple[int, float, float, float]:
+    at = [np.searchsorted(ts, x[:, f], "left") for f, ts in enumerate(cuts)]
+    return _best(*([np.bincount(i, v, len(ts) + 1) for i, ts in zip(at, cuts)] for v in (g, h)), cuts, ridge)
+
+
 def boost(x: np.ndarray, y: np.ndarray, rounds: int = 60, rate: float = 0.25, ridge: float = 2.0, bins: int = 32) -> Boosted:
     p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     model = Boosted(float(np.log(p / (1 - p))), [])
@@ -226,45 +229,170 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 60, rate: float = 0.25, ri
     return model
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_examples: int = 20_000, precision: float = 0.95, folds: int = 4) -> tuple[Boosted | None, dict[str, float]]:
-    """Trees and a threshold for each kind, from examples of all rows: for each kind and label those with the least hashes.
+#: Gradients are summed as whole numbers of 2^-30, so that no order of addition changes a sum (below 2^53).
+UNIT = 2.0**30
+#: Thresholds are looked for in steps of 2^-14.
+STEPS = 1 << 14
+BINS = 32
+
+
+def counted_examples(docs: DataFrame, id_col: str, text_col: str, folds: int) -> DataFrame:
+    """(x, y, k, fold, n): features, label and kind of the examples of all rows, how often each stands in a fold."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("id IS NOT NULL AND t <> ''")
+    rows = rows.select(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(folds)).cast("int").alias("fold"), "t")
+
+    def made(n: Counter) -> pa.RecordBatch:
+        x, y, k, fold = zip(*n) if n else ((), (), (), ())
+        columns = [pa.array(x, pa.list_(pa.float64())), *(pa.array(c, pa.int32()) for c in (y, k, fold)), pa.array(n.values(), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["x", "y", "k", "fold", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n: Counter = Counter()
+            for fold, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                n.update((tuple(map(float, x)), y, k, fold) for x, y, k in examples(t))
+                if len(n) > 20_000:
+                    yield made(n)
+                    n = Counter()
+            yield made(n)
+
+    key = ["x", "y", "k", "fold"]
+    return rows.mapInArrow(run, "x array<double>, y int, k int, fold int, n long").groupBy(key).agg(F.sum("n").alias("n"))
+
+
+def binned(every: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
+    """`every` with its features as bytes: in which bin between the cuts each lies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy().reshape(-1, len(cuts))
+            at = np.stack([np.searchsorted(ts, x[:, f], "left") for f, ts in enumerate(cuts)], axis=1).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in at], pa.binary()), *batch.columns[1:]], names=["b", "y", "k", "fold", "n"])
+
+    rows = every.select("x", "y", "k", "fold", "n").mapInArrow(run, "b binary, y int, k int, fold int, n long")
+    return rows.groupBy("b", "y", "k", "fold").agg(F.sum("n").alias("n"))
+
+
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    b = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+    return b, *(c.to_numpy() for c in batch.columns[1:])
+
+
+def bin_sums(table: DataFrame, models: list[Boosted | None], roots: list[tuple[int, float] | None] | None, weight: np.ndarray, features: int) -> np.ndarray:
+    """Gradients and their slopes by model, side of its next root, feature and bin. Each task sends one table of sums.
+
+    The model of a fold sees the rows of the others, the last one all. `weight` is one example's, by kind and label.
+    """
+    shape = (len(models), 2 if roots else 1, features, BINS, 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(shape)
+        for batch in batches:
+            b, y, k, fold, n = _columns(batch)
+            for m, model in enumerate(models):
+                use = fold != m
+                if model and use.any():
+                    x, w = b[use], n[use] * weight[k[use], y[use]]
+                    p = 1 / (1 + np.exp(-model.margin(x)))
+                    side = (x[:, roots[m][0]] > roots[m][1]).astype(np.int64) if roots else np.zeros(len(x), np.int64)
+                    for i, v in enumerate((w * (y[use] - p), w * p * (1 - p))):
+                        v = np.rint(UNIT * v)
+                        for f in range(features):
+                            out[m, :, f, :, i] += np.bincount(side * BINS + x[:, f], v, shape[1] * BINS).reshape(-1, BINS)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["sums"])
+
+    got = table.mapInArrow(run, "sums binary").collect()
+    return sum(np.frombuffer(r["sums"]).reshape(shape) for r in got) / UNIT
+
+
+def boost_all(table: DataFrame, cuts: list[np.ndarray], bases: list[float | None], weight: np.ndarray, rounds: int, rate: float, ridge: float) -> list[Boosted | None]:
+    """As `boost`, one model for each base, over a table of bins: each level of the trees of all models is one pass of Spark over it."""
+    models = [None if p is None else Boosted(float(np.log(p / (1 - p))), []) for p in bases]
+    places = [np.arange(len(ts)) for ts in cuts]
+
+    def best(sums: np.ndarray) -> tuple[int, float, float, float]:
+        if not sums[0, :, 1].sum():
+            return 0, np.inf, 0.0, 0.0
+        return _best(*([sums[f, : len(ts) + 1, i] for f, ts in enumerate(cuts)] for i in (0, 1)), places, ridge)
+
+    for _ in range(rounds):
+        first = bin_sums(table, models, None, weight, len(cuts))
+        roots = [best(s[0])[:2] for s in first]
+        second = bin_sums(table, models, roots, weight, len(cuts))
+        for m, model in enumerate(models):
+            if model:
+                sides = [(f, t, (rate * a, rate * b)) for f, t, a, b in map(best, second[m])]
+                model.trees.append((roots[m], *sides))
+    return models
+
+
+def with_cuts(model: Boosted, cuts: list[np.ndarray]) -> Boosted:
+    """The model over features instead of bins."""
+
+    def at(f: int, t: float) -> tuple[int, float]:
+        return f, t if np.isinf(t) else float(cuts[f][int(t)])
+
+    return Boosted(model.base, [(at(*root), *((*at(f, t), w) for f, t, w in sides)) for root, *sides in model.trees])
+
+
+def held_out_counts(table: DataFrame, models: list[Boosted | None]) -> DataFrame:
+    """(k, step, y, n): how many examples have a probability in each step, by the model that saw no row of their fold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b, y, k, fold, n = _columns(batch)
+            step = np.full(len(y), -1)
+            for m, model in enumerate(models):
+                if model and (own := fold == m).any():
+                    step[own] = np.floor(STEPS * model.prob(b[own]))
+            yield pa.RecordBatch.from_arrays([pa.array(c[step >= 0]) for c in (k, step, y, n)], names=["k", "step", "y", "n"])
+
+    return table.mapInArrow(run, "k int, step long, y int, n long").groupBy("k", "step", "y").agg(F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = 0.95, folds: int = 4, rounds: int = 60, rate: float = 0.25, ridge: float = 2.0, heaviest: int = 2500) -> tuple[Boosted | None, dict[str, float]]:
+    """Trees and a threshold for each kind, from all examples of all rows.
 
-    All kinds together give at most `max_examples`, each kind and label the same share of them, so a kind
-    that few rows hold is sampled like any other, and more rows do not make the sample larger. Every example
-    is held back once: its margin for the thresholds is of trees that saw no row of its fold. A kind gets a
-    threshold if on those margins some cut keeps `precision` with 20 positives or more.
+    Equal examples are counted. The examples of a kind and label together weigh as much as `heaviest` single ones at
+    most, so a kind that few rows hold is learned like any other. Cuts of features are their weighted quantiles. Every example
+    is held back once: its probability for the thresholds is of trees that saw no row of its fold. A kind gets a
+    threshold if among those some cut keeps `precision` with 20 positives or more, every example counting once. The driver sees sums by bin, never examples.
     """
-    share = max_examples // (2 * len(KINDS))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("id IS NOT NULL")
-    rows = rows.select(F.xxhash64(F.col("id").cast("string")).alias("h"), "t")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [(h, *e) for h, t in zip(pdf["h"], pdf["t"]) if t for e in examples(t)]
-            yield pd.DataFrame(out, columns=["h", "x", "y", "k"])
-
-    every = materialize(rows.mapInPandas(run, "h long, x array<double>, y int, k int"))
-    parts = [every.where((F.col("k") == k) & (F.col("y") == y)).orderBy("h", "x").limit(share) for k in range(len(KINDS)) for y in (0, 1)]
-    got = pd.concat([p.toPandas() for p in parts], ignore_index=True)
-    if not len(got) or got["y"].nunique() < 2:
+    every = materialize(counted_examples(docs, id_col, text_col, folds))
+    count = np.zeros((folds, len(KINDS), 2), np.int64)
+    for r in every.groupBy("fold", "k", "y").agg(F.sum("n").alias("n")).collect():
+        count[r["fold"], r["k"], r["y"]] = r["n"]
+    total = count.sum(axis=0)
+    if not total.sum(axis=0).all():
         return None, {}
-    x, y, k = np.array(got["x"].tolist()), got["y"].to_numpy(float), got["k"].to_numpy()
-    fold = got["h"].to_numpy() % folds
-    p = np.full(len(y), np.nan)
-    for i in range(folds):
-        held = fold == i
-        if held.any() and len(np.unique(y[~held])) == 2:
-            p[held] = boost(x[~held], y[~held]).prob(x[held])
-    model, cut = boost(x, y), {}
+    weight = np.minimum(1, heaviest / np.maximum(1, total))
+
+    def base(seen: np.ndarray) -> float | None:
+        of = (seen * weight).sum(axis=0)
+        return float(np.clip(of[1] / of.sum(), 1e-3, 1 - 1e-3)) if of.all() else None
+
+    bases = [base(total - count[m]) for m in range(folds)] + [base(total)]
+    each = F.element_at(F.array(*map(F.lit, weight.ravel().tolist())), 2 * F.col("k") + F.col("y") + 1)
+    values = every.select("k", "y", "n", F.posexplode("x").alias("f", "v")).groupBy("f", "v", "k", "y").agg(F.sum("n").alias("n"))
+    values = values.withColumn("w", F.ceil(1024 * each * F.col("n")))
+    spread = values.groupBy("f").agg(F.percentile("v", F.array(*map(F.lit, np.linspace(0, 1, BINS).tolist())), F.col("w")).alias("q")).collect()
+    cuts = [np.unique(r["q"])[:-1] for r in sorted(spread, key=lambda r: r["f"])]
+
+    table = materialize(binned(every, cuts))
+    drop_materialized(every)
+    files = materialize(table.repartition(min(64, -(-table.count() // 50_000))))
+    drop_materialized(table)
+    models = boost_all(files, cuts, bases, weight, rounds, rate, ridge)
+    held = held_out_counts(files, models).toPandas()  # at most STEPS rows for a kind and label
+    cut = {}
     for i, kind in enumerate(KINDS):
-        ours = (k == i) & ~np.isnan(p)
-        own, truth = p[ours], y[ours]
-        order = np.argsort(-own, kind="stable")
-        hits = np.cumsum(truth[order])
-        good = np.flatnonzero((hits / np.arange(1, len(own) + 1) >= precision) & (hits >= 20) & (np.r_[own[order][1:], -1] < own[order]))
+        own = held[held["k"] == i].pivot_table(index="step", columns="y", values="n", aggfunc="sum", fill_value=0).sort_index(ascending=False)
+        hits = own.get(1, own.sum(axis=1) * 0).cumsum()
+        good = own.index[(hits >= precision * own.sum(axis=1).cumsum()) & (hits >= 20)]
         if len(good):
-            cut[kind] = max(0.5, float(own[order][good[-1]]))
-    return model, cut
+            cut[kind] = max(0.5, float(good[-1]) / STEPS)
+    drop_materialized(files)
+    return with_cuts(models[-1], cuts), cut
 
 
 def find_spans(text: str, model: Boosted | None, cut: dict[str, float], width: int = 24) -> tuple[list, list]:
