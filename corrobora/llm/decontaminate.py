@@ -12,6 +12,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -72,15 +73,37 @@ def seeds_of(words: list[str], n: int) -> np.ndarray:
     """64-bit hashes of the word n-grams of a text, one for each place."""
     if len(words) < n:
         return np.empty(0, np.uint64)
-    own = [_hash(w) for w in words]
-    h = np.array(own, np.uint64)
-    out = np.zeros(len(h) - n + 1, np.uint64)
-    for i in range(n):
-        out = (out ^ h[i : i + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+    h = np.array([_hash(w) for w in words], np.uint64)
+    return _mixed([h[i : len(h) - n + 1 + i] for i in range(n)])
+
+
+def _mixed(hashes: list[np.ndarray]) -> np.ndarray:
+    """One hash from the hashes of the first words, the second words and so on."""
+    out = np.zeros(len(hashes[0]), np.uint64)
+    for h in hashes:
+        out = (out ^ h) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
     return out
 
 
+class Vocabulary:
+    """The words of test items. Only n-grams of these words can be seeds, so the others of a text are not hashed."""
+
+    def __init__(self, texts: list[list[str]], n: int):
+        self.n, self.at = n, {w: i for i, w in enumerate(dict.fromkeys(w for x in texts for w in x))}
+        self.hashes = np.array([_hash(w) for w in self.at], np.uint64)
+
+    def seeds(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(place, hash) of each n-gram of `words` that has no other words, as `seeds_of` gives them."""
+        at = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        m = max(0, len(at) - self.n + 1)
+        known, full = at >= 0, np.ones(m, bool)
+        for i in range(self.n):
+            full &= known[i : i + m]
+        place = np.flatnonzero(full)
+        return place, _mixed([self.hashes[at[place + i]] for i in range(self.n)])
+
+
 @lru_cache(1 << 15)
 def _hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
@@ -94,6 +117,7 @@ class Block:
 
     def __init__(self, items: list[tuple[object, list[str]]], n: int):
         self.n, self.names, self.words = n, [x[0] for x in items], [x[1] for x in items]
+        self.vocabulary = Vocabulary(self.words, n)
         own = [seeds_of(w, n) for w in self.words]
         seeds = np.concatenate([np.empty(0, np.uint64), *own])
         item = np.repeat(np.arange(len(own)), [len(x) for x in own])
@@ -105,7 +129,7 @@ class Block:
 
     def hits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(place in the text, entry of the seed) of every seed in `words`."""
-        found = seeds_of(words, self.n)
+        place, found = self.vocabulary.seeds(words)
         lo = np.searchsorted(self.seeds, found)
         at = np.flatnonzero(self.seeds[np.minimum(lo, len(self.seeds) - 1)] == found) if len(self.seeds) else np.empty(0, int)
         if not len(at):
@@ -113,20 +137,20 @@ class Block:
         hi = np.searchsorted(self.seeds, found[at], "right")
         counts = hi - lo[at]
         entry = np.repeat(lo[at], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        return np.repeat(at, counts), entry
+        return np.repeat(place[at], counts), entry
 
 
-def seed_frequencies(docs: DataFrame, seeds: np.ndarray, n: int, text_col: str) -> DataFrame:
-    """(seed, n): in how many rows of `docs` each of the sorted distinct `seeds` stands. Each task adds up before the shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(seeds)
+def seed_frequencies(docs: DataFrame, seeds: np.ndarray, vocabulary: Vocabulary, text_col: str) -> DataFrame:
+    """(seed, n): in how many rows of `docs` each of the sorted distinct `seeds`, of words of `vocabulary`, stands. Each task adds up before the shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast((seeds, vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("decontamination")
-        known = sent.value
+        known, vocabulary = sent.value
         n_rows = np.zeros(len(known), np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                found = seeds_of(words_of(text), n)
+                _, found = vocabulary.seeds(words_of(text))
                 if len(found) and len(known):
                     at = np.searchsorted(known, found)
                     at = np.minimum(at, len(known) - 1)
@@ -161,7 +185,7 @@ def find_leaks(
 
     def block_leaks(part: list) -> DataFrame:
         own = Block(part, n)
-        df = seed_frequencies(docs, np.unique(own.seeds), n, text_col)
+        df = seed_frequencies(docs, np.unique(own.seeds), own.vocabulary, text_col)
         entries = docs.sparkSession.createDataFrame(pd.DataFrame({"seed": own.seeds.view(np.int64), "item": own.item}).drop_duplicates(), "seed long, item int")
         joined = entries.join(df, "seed", "left").withColumn("n", F.coalesce("n", F.lit(0)))
         middle = joined.groupBy("item").agg(F.greatest(F.lit(1), F.percentile_approx("n", F.lit(0.5))).alias("middle"))
