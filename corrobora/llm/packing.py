@@ -20,14 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .pieces import pieces
+from .pieces import ids_as_bytes, pieces
 from .shared import begin, by_bytes, materialize, texts_of
 
 
-def ids_as_bytes(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
 def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Pieces (id, piece, start, length, ids_crc32, row[, ids]) of each row's tokens with `end_id` behind them.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from functools import cache
 
 import numpy as np
@@ -92,17 +93,25 @@ def encode(path: str, texts: list[str]) -> list[list[int]]:
     return [x.ids for x in t.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def encode_words(path: str, words: list[str]) -> list[list[int]]:
-    """As `encode`, for words of letters with a space before each, by a vocabulary that keeps the space.
+def ids_as_bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def encode_words(path: str, words: list[str], value=list) -> list:
+    """`value` of the ids of each word, as by `encode`, for words of letters with a space before each, by a vocabulary that keeps the space.
 
     Its pattern ends a word before the next one's space, so the words are encoded as one text, faster than one by one.
     """
-    out: list[list[int]] = []
+    out: list = []
     for at in range(0, len(words), 4000):
         part = words[at : at + 4000]
         e = tokenizer(path).encode("".join(part), add_special_tokens=False)
         ids, ends = e.ids, np.cumsum(np.bincount(e.word_ids, minlength=len(part))).tolist()
-        out += [ids[a:b] for a, b in zip([0, *ends], ends)]
+        if value is ids_as_bytes:  # all at once
+            ids, ends = ids_as_bytes(ids), [4 * x for x in ends]
+            out += [ids[a:b] for a, b in zip([0, *ends], ends)]
+        else:
+            out += [value(ids[a:b]) for a, b in zip([0, *ends], ends)]
     return out
 
 
@@ -114,7 +123,7 @@ class Pieces:
     pieces, added, must be that of both together (a length, or ids as bytes).
     """
 
-    def __init__(self, path: str, value, memo: int = 150_000):
+    def __init__(self, path: str, value, memo: int = 300_000):
         self.path, self.value, self.memo, self.known, self.older = path, value, memo, {}, {}
         self.whole = path.endswith(".model")  # these see the start of a text, so it stays whole
         self.keep_space = not self.whole and not drops_spaces(path)
@@ -126,9 +135,14 @@ class Pieces:
         parts = [cut(t, self.keep_space) for t in texts]
         if len(self.known) > self.memo:
             self.known, self.older = {}, self.known
-        self.learn(set().union(*parts))
-        get = self.known.__getitem__
-        return [list(map(get, ps)) for ps in parts]
+        known = self.known
+        out = [list(map(known.get, ps)) for ps in parts]
+        lacking = [[i for i, v in enumerate(vs) if v is None] if None in vs else () for vs in out]
+        self.learn({ps[i] for ps, at in zip(parts, lacking) for i in at})
+        for ps, vs, at in zip(parts, out, lacking):
+            for i in at:
+                vs[i] = known[ps[i]]
+        return out
 
     def learn(self, pieces: set[str]) -> None:
         known, older = self.known, self.older
@@ -151,7 +165,7 @@ class Pieces:
                 for x in found[1:]:
                     value = value + known[x]
                 known[p] = value
-        known.update(zip(words, map(self.value, encode_words(self.path, words)), strict=True))
+        known.update(zip(words, encode_words(self.path, words, self.value), strict=True))
         for a, b in by_bytes(new):
             known.update(zip(new[a:b], map(self.value, encode(self.path, new[a:b])), strict=True))
 
