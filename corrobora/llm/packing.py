@@ -8,7 +8,6 @@ Pieces are then ranked within their length, and a rank picks a place.
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -20,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .pieces import ids_as_bytes, pieces
-from .shared import begin, by_bytes, materialize, texts_of
+from .pieces import ids_as_bytes, ids_of_columns
+from .shared import begin, in_runs, materialize
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -36,13 +35,13 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("packing")
-        bytes_of, before = pieces(path, ids_as_bytes), 0
-        end = struct.pack("<I", end_id)
+        ids_of, before = ids_of_columns(path), 0
+        end = ids_as_bytes([end_id])
         for batch in batches:
-            texts, row, out = texts_of(batch, "text"), 0, ([], [], [], [], [], [])
-            for a, b in by_bytes(texts):
-                for parts in bytes_of(texts[a:b]):
-                    ids = b"".join([*parts, end])
+            texts, row, out = batch.column(1).cast(pa.large_string()).fill_null(""), 0, ([], [], [], [], [], [])
+            for own_texts in in_runs(texts):
+                for ids in ids_of(own_texts).to_pylist():
+                    ids += end
                     n = len(ids) // 4
                     first = n % capacity or capacity
                     bounds = [0, *range(first, n + 1, capacity)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
@@ -9,6 +10,8 @@ import struct
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from .shared import HELD, by_bytes
@@ -21,6 +24,12 @@ _CAREFUL = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: A comma or full stop before white space with something other than a letter or digit before it.
 _SIGN_AFTER_SIGN = re.compile(r"[\W_][.,][ \n]")
+#: What the two patterns before and a run of white space are to Arrow, which cuts whole columns.
+_CAREFUL_IN = "  | \n|\n[ \n]|[\\x00\t\r\x0b\x0c\x1c-\x1f\x85" + "".join(map(chr, [0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]"
+_SIGN_AFTER_SIGN_IN = r"[^\pL\pN][.,][ \n]"
+#: The letters that stand for the 256 bytes in a byte-level vocabulary: visible Latin-1 for itself, the others from U+0100 on.
+_HIDDEN = [*range(33), *range(127, 161), 173]
+_LETTERS = "".join(chr(256 + _HIDDEN.index(b) if b in _HIDDEN else b) for b in range(256))
 #: Between a letter and what no word goes on with; apostrophes are left out, as they bind what follows.
 _INNER = re.compile(r"(?<=[A-Za-z])(?=[0-9.,;:!?()\-/])")
 #: A piece is cut inside from this many characters on.
@@ -97,22 +106,42 @@ def ids_as_bytes(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def encode_words(path: str, words: list[str], value=list) -> list:
-    """`value` of the ids of each word, as by `encode`, for words of letters with a space before each, by a vocabulary that keeps the space.
+def merged(path: str, words: list[str]) -> tuple[bytes, list[int]]:
+    """Ids of words, one after the other as bytes, and where each begins and the last ends; by a byte-level vocabulary, for words of letters with or without a space before.
 
-    Its pattern ends a word before the next one's space, so the words are encoded as one text, faster than one by one.
+    Its pattern takes such a word as a whole, so the library's model alone merges the word's bytes, written as letters.
     """
-    out: list = []
+    merge, out, ends = tokenizer(path).model.tokenize, [], [0]
     for at in range(0, len(words), 4000):
-        part = words[at : at + 4000]
-        e = tokenizer(path).encode("".join(part), add_special_tokens=False)
-        ids, ends = e.ids, np.cumsum(np.bincount(e.word_ids, minlength=len(part))).tolist()
-        if value is ids_as_bytes:  # all at once
-            ids, ends = ids_as_bytes(ids), [4 * x for x in ends]
-            out += [ids[a:b] for a, b in zip([0, *ends], ends)]
-        else:
-            out += [value(ids[a:b]) for a, b in zip([0, *ends], ends)]
-    return out
+        ids, before = [], ends[-1]
+        for word in codecs.charmap_decode("\n".join(words[at : at + 4000]).encode(), "strict", _LETTERS)[0].split(_LETTERS[10]):
+            ids += [x.id for x in merge(word)]
+            ends.append(before + 4 * len(ids))
+        out.append(ids_as_bytes(ids))
+    return b"".join(out), ends
+
+
+def encode_words(path: str, words: list[str], value=list) -> list:
+    """`value` of the ids of each word, as by `encode`, for such words as `merged` takes."""
+    ids, ends = merged(path, words)
+    if value is ids_as_bytes:
+        return [ids[a:b] for a, b in zip(ends, ends[1:])]
+    ids = np.frombuffer(ids, "<u4").tolist()
+    return [value(ids[a // 4 : b // 4]) for a, b in zip(ends, ends[1:])]
+
+
+def cut_column(texts: pa.Array) -> pa.Array:
+    """The pieces of each text, as `cut` with `keep_space` makes them but for long ones, which are left whole."""
+    marked = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0")
+    signs = pc.replace_substring(pc.replace_substring(marked, ",\0", "\0,\0"), ".\0", "\0.\0")
+    parts = pc.split_pattern(pc.if_else(pc.match_substring_regex(texts, _SIGN_AFTER_SIGN_IN), marked, signs), "\0")
+    careful = np.flatnonzero(pc.match_substring_regex(texts, _CAREFUL_IN).to_numpy(zero_copy_only=False))
+    if len(careful):
+        order = np.arange(len(texts))
+        order[careful] = len(texts) + np.arange(len(careful))
+        own = pa.array([cut(texts[i].as_py(), True) for i in careful.tolist()], parts.type)
+        parts = pa.concat_arrays([parts, own]).take(pa.array(order))
+    return parts
 
 
 class Pieces:
@@ -150,9 +179,11 @@ class Pieces:
         for p in pieces.difference(known):
             if p in older:
                 known[p] = older[p]
+            elif len(p) >= LONG and len(parts := _INNER.split(p)) > 1:
+                several.append((p, parts))
             elif not self.by_words:
                 new.append(p)
-            elif p[1:].isalpha() and p[0] == " ":
+            elif p.removeprefix(" ").isalpha():
                 words.append(p)
             elif "<|" not in p and len(found := _BYTE_LEVEL.findall(p)) > 1:  # special strings stay whole
                 several.append((p, found))
@@ -170,6 +201,53 @@ class Pieces:
             known.update(zip(new[a:b], map(self.value, encode(self.path, new[a:b])), strict=True))
 
 
+def binaries(values: list[bytes] | bytes | pa.Buffer, ends: list[int] | np.ndarray | None = None) -> pa.Array:
+    """Large binaries from a list, or from bytes and where each begins and the last ends."""
+    if ends is None:
+        return pa.array(values, pa.large_binary())
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(np.asarray(ends, np.int64)), pa.py_buffer(values)])
+
+
+class Columns:
+    """Looks up the ids of whole columns of texts, as bytes; each different piece of a column once, and Arrow does the rest.
+
+    The table holds the `memo` pieces that were met last, none of more than 64 bytes, so memory has a bound.
+    """
+
+    def __init__(self, path: str, memo: int = 300_000):
+        self.path, self.memo = path, memo
+        self.known, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
+    def __call__(self, texts: pa.Array) -> pa.Array:
+        """Large binaries, for large strings without null."""
+        own = Pieces(self.path, ids_as_bytes)
+        if not own.keep_space:
+            return binaries([b"".join(x) for x in own(texts.to_pylist())])
+        parts, n = cut_column(texts), len(self.known)
+        coded = pa.concat_arrays([self.known, parts.flatten()]).dictionary_encode()  # so places below n are those of the table
+        pieces, at = coded.dictionary, coded.indices[n:]
+        new = pieces[n:].to_numpy(zero_copy_only=False)
+        words = np.fromiter((own.by_words and p.removeprefix(" ").isalpha() for p in new), bool, len(new))
+        others = new[~words].tolist()
+        own.learn(set(others))
+        order = np.arange(n + len(new))
+        order[n:][words], order[n:][~words] = n + np.arange(words.sum()), n + words.sum() + np.arange(len(others))
+        ids = [self.ids, binaries(*merged(self.path, new[words].tolist())), binaries([own.known[p] for p in others])]
+        ids = pa.concat_arrays(ids).take(pa.array(order))
+        every = ids.take(at)
+        borders = np.r_[0, np.cumsum(parts.value_lengths().to_numpy())]
+        borders = np.frombuffer(every.buffers()[1], np.int64, len(every) + 1, 8 * every.offset)[borders]
+        self.keep(pieces, ids, at.to_numpy())
+        return binaries(every.buffers()[2] or b"", borders)
+
+    def keep(self, pieces: pa.Array, ids: pa.Array, at: np.ndarray) -> None:
+        now = np.zeros(len(pieces), bool)
+        now[at] = True
+        short = pc.binary_length(pieces).to_numpy() <= 64
+        kept = pa.array(np.r_[np.flatnonzero(now & short), np.flatnonzero(~now & short)][: self.memo])
+        self.known, self.ids = pieces.take(kept), ids.take(kept)
+
+
 _pieces: dict = {}
 
 
@@ -187,3 +265,10 @@ def pieces(path: str, value) -> Pieces:
     if key not in _pieces:
         _pieces[key] = Pieces(path, value)
     return _pieces[key]
+
+
+def ids_of_columns(path: str) -> Columns:
+    """The table of this Python worker for the ids of whole columns by a vocabulary."""
+    if path not in _pieces:
+        _pieces[path] = Columns(path)
+    return _pieces[path]

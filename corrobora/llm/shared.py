@@ -10,7 +10,9 @@ from collections.abc import Callable, Iterator
 from contextlib import suppress
 from weakref import WeakKeyDictionary
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,6 +112,15 @@ def by_bytes(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]
         yield start, len(texts)
 
 
+def in_runs(texts: pa.Array, most: int = 1 << 24) -> Iterator[pa.Array]:
+    """`texts`, without null, in slices of about `most` bytes; a slice goes beyond it by its last text only."""
+    sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
+    group = (np.cumsum(sizes) - sizes) // most
+    edges = [*np.flatnonzero(np.diff(group, prepend=-1)).tolist(), len(texts)]
+    for a, b in zip(edges, edges[1:]):
+        yield texts.slice(a, b - a)
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     """The column's strings, null as empty."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
