@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.scalar import bayes_factor
-
+from ..sources.scratch import written
 from .metrics import seed_summary
-from .retrieval import top_k, vector_top_k
+from .retrieval import groups, top_k, vector_top_k
 
 #: Heads of composite event types that carry a fluent (fixed values), and the path each feeds.
 HEADS = {"PhysicalEvent": "observed", "BusinessEvent": "claim"}
@@ -163,29 +169,147 @@ def hybrid_search(queries: DataFrame, vectors: DataFrame, candidates: DataFrame,
     return found.withColumn("may_be_incomplete", F.count("*").over(W.partitionBy("query_id")) < k)
 
 
+#: Samples of targets that a task of `proximity_dwell` holds; and pairs of samples that it compares, and ids that it gives, at a time.
+SAMPLES, COMPARED, GIVEN = 1 << 21, 1 << 20, 1 << 20
+
+
 def proximity_dwell(workers: DataFrame, targets: DataFrame, t: str, radius: float, least: float) -> DataFrame:
     """(worker, target, start, end, detected): runs of samples in which a worker is within `radius` of a target, of `least` or longer.
 
-    `workers` (worker, t, x, y) and `targets` (target, t, x, y) meet at equal times in cells of the radius. A run goes on over
+    `workers` (worker, t, x, y) and `targets` (target, t, x, y) meet at equal times. A run goes on over
     successive samples of the worker and ends at the first one that is not close, or at its last sample; it is detected
     `least` after its start. Rows of a worker at equal times are one sample each pair. Distances are compared in nine decimals, so
     that places exactly `radius` apart are near however their distance is rounded.
+
+    Pairs are never shuffled. Workers, and targets, with the very same samples are looked at once; their samples go to the tasks in blocks, every block of
+    workers with every block of targets. A task holds a block of targets, compares each worker with what is near in x at the same time, and gives runs with all
+    ids that they stand for. So disk follows the samples times the number of blocks, which is one for each `SAMPLES`, or what the cores need. One worker's samples are one row.
     """
-    at = W.partitionBy("worker").orderBy(t)
-    steps = workers.groupBy("worker", t).agg(F.min("x").alias("x"), F.min("y").alias("y"))
-    steps = steps.withColumn("_n", F.row_number().over(at)).withColumn("_next", F.lead(t).over(at))
-    q = steps.select(F.struct("worker", t, "_n", "_next").alias("_q"), F.col(t).alias("_t"), "x", "y")
-    p = targets.select(F.struct("target", t).alias("_p"), F.col(t).alias("_t"), "x", "y")
-    cell = [F.floor(F.col(c) / (radius * (1 + 1e-6) + 1e-9)) for c in ("x", "y")]  # wide enough for what rounds down to the radius
-    near = F.explode(F.array(*[F.struct((cell[0] + i).alias("i"), (cell[1] + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    q = q.withColumn("_c", near).select("_q", "_t", F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("_c.i").alias("_i"), F.col("_c.j").alias("_j"))
-    p = p.select("_p", "_t", "x", "y", cell[0].alias("_i"), cell[1].alias("_j"))
-    close = q.join(p, ["_t", "_i", "_j"]).where(F.round(F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y")), 9) <= radius)
-    close = close.select("_q.worker", "_p.target", F.col("_t").alias("t"), "_q._n", "_q._next").distinct()
-    island = F.col("_n") - F.row_number().over(W.partitionBy("worker", "target").orderBy("_n"))
-    runs = close.withColumn("_run", island).groupBy("worker", "target", "_run").agg(F.min("t").alias("start"), F.max("t").alias("_last"), F.max_by("_next", "t").alias("_stop"))
-    runs = runs.withColumn("end", F.coalesce("_stop", "_last")).where(F.col("end") - F.col("start") >= least)
-    return runs.select("worker", "target", "start", "end", (F.col("start") + least).alias("detected"))
+    steps = workers.groupBy("worker", t).agg(F.min("x").alias("x"), F.min("y").alias("y")).withColumnRenamed("worker", "id")
+    w, g = _tracks(steps, t), _tracks(targets.withColumnRenamed("target", "id"), t)
+    w, g = written(w), written(g)
+    sizes = [df.agg(F.sum(F.size("_t")).alias("n")).first()["n"] or 0 for df in (w, g)]
+    n_g = -(-sizes[1] // SAMPLES) or 1
+    n_w = max(-(-sizes[0] // SAMPLES), -(-2 * w.sparkSession.sparkContext.defaultParallelism // n_g))
+
+    def blocks(df: DataFrame, side: int, own: str, n: int, other: str, m: int) -> DataFrame:
+        number = F.pmod(F.xxhash64("_t", "_x", "_y", F.col("ids")[0]), F.lit(n)).alias(own)
+        every = F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<bigint>")).alias(other)
+        return df.select(number, every, F.lit(side).alias("_side"), "ids", "_t", "_x", "_y").select("_w", "_g", "_side", "ids", "_t", "_x", "_y")
+
+    ids = {name: df.schema["ids"].dataType for name, df in (("_workers", w), ("_targets", g))}
+    w, g = blocks(w, 1, "_w", n_w, "_g", n_g), blocks(g, 0, "_g", n_g, "_w", n_w)
+    both = w.withColumn("_others", F.lit(None).cast(ids["_targets"])).unionByName(g.withColumnRenamed("ids", "_others").withColumn("ids", F.lit(None).cast(ids["_workers"])))
+    both = both.repartition(n_w * n_g, "_w", "_g").sortWithinPartitions("_w", "_g", "_side")
+    schema = StructType([StructField("_workers", ids["_workers"]), StructField("_targets", ids["_targets"]), StructField("start", DoubleType()), StructField("end", DoubleType())])
+    runs = both.mapInArrow(_dwells(radius, least, to_arrow_schema(schema)), schema)
+    kind = workers.schema[t].dataType
+    runs = runs.select("_workers", "_targets", F.col("start").cast(kind).alias("start"), F.col("end").cast(kind).alias("end"))
+    one = runs.select(F.explode("_workers").alias("worker"), "_targets", "start", "end")
+    return one.select("worker", F.explode("_targets").alias("target"), "start", "end", (F.col("start") + least).alias("detected"))
+
+
+def _tracks(rows: DataFrame, t: str) -> DataFrame:
+    """(ids, _t, _x, _y): the samples of each id in order of time; ids with the same samples are in one row (`groups`). What has no place is NaN."""
+    nan = F.lit(float("nan"))
+    at = F.struct(F.col(t).cast("double").alias("t"), F.coalesce(F.col("x").cast("double"), nan).alias("x"), F.coalesce(F.col("y").cast("double"), nan).alias("y"))
+    one = rows.where(F.col(t).isNotNull()).groupBy("id").agg(F.array_sort(F.collect_list(at)).alias("_s"))
+    return groups(one.select("id", F.col("_s.t").alias("_t"), F.col("_s.x").alias("_x"), F.col("_s.y").alias("_y")), "id", ["_t", "_x", "_y"])
+
+
+def _dwells(radius: float, least: float, schema: pa.Schema):
+    """A mapInArrow function for blocks of targets, each followed by the workers that it meets."""
+    wide = radius * (1 + 1e-6) + 1e-9  # what rounds down to the radius is within it
+
+    def flat(column: pa.Array) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False)
+
+    def settled(parts: list[pa.RecordBatch]) -> dict | None:
+        if not parts:
+            return None
+        sizes = np.concatenate([b.column("_t").value_lengths().to_numpy(zero_copy_only=False) for b in parts])
+        s, x, y = (np.concatenate([flat(b.column(c)) for b in parts]) for c in ("_t", "_x", "_y"))
+        times, tid = np.unique(s, return_inverse=True)
+        own = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)
+        order = np.lexsort((x, tid))
+        order = order[~np.isnan(x[order])]
+        return {"times": times, "x": x[order], "y": y[order], "own": own[order], "from": np.searchsorted(tid[order], np.arange(len(times) + 1)), "ids": pa.concat_arrays([b.column("_others") for b in parts])}
+
+    def met(g: dict, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sizes = batch.column("_t").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        s, x, y = (flat(batch.column(c)) for c in ("_t", "_x", "_y"))
+        ends = np.cumsum(sizes)
+        own = np.repeat(np.arange(len(sizes)), sizes)
+        following = np.r_[s[1:], np.nan] if len(s) else s
+        following[ends[sizes > 0] - 1] = np.nan  # a last sample
+        tid = np.minimum(np.searchsorted(g["times"], s), len(g["times"]) - 1)
+        known = (g["times"][tid] == s) | (np.isnan(g["times"][tid]) & np.isnan(s))
+        known &= ~np.isnan(x)
+        lo, hi = np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
+        at = np.flatnonzero(known)
+        at = at[np.argsort(tid[at], kind="stable")]
+        cut = np.flatnonzero(np.diff(tid[at])) + 1
+        for part in np.split(at, cut) if len(at) else []:
+            a, b = g["from"][tid[part[0]]], g["from"][tid[part[0]] + 1]
+            lo[part] = a + np.searchsorted(g["x"][a:b], x[part] - wide, "left")
+            hi[part] = a + np.searchsorted(g["x"][a:b], x[part] + wide, "right")
+        near = np.maximum(hi - lo, 0)
+        sums = np.r_[0, np.cumsum(near)]
+        before = sums[np.r_[0, ends]]  # what is compared up to each worker
+        first = 0
+        while first < len(sizes):
+            last = max(int(np.searchsorted(before, before[first] + COMPARED, "right")) - 1, first + 1)
+            a, b = ends[first] - sizes[first], ends[last - 1]
+            yield from given(g, batch, *runs(g, slice(a, b), own, s, x, y, following, lo, near))
+            first = last
+
+    def runs(g: dict, of: slice, own: np.ndarray, s: np.ndarray, x: np.ndarray, y: np.ndarray, following: np.ndarray, lo: np.ndarray, near: np.ndarray) -> tuple:
+        n = near[of]
+        i = np.repeat(np.arange(of.start, of.stop), n)
+        j = np.repeat(lo[of] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+        close = np.floor(np.hypot(g["x"][j] - x[i], g["y"][j] - y[i]) * 1e9 + 0.5) / 1e9 <= radius
+        i, j = i[close], g["own"][j[close]]
+        order = np.lexsort((i, j, own[i]))
+        i, j = i[order], j[order]
+        if not len(i):
+            return i, i, s[:0], s[:0]
+        new = np.r_[True, (np.diff(own[i]) != 0) | (np.diff(j) != 0) | (np.diff(i) > 1)]  # a sample met twice goes on
+        start = np.flatnonzero(new)
+        last = np.r_[start[1:], len(i)] - 1
+        begin, stop = s[i[start]], following[i[last]]
+        stop = np.where(np.isnan(stop), s[i[last]], stop)
+        long = stop - begin >= least
+        return own[i[start]][long], j[start][long], begin[long], stop[long]
+
+    def given(g: dict, batch: pa.RecordBatch, w: np.ndarray, t: np.ndarray, start: np.ndarray, stop: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids = batch.column("ids")
+        held = np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False)[w] + g["ids"].value_lengths().to_numpy(zero_copy_only=False)[t])
+        at = 0
+        while at < len(w):
+            to = max(int(np.searchsorted(held, (held[at - 1] if at else 0) + GIVEN, "right")), at + 1)
+            cut = slice(at, to)
+            columns = [ids.take(pa.array(w[cut])), g["ids"].take(pa.array(t[cut])), pa.array(start[cut]), pa.array(stop[cut])]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+            at = to
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, parts, g = None, [], None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_w", "_g", "_side")])
+            starts = np.r_[0, np.flatnonzero((np.diff(keys, axis=1) != 0).any(axis=0)) + 1] if batch.num_rows else []
+            for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+                part, now = batch.slice(a, b - a), tuple(keys[:2, a])
+                if now != block:
+                    block, parts, g = now, [], None
+                if keys[2, a] == 0:
+                    parts.append(part)
+                    continue
+                if parts:
+                    g, parts = settled(parts), []
+                if g is not None:
+                    yield from met(g, part)
+
+    return run
 
 
 def verify_expectations(expectations: DataFrame, effects: DataFrame, observations: DataFrame, now: float, method: str = "interval", least_factor: float = 3.0) -> DataFrame:
