@@ -63,6 +63,66 @@ def shortest_paths(cost: Callable[[int], np.ndarray], n: int, m: int) -> np.ndar
     return mate
 
 
+def transport(cost: Callable[[int], np.ndarray], supply: np.ndarray, room: np.ndarray) -> dict[tuple[int, int], int]:
+    """How many of each row go to each column at least total cost: all of the rows' `supply`, which is no more than the columns' `room`.
+
+    `shortest_paths` for rows and columns that stand for many equal ones: a way that is found is gone by as many as fit at once.
+    """
+    n, m = len(supply), len(room)
+    u, v, free, reach = np.zeros(n), np.zeros(m), np.array(room, np.int64), np.empty(m)
+    held: list[dict[int, int]] = [{} for _ in range(m)]  # of each column, how many of which row
+    for row in range(n):
+        left = int(supply[row])
+        while left:
+            dist = cost(row) - u[row] - v
+            least = dist.copy()
+            via, parent = np.full(m, row), {row: -1}
+            seen, lows, met, mets, low = [], [], [], [], 0.0
+            while True:
+                j = int(dist.argmin())
+                low = dist[j]
+                if free[j]:
+                    break
+                seen.append(j)
+                lows.append(low)
+                dist[j], least[j] = np.inf, -np.inf
+                for i in held[j]:
+                    if i in parent:
+                        continue
+                    parent[i] = j
+                    met.append(i)
+                    mets.append(low)
+                    np.add(cost(i), low, out=reach)
+                    np.subtract(reach, u[i], out=reach)
+                    np.subtract(reach, v, out=reach)
+                    better = np.flatnonzero(reach < least)
+                    dist[better] = least[better] = reach[better]
+                    via[better] = i
+            u[row] += low
+            if met:
+                u[met] += low - np.array(mets)
+            if seen:
+                v[seen] -= low - np.array(lows)
+            way, at = [], j
+            while True:
+                i = int(via[at])
+                way.append((i, at))
+                if parent[i] < 0:
+                    break
+                at = parent[i]
+            many = min(left, int(free[j]), *(held[parent[i]][i] for i, _ in way[:-1]))
+            free[j] -= many
+            left -= many
+            for i, at in way:
+                held[at][i] = held[at].get(i, 0) + many
+                before = parent[i]
+                if before >= 0:
+                    held[before][i] -= many
+                    if not held[before][i]:
+                        del held[before][i]
+    return {(i, j): x for j, own in enumerate(held) for i, x in own.items()}
+
+
 def bind(pairs: DataFrame, block: list[str], left: str, right: str, probability: str, least: float = 0.5) -> DataFrame:
     """Best binding of left to right ids in each block, from the pairs' probabilities; bindings under `least` are dropped.
 

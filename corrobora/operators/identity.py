@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .assignment import shortest_paths
+from .assignment import shortest_paths, transport
 from .keyed import stream_keys
 
 #: Costs that a frame holds at once, at most; beyond, a row of them is made anew whenever it is met.
@@ -26,7 +26,8 @@ def assign_identities(slots: DataFrame, entities: DataFrame, forecasts: DataFram
     entity gives a row `unmatched_slot`.
 
     An episode's frames follow one another, so an episode is one task's work in time linear in its frames; its entities' last states are what is held, and of a frame's
-    costs `HELD` at most. The time of a frame is at least its slots times its entities. Slots without a place, entities without a name or place and rows without a frame do not count; a null
+    costs `HELD` at most. Slots that are equal in place and appearance, and entities that are, are matched as one kind with a number, so the time of a frame is at least its
+    kinds of slots times its kinds of entities. Slots without a place, entities without a name or place and rows without a frame do not count; a null
     appearance is as far from every other as 0. An entity that stands twice counts once, at its least place.
     """
     by = list(by)
@@ -114,13 +115,46 @@ def matches(place: np.ndarray, look: np.ndarray, at: np.ndarray, known: np.ndarr
     look, known = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (look, known))
     turned = n > m
     own, own_look, other, other_look = (at, known, place, look) if turned else (place, look, at, known)
+    (rows, row_of), (columns, column_of) = kinds(np.hstack([own, own_look])), kinds(np.hstack([other, other_look]))
+    own, own_look, other, other_look = own[rows], own_look[rows], other[columns], other_look[columns]
+
+    places, looks = list(np.ascontiguousarray(other.T)), list(np.ascontiguousarray(other_look.T))
+
+    def gap(columns: list[np.ndarray], row: np.ndarray) -> np.ndarray:
+        """Distance from `row` to each of others, column by column: sums over the few numbers of each would take most of the time."""
+        out = np.zeros(len(other))
+        for c, x in zip(columns, row):
+            d = c - x
+            d *= d
+            out += d
+        return np.sqrt(out, out=out)
 
     def cost(i: int) -> np.ndarray:
-        far = np.sqrt(((other - own[i]) ** 2).sum(axis=1))
-        return np.clip(position_weight * far + appearance_weight * np.sqrt(((other_look - own_look[i]) ** 2).sum(axis=1)), 0.0, most)
+        return np.clip(position_weight * gap(places, own[i]) + appearance_weight * gap(looks, own_look[i]), 0.0, most)
 
-    if n * m <= HELD:
+    if len(rows) * len(columns) <= HELD:
         cost = np.stack([cost(i) for i in range(len(own))]).__getitem__
-    mate = shortest_paths(cost, len(own), len(other))
-    pairs = [(int(mate[j]), int(j)) for j in np.flatnonzero(mate >= 0)]
+    if len(rows) == len(row_of) and len(columns) == len(column_of):
+        mate = shortest_paths(cost, len(own), len(other))
+        pairs = [(int(rows[mate[j]]), int(columns[j])) for j in np.flatnonzero(mate >= 0)]
+    else:
+        flow = transport(cost, np.bincount(row_of), np.bincount(column_of))
+        queues = []
+        for of in (row_of, column_of):
+            order, ends = np.argsort(of, kind="stable").tolist(), np.cumsum(np.bincount(of)).tolist()
+            queues.append([iter(order[lo:hi]) for lo, hi in zip([0, *ends], ends)])
+        pairs = [(next(queues[0][i]), next(queues[1][j])) for (i, j), many in sorted(flow.items()) for _ in range(many)]
     return sorted((b, a) for a, b in pairs) if turned else sorted(pairs)
+
+
+def kinds(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a row of each kind, the kind of each row) of equal rows, kinds in the order of their first rows."""
+    order = np.lexsort(rows.T)
+    new = np.r_[True, (np.diff(rows[order], axis=0) != 0).any(axis=1)]
+    of = np.empty(len(rows), np.int64)
+    of[order] = np.cumsum(new) - 1
+    first = order[np.flatnonzero(new)]  # lexsort is stable: the first of its kind
+    rank = np.argsort(first, kind="stable")
+    place = np.empty(len(first), np.int64)
+    place[rank] = np.arange(len(first))
+    return first[rank], place[of]
